@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +79,34 @@ def blobs(values: list[bytes]) -> pa.Array:
 def partitions_for(df: DataFrame, least: int = 1) -> int:
     """The session's number of shuffle partitions."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def distinct_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Of texts without nulls, split at ASCII white space: each word's number, the distinct words, and where each text's
+    words begin (the last entry: where they end). Leading or trailing space gives an empty word."""
+    words = pc.ascii_split_whitespace(texts if pa.types.is_string(texts.type) else texts.cast(pa.string()))
+    off = words.offsets.to_numpy().astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), off - off[0]
+
+
+class Generations:
+    """A cache of two generations: what was looked up since the last turn outlives it, so common words stay."""
+
+    def __init__(self, held: int):
+        self.held, self.young, self.old = held, {}, {}
+
+    def of(self, keys: list[str], make) -> list:
+        """Values of distinct keys; ``make`` gets the list of unknown ones and returns theirs."""
+        young, old, new = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if (v := old.get(k)) is None:
+                    new.append(k)
+                else:
+                    young[k] = v
+        young.update(zip(new, make(new)))
+        out = list(map(young.__getitem__, keys))
+        if len(young) > self.held:
+            self.young, self.old = {}, young
+        return out

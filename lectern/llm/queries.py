@@ -6,8 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, simhash
-from .common import materialize
+from . import exact_dedup, html_extract, language_id, mixing, packing, quality_rules, simhash, substring_dedup, token_count, url_filter
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -30,19 +29,45 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return url_filter.verdicts(pages, url_filter.train(pages)).withColumnRenamed("id", "page_id")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)).withColumnRenamed("id", "doc_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_simhash, op7_mixing, op9_packing)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("good"))
+    found = quality_rules.judge(_read(spark, sf_dir, "documents"), labels)
+    return found.withColumnRenamed("id", "doc_id").withColumn("reasons", F.concat_ws(",", "reasons"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_exact_dedup, op2_language_id, op3_html_extraction, op4_simhash, op5_url_filter, op6_substring_dedup, op7_mixing, op8_token_count, op9_packing, op10_quality_rules)
+}
 
 ORACLES: dict[str, str] = {}
