@@ -81,32 +81,44 @@ def partitions_for(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def distinct_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def distinct_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Of texts without nulls, split at ASCII white space: each word's number, the distinct words, and where each text's
     words begin (the last entry: where they end). Leading or trailing space gives an empty word."""
     words = pc.ascii_split_whitespace(texts if pa.types.is_string(texts.type) else texts.cast(pa.string()))
     off = words.offsets.to_numpy().astype(np.int64)
     coded = words.flatten().dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), off - off[0]
-
-
-class Generations:
-    """A cache of two generations: what was looked up since the last turn outlives it, so common words stay."""
-
-    def __init__(self, held: int):
-        self.held, self.young, self.old = held, {}, {}
-
-    def of(self, keys: list[str], make) -> list:
-        """Values of distinct keys; ``make`` gets the list of unknown ones and returns theirs."""
-        young, old, new = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if (v := old.get(k)) is None:
-                    new.append(k)
-                else:
-                    young[k] = v
-        young.update(zip(new, make(new)))
-        out = list(map(young.__getitem__, keys))
-        if len(young) > self.held:
-            self.young, self.old = {}, young
-        return out
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, off - off[0]
+
+
+class WordTable:
+    """Remembered values of words, a run of 32-bit numbers each, in flat arrays (some tens of bytes a word).
+
+    ``make`` gets a list of distinct new words and returns their values as bytes. Beyond ``held`` words only those of the
+    latest lookup stay.
+    """
+
+    def __init__(self, held: int, make):
+        self.held, self.make = held, make
+        self.words, self.pool, self.off = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def rows(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words: start and size of each one's values in the pool, and the pool."""
+        if len(self.words) > self.held:
+            keep = np.flatnonzero(self.used)
+            size = np.diff(self.off)[keep]
+            end = np.cumsum(size)
+            self.pool = self.pool[np.repeat(self.off[:-1][keep] - (end - size), size) + np.arange(int(size.sum()))]
+            self.words, self.off = self.words.take(pa.array(keep)), np.r_[0, end]
+        found = pc.index_in(words, value_set=self.words)
+        new = words.filter(found.is_null())
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        if len(new):
+            made = self.make(new.to_pylist())
+            size = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            at[at < 0] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, new])
+            self.off = np.r_[self.off, self.off[-1] + np.cumsum(size)]
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(made), "<u4")])
+        self.used = np.zeros(len(self.words), bool)
+        self.used[at] = True
+        return self.off[at], self.off[at + 1] - self.off[at], self.pool

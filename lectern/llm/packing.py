@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_views, text_of
+from .common import WordTable, byte_views, distinct_words, slices, text_of
 
 LENGTH, GROUP_DOCS, SLACK = 4096, 2048, 8
 
@@ -88,25 +88,56 @@ class WordIds:
     The vocabulary's pre-tokenizer never crosses white space and drops it, so a text's ids are those of its words in turn.
     """
 
-    def __init__(self, path: str, held: int = 300_000):
+    def __init__(self, path: str, held: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.held, self.known = Tokenizer.from_file(path), held, {}
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, as bytes."""
-        split = [t.split() for t in texts]
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        for lo in range(0, len(new), 8192):
-            part = new[lo : lo + 8192]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        if len(known) > self.held:
-            known.clear()
-        return out
+        self.tokenizer, self.known, self.cores = Tokenizer.from_file(path), WordTable(held, self._ask), WordTable(held, self._encode)
+        self.mark = next((a.content for _, a in sorted(self.tokenizer.get_added_tokens_decoder().items(), reverse=True) if a.special and not (a.lstrip or a.rstrip)), None)
+        self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else None
+
+    def _ask(self, words: list[str]) -> list[bytes]:
+        """A closing mark after a letter is always a piece of its own, and case is dropped: so cores are asked for."""
+        cores, tails = [], []
+        for w in words:
+            tail = ""
+            if len(w) > 1 and w[-1] in ",.;:!?" and "A" <= w[-2] < "\u0130" and w[-2].isalpha():
+                w, tail = w[:-1], w[-1]
+            cores.append(w.lower() if w.isalpha() and max(w) < "\u0130" else w)
+            tails.append(tail)
+        few = list(dict.fromkeys([*cores, *filter(None, tails)]))
+        start, size, pool = self.cores.rows(pa.array(few, pa.string()))
+        raw = pool.tobytes()
+        ids = {w: raw[4 * s : 4 * (s + n)] for w, s, n in zip(few, start.tolist(), size.tolist())}
+        return [ids[c] + ids[t] if t else ids[c] for c, t in zip(cores, tails)]
+
+    def _encode(self, words: list[str], together: int = 64) -> list[bytes]:
+        """Several words in one call, held apart by a special token; a word that has it inside goes alone."""
+        alone = [w for w in words if not self.mark or self.mark in w]
+        found = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in alone}
+        rest = [w for w in words if w not in found]
+        for lo in range(0, len(rest), 128 * together):
+            parts = [rest[k : k + together] for k in range(lo, min(len(rest), lo + 128 * together), together)]
+            for part, e in zip(parts, self.tokenizer.encode_batch_fast([self.mark.join(p) for p in parts], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                at = np.flatnonzero(ids == self.mark_id)
+                if len(at) != len(part) - 1:
+                    raise ValueError("the vocabulary's special token doesn't hold words apart")
+                raw, s = ids.tobytes(), 0
+                for w, e_ in zip(part, [*at.tolist(), len(ids)]):
+                    found[w] = raw[4 * s : 4 * e_]
+                    s = e_ + 1
+        return [found[w] for w in words]
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in one array, and where each text's begin and end."""
+        codes, words, off = distinct_words(texts)
+        start, size, pool = self.known.rows(words)
+        n = size[codes]
+        end = np.cumsum(n)
+        at = np.repeat(start[codes] - (end - n), n)
+        at += np.arange(len(at))
+        return pool[at], np.r_[0, end][off]
 
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, length: int = LENGTH, group_docs: int = GROUP_DOCS, slack: int = SLACK) -> DataFrame:
@@ -120,24 +151,19 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
 
     def tokenized(batches):
-        words = WordIds(vocabulary)
-        end = np.array([end_id], "<u4").tobytes()
-        step = 4 * length
+        words, end = WordIds(vocabulary), np.array([end_id], "<u4")
         for b in batches:
-            off, raw = byte_views(b.column(1))
-            lo, n = 0, len(off) - 1
-            while lo < n:
-                hi = max(lo + 1, min(n, lo + 256, int(np.searchsorted(off, off[lo] + (2 << 20)))))
+            off, _ = byte_views(b.column(1))
+            for lo, hi in slices(off, 8 << 20):
+                ids, at = words.of(b.column(1).slice(lo, hi - lo))
                 counts, crcs, rests = [], [], []
-                for ids in words.of([raw[s:e].tobytes() for s, e in zip(off[lo:hi], off[lo + 1 : hi + 1])]):
-                    ids += end
-                    full = len(ids) // step
-                    counts.append(len(ids) // 4)
-                    crcs.append([zlib.crc32(ids[k * step : (k + 1) * step]) for k in range(full)])
-                    # ids under 65536 travel as two bytes
-                    rests.append(np.frombuffer(ids[full * step :], "<u4").astype("<u2").tobytes())
+                for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+                    full = (e - s + 1) // length
+                    counts.append(e - s + 1)
+                    own = np.concatenate([ids[s:e], end])
+                    crcs.append([zlib.crc32(own[k * length : (k + 1) * length]) for k in range(full)])
+                    rests.append(own[full * length :].astype("<u2").tobytes())  # ids under 65536 travel as two bytes
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary())], ["id", "pack", "tokens", "crcs", "rest"])
-                lo = hi
 
     def packed(group: pa.Table) -> pa.Table:
         group = group.sort_by([("id", "ascending"), ("tokens", "ascending"), ("rest", "ascending")])

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Generations, byte_views, distinct_words, slices, text_of
+from .common import WordTable, byte_views, distinct_words, slices, text_of
 
 
 class Merger:
     """Counts tokens of words under the merge list of a ``tokenizers`` BPE file."""
 
-    def __init__(self, path: str, held: int = 500_000):
+    def __init__(self, path: str, held: int = 1_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -39,7 +39,7 @@ class Merger:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab = model["vocab"]
         self.ranks: dict[tuple[str, str], int] = {tuple(m): i for i, m in enumerate(model["merges"])}
-        self.known = Generations(held)
+        self.known = WordTable(held, lambda new: [self.of_word(w).to_bytes(4, "little") for w in new])
 
     def initial(self, piece: str) -> list[str]:
         """A piece's first symbols: its characters, the last with the word's end."""
@@ -84,8 +84,8 @@ class Merger:
     def of(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text: its pieces never cross white space, so each distinct word is merged once."""
         codes, words, off = distinct_words(texts)
-        each = np.array(self.known.of(words, lambda new: map(self.of_word, new)), np.int64)
-        return np.diff(np.r_[0, np.cumsum(each[codes])][off])
+        at, _, counts = self.known.rows(words)
+        return np.diff(np.r_[0, np.cumsum(counts[at][codes], dtype=np.int64)][off])
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
