@@ -1,9 +1,10 @@
 """Quality rules with risk-controlled thresholds (DataFrame functions only).
 
 Each document gets a few measures. A labelled holdout tells, per stratum, how often a cutoff on a measure would reject a
-document that its label calls good. Of the cutoffs whose false rejection is under ``risk`` with the required confidence -
-by the exact binomial tail, the error split over all cutoffs, measures and strata tried - the one that rejects most is
-selected. A stratum whose holdout is too small to prove anything keeps everything.
+document that its label calls good. Of the cutoffs whose false rejection is under the allowed risk with the required
+confidence - by the exact binomial tail, the error split over all cutoffs, measures and strata tried - the one that rejects
+most is selected. The risk is split over the measures, so that all together stay under it. A stratum whose holdout is too
+small to prove anything keeps everything.
 """
 
 from __future__ import annotations
@@ -83,10 +84,11 @@ def thresholds(labelled: DataFrame, strata: DataFrame, grids: dict[str, tuple[fl
     """``stratum, measure, cutoff``: the selected cutoffs.
 
     ``labelled(stratum, good, <measures>)`` is the holdout; ``strata(stratum)`` names the strata, over which the allowed
-    ``error`` is split along with measures and cutoffs (Bonferroni). A cutoff is admitted if, were its false rejection
-    ``risk`` or more, so few rejected good documents would have a chance below its share of the error.
+    ``error`` is split along with measures and cutoffs (Bonferroni). A cutoff is admitted if, were its false rejection its
+    measure's share of ``risk`` or more, so few rejected good documents would have a chance below its share of the error.
     """
     grids = grids or GRIDS
+    risk /= len(grids)
     tried = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(c).alias("cutoff"), F.col(m).alias("value")) for m, cs in grids.items() for c in cs]))
     each = labelled.where("good").select("stratum", tried.alias("t")).select("stratum", "t.*")
     counts = each.groupBy("stratum", "measure", "cutoff").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("value") > F.col("cutoff")).cast("long")).alias("k"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, html_extract, language_id, mixing, packing, quality_rules, simhash, substring_dedup, token_count, url_filter
+from .oracles import ORACLES  # noqa: F401
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -69,5 +70,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_exact_dedup, op2_language_id, op3_html_extraction, op4_simhash, op5_url_filter, op6_substring_dedup, op7_mixing, op8_token_count, op9_packing, op10_quality_rules)
 }
-
-ORACLES: dict[str, str] = {}
