@@ -1,0 +1,396 @@
+"""Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeats and empty tables."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from lectern.llm import components, exact_dedup, html_extract, language_id, mixing, packing, quality_rules, simhash, substring_dedup, token_count, url_filter
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp int, h string, stratum string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(s):
+    return s.encode().lower().decode()
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Random texts with copies, near copies, shared passages, nulls, repeated rows and a very long text."""
+    rng = random.Random(7)
+    vocabulary = ["w%d" % i for i in range(300)] + ["Über", "naïve,", "the", "of", "$$$", "e\u0301a", "\u00a0x"]
+    text = lambda n: "".join(rng.choice(vocabulary) + rng.choice([" ", " ", " ", "\n", "\t ", "  "]) for _ in range(n))
+    texts = [text(rng.choice([0, 1, 3, 4, 5, 20, 60, 120, 300])) for _ in range(60)]
+    texts += [texts[50], texts[50].upper(), texts[51] + " tail", "x " + texts[52], texts[53].replace("w1 ", "w2 ")]
+    texts += [None, "", " \n ", "a" * 50_000, "b c " * 8_000, text(30_000)]
+    passage = text(40)
+    texts += [text(20) + passage + text(15), text(5) + passage, passage]
+    out = [(i * 3 % 101, t) for i, t in enumerate(texts)]
+    out += [out[3], out[3], (None, texts[5]), (None, None), (out[7][0], texts[8])]
+    return [(i, t, rng.choice(["en", "de", None]), rng.choice(["a", "b", "\u00e9", None]), 1, "x", 1, "y", None) for i, t in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def got(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("bits", [64, 7])
+def test_exact_groups(docs, rows, none, bits):
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[lower(r[1] or "")].append(r[0])
+    exp = []
+    for t, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        seen = set()
+        for i in ids:
+            exp.append((i, keep, len(ids), i == keep and i not in seen, hashlib.sha256(t.encode()).hexdigest()))
+            seen.add(i)
+    cols = ("id", "keep_id", "group_size", "kept", "text_sha256")
+    assert got(exact_dedup.exact_groups(docs, hash_bits=bits), *cols) == sorted(exp, key=repr)
+    assert exact_dedup.exact_groups(none).count() == 0
+    assert exact_dedup.drop_exact_duplicates(docs).count() == len(groups)
+    assert exact_dedup.drop_exact_duplicates(docs).columns == docs.columns
+
+
+def test_chunks_follow_content():
+    rng = np.random.default_rng(1)
+    a = rng.integers(97, 123, 60_000).astype(np.uint8)
+    b = np.concatenate([rng.integers(97, 123, 777).astype(np.uint8), a])
+    cuts = lambda x: exact_dedup.cut_points(x, np.array([0, len(x)]), 10, 256, 8192)[0]
+    pieces = lambda x: {x[s:e].tobytes() for s, e in zip([0, *cuts(x)], cuts(x))}
+    assert len(pieces(a) & pieces(b)) > 0.9 * len(pieces(a))
+    assert all(e - s <= 8192 for s, e in zip([0, *cuts(a)], cuts(a)))
+
+
+def brute_fingerprint(text):
+    w = WORD.findall(lower(text or ""))
+    if not w:
+        return 0
+    s = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(ids, fps, radius):
+    up = list(range(len(fps)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= radius:
+                up[root(i)] = root(j)
+    least = collections.defaultdict(list)
+    for i in range(len(fps)):
+        least[root(i)].append(ids[i])
+    return [min((x for x in least[root(i)] if x is not None), default=None) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("blocks", [None, 8])
+def test_near_groups(docs, rows, none, blocks):
+    ids, fps = [r[0] for r in rows], [brute_fingerprint(r[1]) for r in rows]
+    exp = [(i, f"{f:016x}", c) for i, f, c in zip(ids, fps, brute_components(ids, fps, 4))]
+    assert got(simhash.near_groups(docs, blocks=blocks), "id", "fingerprint", "component_id") == sorted(exp, key=repr)
+    assert simhash.near_groups(none).count() == 0
+
+
+def test_links_connect_dense_and_sparse_points(spark):
+    rng = random.Random(3)
+    centre = rng.getrandbits(64)
+    fps = {rng.getrandbits(64) for _ in range(300)} | {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(300)}
+    fps |= {0, 1, 3, 7, 15, 31, (1 << 64) - 1}
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    parts = {r.node: r.component for r in components.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()}
+    exp = brute_components(signed, fps, 4)
+    mine = [parts.get(f, f) for f in signed]
+    assert [mine.index(m) for m in mine] == [exp.index(e) for e in exp]
+    e = simhash.embed(np.array(fps, np.uint64))
+    for i, j in ((rng.randrange(len(fps)), rng.randrange(len(fps))) for _ in range(500)):
+        assert int(np.bitwise_count(e[i] ^ e[j])) <= bin(fps[i] ^ fps[j]).count("1")
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5000, 5000), (-5, -3)]
+    random.Random(1).shuffle(edges)
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
+    assert found == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(50)} | {-5: -5, -3: -5}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def brute_removal(rows, width=13):
+    words = [(r[0], (r[1] or "").encode().split()) for r in rows]
+    first = {}
+    for i, w in words:
+        if i is not None:
+            for k in range(len(w) - width + 1):
+                g = tuple(w[k : k + width])
+                first[g] = min(first.get(g, i), i)
+    for i, w in words:
+        gone = set()
+        for k in range(len(w) - width + 1):
+            if i is not None and first[tuple(w[k : k + width])] < i:
+                gone.update(range(k, k + width))
+        yield i, len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()
+
+
+@pytest.mark.parametrize("bits,flush", [(64, 1_500_000), (64, 500), (12, 3_000)])
+def test_remove_repeats(docs, rows, none, bits, flush):
+    found = substring_dedup.remove_repeats(docs, bits=bits, flush=flush)
+    assert got(found, "id", "n_words", "n_removed", "kept_sha256") == sorted(brute_removal(rows), key=repr)
+    assert substring_dedup.remove_repeats(none).count() == 0
+
+
+def test_paths_are_glued(spark):
+    parts = spark.createDataFrame([(9, 0, 5, 1, 10), (9, 5, 3, 1, 15), (9, 8, 2, 2, 18), (9, 12, 1, 1, 20)], substring_dedup.SPAN)
+    assert got(substring_dedup.glued(parts), "id", "start", "len", "src", "src_start") == [(9, 0, 8, 1, 10), (9, 12, 1, 1, 20), (9, 8, 2, 2, 18)]
+
+
+def test_mix(docs, rows, none):
+    r = mixing.mix(docs, cap=2).collect()
+    size = lambda t: len(WORD.findall(t or ""))
+    assert collections.Counter((x["doc_id"], x["__size"]) for x in r) == collections.Counter((x[0], size(x[1])) for x in rows)
+    sources = sorted({x[3] for x in rows}, key=lambda s: (s is None, (s or "").encode()))
+    total = {s: sum(size(x[1]) for x in rows if x[3] == s) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    target, left, open_ = dict.fromkeys(sources, 0.0), 1.5 * sum(total.values()), set(sources)
+    while left > 1e-6 and open_:  # share, cut at twice the size, share the excess again
+        part = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        left = 0.0
+        for s, p in part.items():
+            target[s] += p
+            if target[s] >= 2 * total[s]:
+                left += target[s] - 2 * total[s]
+                target[s] = 2.0 * total[s]
+                open_.discard(s)
+    longest = max(x["__size"] for x in r)
+    for s in sources:
+        mine = [x for x in r if x["source"] == s]
+        assert all(x["__target"] == pytest.approx(target[s]) and x["__source_size"] == total[s] for x in mine)
+        assert abs(sum(x["__copies"] * x["__size"] for x in mine) - target[s]) <= longest + 1
+    assert all(0 <= x["__copies"] <= 2 for x in r)
+    emitted = mixing.emit(docs)
+    assert emitted.columns == docs.columns
+    assert collections.Counter((x.doc_id, x.text) for x in emitted.collect()) == collections.Counter(dict_of(r))
+    assert mixing.mix(none).count() == 0 and mixing.emit(none).count() == 0
+
+
+def dict_of(r):
+    out = []
+    for x in r:
+        out += [(x["doc_id"], x["text"])] * x["__copies"]
+    return out
+
+
+def test_pieces_rebuild_every_document(docs, rows, none):
+    t = Tokenizer.from_file(VOCABULARY)
+    found = packing.pieces(docs, VOCABULARY, group_docs=16).collect()
+    ids = {}
+    for r in rows:
+        e = [*t.encode(r[1] or "", add_special_tokens=False).ids, 2]
+        ids.setdefault((r[0], len(e)), []).append(e)
+    spans, bins = collections.defaultdict(list), collections.defaultdict(list)
+    for x in found:
+        want = {zlib.crc32(np.array(e[x.start : x.start + x.length], "<u4").tobytes()) for e in ids[x.id, x.doc_tokens]}
+        assert x.ids_crc32 in want and x.length > 0
+        spans[x.id, x.doc_tokens].append((x.start, x.length))
+        bins[x.sequence_id].append((x.offset, x.length))
+    for k, es in ids.items():  # each id once for each row
+        cover = collections.Counter(p for s, n in spans[k] for p in range(s, s + n))
+        assert cover == collections.Counter({p: len(es) for p in range(k[1])})
+    padding = 0
+    for b in bins.values():
+        at = 0
+        for o, n in sorted(b):
+            assert o == at
+            at += n
+        assert at <= 4096
+        padding += 0 if at & (at - 1) == 0 else 4096 - at
+    assert padding <= 8 * len(bins)
+    assert packing.pieces(none, VOCABULARY).count() == 0
+
+
+def test_first_fit_decreasing():
+    rng = random.Random(2)
+    for _ in range(50):
+        sizes = [rng.randrange(1, 101) for _ in range(rng.randrange(0, 60))]
+        room, bins = [], []
+        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+            b = next((k for k, r in enumerate(room) if r >= sizes[i]), None)
+            if b is None:
+                b = len(room)
+                room.append(100)
+                bins.append([])
+            room[b] -= sizes[i]
+            bins[b].append(i)
+        assert packing.first_fit_decreasing(sizes, 100) == bins
+
+
+def test_token_counts_equal_the_library(docs, rows, none):
+    t = Tokenizer.from_file(VOCABULARY)
+    exp = [(r[0], len((r[1] or "").encode()), n := len(t.encode(r[1] or "", add_special_tokens=False).ids), n > 2048) for r in rows]
+    assert got(token_count.token_counts(docs, VOCABULARY), "id", "n_bytes", "n_tokens", "over_limit") == sorted(exp, key=repr)
+    assert token_count.token_counts(none, VOCABULARY).count() == 0
+
+
+def test_token_counts_and_ids_of_odd_characters():
+    rng = random.Random(1)
+    pool = ["'s", "don't", "<|endoftext|>", "<|startoftext|>x", "\u0130", "\u03a3", "e\u0301", "\x1c", "\x85", "\xa0", "\u2003", "\u200b", "漢字", "123", "²", "...", "ABC", "\U0001f600", "\ufb01", "\x00", "\u0149", "हिन्दी", "\t", "\n", " ", ",", "ª"]
+    texts = ["".join(rng.choice(pool) if rng.random() < 0.7 else chr(rng.randrange(32, 0x2FFF)) for _ in range(rng.randrange(0, 12))) for _ in range(1500)]
+    t, ids = Tokenizer.from_file(VOCABULARY), packing.WordIds(VOCABULARY, held=200)
+    exp = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [x.tolist() for x in ids.of(pa.array(texts), block=100)] == exp
+    counter = token_count.Merger(VOCABULARY, held=200)
+    for lo in range(0, len(texts), 100):
+        assert counter.of(pa.array(texts[lo : lo + 100])).tolist() == [len(e) for e in exp[lo : lo + 100]]
+
+
+def test_quality_measures(docs, rows, none):
+    exp = []
+    for r in rows:
+        t = r[1] or ""
+        w = WORD.findall(t)
+        c = collections.Counter(zip(w, w[1:], w[2:]))
+        cover = {p for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        exp.append((r[0], len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w)))
+    labels = docs.sparkSession.createDataFrame([(3, True), (3, False), (None, True), (6, None)], "id long, good boolean")
+    found = quality_rules.judge(docs, labels)
+    assert got(found, "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(exp, key=repr)
+    assert all(r.kept == (not r.base_failed) for r in found.collect())  # nothing is proved by so few labels
+    assert quality_rules.judge(none, labels).count() == 0
+
+
+def test_binomial_tail_is_exact(spark):
+    from math import comb
+
+    cases = [(0, 10, 0.1), (3, 50, 0.02), (7, 400, 0.02), (0, 5000, 0.02), (60, 5000, 0.02)]
+    for k, n, p in cases:
+        df = spark.createDataFrame([(k, n)], "k long, n long")
+        mine = df.select(quality_rules.binomial_tail(df.k, df.n, p)).first()[0]
+        from fractions import Fraction
+
+        q = Fraction(p)
+        exact = float(sum(comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k + 1)))
+        assert mine == pytest.approx(exact, rel=1e-8)
+
+
+def test_thresholds_hold_the_risk(spark):
+    rng = random.Random(5)
+    rows = [("s", True, rng.random() * 0.5, 0.0) for _ in range(4000)] + [("s", False, 0.9, 0.0)] * 500 + [("t", True, 0.1, 0.0)] * 20
+    labelled = spark.createDataFrame(rows, "stratum string, good boolean, a double, b double")
+    grids = {"a": (0.1, 0.3, 0.49, 0.499, 0.6), "b": (0.5,)}
+    chosen = quality_rules.thresholds(labelled, labelled.select("stratum").distinct(), grids, risk=0.02, error=0.05)
+    assert got(chosen, "stratum", "measure", "cutoff") == [("s", "a", 0.499), ("s", "b", 0.5)]
+
+
+def test_language_model_codes_add_up():
+    model = language_id.fit({"x": [b"abracadabra abra", b"cadabra abra"], "y": [b"zyzzyva zyx", b"xyzzy"]})
+    a = model.classes
+    unseen = 256 - (a - 1)
+    p = np.exp2(-model.bits.reshape(-1, a, 2).astype(float))
+    assert np.allclose(p[:, 1:].sum(1) + unseen * p[:, 0], 1, atol=1e-4)
+
+
+def test_language_model_reads_the_longest_context():
+    model = language_id.fit({"x": [b"the cat sat on the mat and the dog " * 5]})
+    text = b"the dog sat \xff on"
+    whole = language_id.code_lengths(model, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0, 0]
+    a, total = model.classes, 0.0
+    for i, byte in enumerate(text):
+        c = [int(model.byte_class[x]) for x in text[max(0, i - 3) : i]]
+        node = c[-1] if c else 0
+        if len(c) >= 2:
+            node = model.node2[c[-2] * a + c[-1]]
+        if len(c) == 3:
+            node = model.node3[model.node2[c[0] * a + c[1]] * a + c[2]]
+        total += model.bits[node * a + model.byte_class[byte], 0]
+    assert whole == pytest.approx(total, rel=1e-5)
+    two = np.frombuffer(text + text, np.uint8)
+    assert language_id.code_lengths(model, two, np.array([0, len(text), len(text), 2 * len(text)]))[:, 0] == pytest.approx([whole, 0, whole], rel=1e-5)
+
+
+def test_languages_are_told_apart(spark, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    from pyspark.sql import functions as F
+
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    model = language_id.train(docs, allowed=fold != 2)
+    found = language_id.identify(docs.where(fold == 2).withColumnRenamed("lang", "truth"), model).join(docs, F.col("id") == F.col("doc_id")).collect()
+    assert sum(r.lang_pred == r.lang for r in found) >= 0.98 * len(found)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !"), (None, "the of and")], "doc_id long, text string")
+    r = {x.id: x for x in language_id.identify(odd, model).collect()}
+    assert [r[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and r[None].lang_pred == "en" and 0 <= r[None].score <= 1
+    assert language_id.identify(none, model).count() == 0
+    empty = language_id.train(none)
+    assert {x.lang_pred for x in language_id.identify(odd, empty).collect()} == {"und"}
+
+
+def test_html_pages():
+    w = html_extract.learn()
+    text = lambda p: html_extract.main_text(p, w)
+    for page in html_extract.LABELLED:
+        start, end = page.index("[["), page.index("]]")
+        inside = re.sub(r"<[^>]*>", " ", page[start + 2 : end])
+        assert text(page.replace("[[", "").replace("]]", "")).split() == inside.split()
+    page = """<body><div class="sidebar">side words go here</div><div id=content><p>Real   text\n one &amp; two.</p><div class="cookie-notice">We use cookies</div>
+    <p>Second&nbsp;&lt;x&gt;<p>third<form>Name <input></form></div><section class="comments"><p>Nice post! loved it so much</p></section><footer>(c) us</footer></body>"""
+    assert text(page) == "Real text one & two.\nSecond <x>\nthird"
+    assert text(None) == text("") == text("<nav>menu</nav><script>var a='<p>x</p>'</script>") == ""
+    assert text("just words") == "just words" and text("<p>cut off <b") == "cut off" and text("<p>a <i>b</i>c <a href=\"q>d</a> e</p>").startswith("a bc")
+    assert html_extract.best_region([-1, 2, -1, 3, -5, 4]) == (1, 4)
+
+
+def test_html_of_the_tables(spark):
+    import html as h
+
+    found = html_extract.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    for r in found:
+        a = pages[r.id].split("<article>")[1].split("</article>")[0]
+        blocks = [" ".join(h.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", a)]
+        assert r.text == "\n".join(filter(None, blocks)) and r.n_chars == len(r.text)
+
+
+def test_urls(spark, none):
+    urls = ["https://WWW.Example.com/en/7?x=/de/", "http://example.com/en/8", "http://a.example.net/de/81#q", "ftp://x.net/de/", "http://org/es/", "http://forg/es/", None, "no scheme", "http://", "http://casino-win.example.org/fr/", "http://good.example.org?q", "x://a.com"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, urls[0])], "page_id long, url string")
+    model = url_filter.train(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    r = {x.id: x for x in url_filter.verdicts(pages, model).collect()}
+    assert [(r[i].host, r[i].path, r[i].rule, r[i].verdict) for i in range(6)] == [
+        ("www.example.com", "/en/7", "example.com/en/7", "allow"), ("example.com", "/en/8", "com/en/", "block"), ("a.example.net", "/de/81", "example.net/de/8", "allow"),
+        ("x.net", "/de/", "net/de/", "block"), ("org", "/es/", "org/es/", "block"), ("forg", "/es/", None, r[5].verdict),
+    ]
+    assert all((r[i].host, r[i].path, r[i].verdict) == ("", "", "allow") for i in (6, 7, 8))
+    assert r[9].verdict == "block" and r[10].verdict == "allow" and r[10].path == "" and r[None].rule == r[0].rule
+    assert url_filter.verdicts(spark.createDataFrame([], "page_id long, url string"), model).count() == 0
+
+
+def test_character_model_sums_to_one():
+    m = url_filter.Markov(3).fit(["abc.example", "abd.example"])
+    for context in ("", "ab", "zzz", "^ab"):
+        assert sum(m.probability(context, c) for c in [*m.alphabet, "\x00"]) == pytest.approx(1)

@@ -1,0 +1,54 @@
+"""The pipeline's stages on a small table, each against a brute-force version of its own input."""
+
+import collections
+
+import pytest
+
+import corpus_pipeline
+from lectern.llm import simhash
+from lectern.llm.common import materialize
+
+
+@pytest.fixture(scope="module")
+def steps(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(90001, None, None, None, 0), (90002, "12 34", "en", "src1", 5), (90003, "", "en", None, 0), (None, docs.first().text + " more", "en", "src2", 9)], docs.schema)
+    out = [docs.union(odd)]
+    for _, f in corpus_pipeline.STAGES:
+        out.append(materialize(f(spark, out[-1], "/root/testdata/sf0.001")))
+    return [x.collect() for x in out], out
+
+
+def test_stages(steps):
+    (docs, known, exact, near, mixed, packed), frames = steps
+    assert [f.columns for f in frames[1:5]] == [frames[0].columns] * 4
+    assert {r.doc_id for r in docs} - {r.doc_id for r in known} == {90001, 90002, 90003}
+    best = {}
+    for r in known:
+        k = r.text.encode().lower()
+        best[k] = max(best.get(k, -1), -1 if r.doc_id is None else r.doc_id)
+    assert sorted(best.values()) == sorted(-1 if r.doc_id is None else r.doc_id for r in exact)
+    fps = [simhash.fingerprint(r.text.encode()) for r in exact]
+    ids = [r.doc_id for r in exact]
+    seen, groups = set(), 0
+    for i in range(len(ids)):
+        if i in seen:
+            continue
+        groups += 1
+        todo = [i]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [j for j in range(len(ids)) if bin(fps[x] ^ fps[j]).count("1") <= 4]
+    assert groups <= len(near) <= groups + 1  # a row without an id stays
+    assert set(collections.Counter(r.doc_id for r in mixed).values()) <= {1, 2}
+    tokens = collections.Counter()
+    for r in packed:
+        tokens[r.doc_id] += r.length
+    assert set(tokens) == {r.doc_id for r in mixed}
+
+
+def test_whole_run(spark):
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5
