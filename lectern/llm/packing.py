@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +89,7 @@ class WordIds:
     The vocabulary's pre-tokenizer never crosses white space and drops it, so a text's ids are those of its words in turn.
     """
 
-    def __init__(self, path: str, held: int = 1_000_000):
+    def __init__(self, path: str, held: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -129,15 +130,21 @@ class WordIds:
                     s = e_ + 1
         return [found[w] for w in words]
 
-    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids in one array, and where each text's begin and end."""
+    def of(self, texts: pa.Array, block: int = 256) -> Iterator[np.ndarray]:
+        """Ids of each text in turn. Words are looked up for all texts at once, ids put together block by block."""
         codes, words, off = distinct_words(texts)
         start, size, pool = self.known.rows(words)
-        n = size[codes]
-        end = np.cumsum(n)
-        at = np.repeat(start[codes] - (end - n), n)
-        at += np.arange(len(at))
-        return pool[at], np.r_[0, end][off]
+        start, size = start.astype(np.int32), size.astype(np.int32)
+        for lo in range(0, len(texts), block):
+            bounds = off[lo : lo + block + 1]
+            c = codes[bounds[0] : bounds[-1]]
+            n = size[c]
+            end = np.cumsum(n, dtype=np.int32)
+            at = np.repeat(start[c] - (end - n), n)
+            at += np.arange(len(at), dtype=np.int32)
+            ids, ends = pool[at], np.r_[0, end][bounds - bounds[0]].tolist()
+            for s, e in zip(ends, ends[1:]):
+                yield ids[s:e]
 
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, length: int = LENGTH, group_docs: int = GROUP_DOCS, slack: int = SLACK) -> DataFrame:
@@ -154,13 +161,12 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         words, end = WordIds(vocabulary), np.array([end_id], "<u4")
         for b in batches:
             off, _ = byte_views(b.column(1))
-            for lo, hi in slices(off, 8 << 20):
-                ids, at = words.of(b.column(1).slice(lo, hi - lo))
+            for lo, hi in slices(off, 32 << 20):
                 counts, crcs, rests = [], [], []
-                for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
-                    full = (e - s + 1) // length
-                    counts.append(e - s + 1)
-                    own = np.concatenate([ids[s:e], end])
+                for ids in words.of(b.column(1).slice(lo, hi - lo)):
+                    own = np.concatenate([ids, end])
+                    full = len(own) // length
+                    counts.append(len(own))
                     crcs.append([zlib.crc32(own[k * length : (k + 1) * length]) for k in range(full)])
                     rests.append(own[full * length :].astype("<u2").tobytes())  # ids under 65536 travel as two bytes
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary())], ["id", "pack", "tokens", "crcs", "rest"])
