@@ -23,8 +23,9 @@ def grid(competencies: DataFrame, languages: DataFrame, types: DataFrame, diffic
 
 def changed_documents(current: DataFrame, previous: DataFrame) -> DataFrame:
     """``document`` of every hash that is new or differs; documents that went away are not told."""
-    p = previous.select("document", F.col("content_hash").alias("was"))
-    return current.join(p, "document", "left").where(~F.col("content_hash").eqNullSafe(F.col("was"))).select("document")
+    p = previous.select("document", F.struct(F.col("content_hash").alias("hash")).alias("was"))
+    same = F.col("was").isNotNull() & F.col("content_hash").eqNullSafe(F.col("was.hash"))
+    return current.join(p, "document", "left").where(~same).select("document")
 
 
 def touched(retrieved: DataFrame, changed: DataFrame, key: str = "competency_key") -> DataFrame:

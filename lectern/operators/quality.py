@@ -99,11 +99,16 @@ def gate_of(gating: tuple[str, ...] | None, scope: str) -> tuple[str, ...]:
     return found
 
 
+def mean_severity(severity="severity") -> Column:
+    """Mean that doesn't depend on the order of the rows: summed exactly to twelve digits. (A mean may lie on a threshold.)"""
+    return F.sum(t.col(severity).cast("decimal(18,12)")).cast("double") / F.count(t.col(severity))
+
+
 def decide(severities: DataFrame, threshold: float, gating: tuple[str, ...] | None = None, by: str = "item_id") -> DataFrame:
     """``aggregate_score, mean_severity, accepted`` of each item from ``(item, mode, severity)``: one minus the worst gating
     severity (none: 0) against the threshold; the mean is over all modes."""
     counted = F.col("mode").isin(*gating) if gating else F.lit(True)
-    agg = severities.groupBy(by).agg(F.coalesce(F.max(F.when(counted, F.col("severity"))), F.lit(0.0)).alias("worst"), F.coalesce(F.avg("severity"), F.lit(1.0)).alias("mean_severity"))
+    agg = severities.groupBy(by).agg(F.coalesce(F.max(F.when(counted, F.col("severity"))), F.lit(0.0)).alias("worst"), F.coalesce(mean_severity(), F.lit(1.0)).alias("mean_severity"))
     return agg.withColumn("aggregate_score", 1 - F.col("worst")).withColumn("accepted", F.col("aggregate_score") >= F.lit(threshold)).drop("worst")
 
 
@@ -151,4 +156,4 @@ def rounds_run(rounds: DataFrame, by: list[str]) -> DataFrame:
 def worst_modes(severities: DataFrame, by: str = "item_id") -> DataFrame:
     """``worst, mean, worst_mode``: the worst severity and the first mode, in their order, that has it."""
     place = F.array_position(F.array(*[F.lit(m) for m in FAILURE_MODES]), F.col("mode"))
-    return severities.groupBy(by).agg(F.max("severity").alias("worst"), F.avg("severity").alias("mean"), F.max_by("mode", F.struct(F.col("severity"), -place)).alias("worst_mode"))
+    return severities.groupBy(by).agg(F.max("severity").alias("worst"), mean_severity().alias("mean"), F.max_by("mode", F.struct(F.col("severity"), -place)).alias("worst_mode"))

@@ -58,7 +58,7 @@ sql("cosine_topk", "SELECT query_id, chunk_id, rank, round(score, 6) AS score FR
 
 def _decide(threshold: float, gate: tuple = ()) -> str:
     worst = "max(severity)" + (f" FILTER (mode IN {gate})" if gate else "")
-    return f"SELECT item_id, 1 - coalesce({worst}, 0) AS aggregate_score, avg(severity) AS mean_severity, 1 - coalesce({worst}, 0) >= {threshold}e0 AS accepted FROM fx_severity GROUP BY item_id"
+    return f"SELECT item_id, 1 - coalesce({worst}, 0) AS aggregate_score, CAST(sum(CAST(severity AS DECIMAL(18, 12))) AS DOUBLE) / count(severity) AS mean_severity, 1 - coalesce({worst}, 0) >= {threshold}e0 AS accepted FROM fx_severity GROUP BY item_id"
 
 
 DECIDED = f"d AS ({_decide(0.7)}), items AS (SELECT i.*, d.accepted FROM fx_item i LEFT JOIN d USING (item_id))"
@@ -191,7 +191,7 @@ ORDINAL = "CASE mode " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(F
 sql("threshold_sweep", f"""
 SELECT CAST(step AS BIGINT) AS step, threshold, count(*) AS total, CAST(count(*) FILTER (1 - worst >= threshold) AS BIGINT) AS accepted, CAST(count(*) FILTER (1 - mean >= threshold) AS BIGINT) AS accepted_mean,
  {", ".join(f"CAST(count(*) FILTER (NOT 1 - worst >= threshold AND worst_mode = '{m}') AS BIGINT) AS worst_{m.lower()}" for m in FAILURE_MODES)}
-FROM (SELECT item_id, max(severity) AS worst, avg(severity) AS mean, arg_max(mode, (severity, -({ORDINAL}))) AS worst_mode FROM fx_severity GROUP BY 1), (VALUES {STEPS}) s(step, threshold) GROUP BY 1, 2""", "fx_severity")
+FROM (SELECT item_id, max(severity) AS worst, CAST(sum(CAST(severity AS DECIMAL(18, 12))) AS DOUBLE) / count(severity) AS mean, arg_max(mode, (severity, -({ORDINAL}))) AS worst_mode FROM fx_severity GROUP BY 1), (VALUES {STEPS}) s(step, threshold) GROUP BY 1, 2""", "fx_severity")
 MEAN = ", ".join(f"round(avg(severity) FILTER (mode = '{m}'), 6) AS mean_{m.lower()}" for m in FAILURE_MODES)
 
 
