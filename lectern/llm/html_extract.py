@@ -35,9 +35,9 @@ CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "
 
 #: Labelled pages: content stands between [[ and ]].
 LABELLED = (
-    """<html><head><title>Tide tables</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/c>Contact us</a></li></ul></nav><article>[[<h1>Tide tables for the north shore</h1><p>The spring tide reaches the quay shortly after noon and turns within the hour.</p><p>Small boats should leave the harbour <b>before ten</b>, when the bar is still covered, and not come back until evening.</p><p>Fishing from the pier is allowed at all hours.</p>]]</article><footer>&copy; Harbour office. All rights reserved.</footer></body></html>""",
+    """<html><head><title>Tide tables</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/c>Contact us</a></li></ul></nav><article>[[<h1>Tide tables for the north shore</h1><p>The spring tide reaches the quay shortly after noon and turns within the hour.</p><p>Small boats should leave the harbour <b>before ten</b>, when the bar is still covered, and not come back until evening.</p><p>Fishing from the pier is allowed<br>at all hours,<br>also<br>at night.</p>]]</article><footer>&copy; Harbour office. All rights reserved.</footer></body></html>""",
     """<html><body><div><a href=1>Front page</a> | <a href=2>Sport</a> | <a href=3>Weather</a> | <a href=4>Culture</a></div><div><a href=5>Log in</a> <a href=6>Register</a></div><div>[[<p>Bread made with a slow dough keeps for a week, and its crust stays firm in a cool room.</p><p>Mix flour, water and salt in the evening; fold it twice, an hour apart, and leave it until morning.</p><ul><li>Bake it hot for the first ten minutes.</li><li>Then let the oven fall to a gentle heat.</li></ul><p>A loaf is done when it sounds hollow.</p>]]</div><div><a href=7>More recipes</a><br><a href=8>Most read</a><br><a href=9>Editor's choice</a></div><div><a href=10>Imprint</a> <a href=11>Privacy</a></div></body></html>""",
-    """<html><body><table><tr><td><a href=a>Index</a></td><td><a href=b>Up</a></td><td><a href=c>Next</a></td></tr></table><h2>[[On the grinding of lenses</h2><p>A lens is ground with sand of three degrees, the coarsest first, and polished with rouge upon pitch.</p><p>The tool must be wetted often, or it scratches; see <a href=d>the plate</a> for how it is held.</p><blockquote>He who hurries the last stage begins again from the first.</blockquote><p>In damp weather the pitch grows too hard and wants warming.</p>]]<hr><table><tr><td><a href=e>Previous</a></td><td><a href=f>Contents</a></td></tr></table><ul><li><a href=g>About</a></li><li><a href=h>Terms</a></li></ul></body></html>""",
+    """<html><body><table><tr><td><a href=a>Index</a></td><td><a href=b>Up</a></td><td><a href=c>Next</a></td></tr></table><h2>[[On the grinding of lenses</h2><p>A lens is ground with sand of three degrees, the coarsest first, and polished with rouge upon pitch.</p><p>The tool must be wetted often, or it scratches; see <a href=d>the plate</a> for how it is held.</p><blockquote>He who hurries the last stage<br>begins again from the first.</blockquote><p>In damp weather the pitch grows too hard and wants warming.</p>]]<hr><table><tr><td><a href=e>Previous</a></td><td><a href=f>Contents</a></td></tr></table><ul><li><a href=g>About</a></li><li><a href=h>Terms</a></li></ul></body></html>""",
     """<html><body><div><ul><li><a href=1>Shop</a></li><li><a href=2>Basket</a></li><li><a href=3>Help</a></li></ul></div><div><span>Monday</span><span>12 degrees</span></div><main>[[<h1>Why the bridge was moved</h1><div>When the river shifted its bed the old bridge stood in a meadow, useful to cows alone.</div><div>The parish took it down stone by stone, numbered each, and set it up again half a mile to the east, where it stands now.</div><p>Two stones are missing. Nobody has said who has them.</p>]]</main><div><ul><li><a href=4>Newer</a></li><li><a href=5>Older</a></li></ul></div><div><span>Tags</span> <a href=6>river</a> <a href=7>stone</a></div></body></html>""",
 )
 
@@ -62,7 +62,9 @@ class Weights:
     def of(self, x: Item) -> float:
         if x.skip:
             return 0.0  # furniture is left out of the text wherever it stands
-        return x.words * self.word.get(x.kind, 1.0) if x.words else self.tag.get(x.kind, self.other)
+        if x.text:
+            return x.words * self.word.get(x.kind, 1.0)
+        return self.tag.get(x.kind, self.other)
 
 
 def _furniture(name: str, attributes: str) -> bool:

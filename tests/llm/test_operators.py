@@ -355,8 +355,8 @@ def test_html_pages():
     text = lambda p: html_extract.main_text(p, w)
     for page in html_extract.LABELLED:
         start, end = page.index("[["), page.index("]]")
-        inside = re.sub(r"<[^>]*>", " ", page[start + 2 : end])
-        assert text(page.replace("[[", "").replace("]]", "")).split() == inside.split()
+        inside = re.sub(r"<[^>]*>", "", page[start + 2 : end])
+        assert "".join(text(page.replace("[[", "").replace("]]", "")).split()) == "".join(inside.split())
     page = """<body><div class="sidebar">side words go here</div><div id=content><p>Real   text\n one &amp; two.</p><div class="cookie-notice">We use cookies</div>
     <p>Second&nbsp;&lt;x&gt;<p>third<form>Name <input></form></div><section class="comments"><p>Nice post! loved it so much</p></section><footer>(c) us</footer></body>"""
     assert text(page) == "Real text one & two.\nSecond <x>\nthird"
