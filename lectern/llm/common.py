@@ -97,8 +97,8 @@ class WordTable:
     latest lookup stay.
     """
 
-    def __init__(self, held: int, make):
-        self.held, self.make = held, make
+    def __init__(self, held: int, make, piece: int = 150_000):
+        self.held, self.make, self.piece = held, make, piece
         self.words, self.pool, self.off = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def rows(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,12 +113,15 @@ class WordTable:
         new = words.filter(found.is_null())
         at = found.fill_null(-1).to_numpy().astype(np.int64)
         if len(new):
-            made = self.make(new.to_pylist())
-            size = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            sizes, pools = [np.zeros(0, np.int64)], [self.pool]
+            for lo in range(0, len(new), self.piece):  # in pieces, as Python's strings take many times their bytes
+                made = self.make(new.slice(lo, self.piece).to_pylist())
+                sizes.append(np.fromiter(map(len, made), np.int64, len(made)) // 4)
+                pools.append(np.frombuffer(b"".join(made), "<u4"))
             at[at < 0] = len(self.words) + np.arange(len(new))
             self.words = pa.concat_arrays([self.words, new])
-            self.off = np.r_[self.off, self.off[-1] + np.cumsum(size)]
-            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(made), "<u4")])
+            self.off = np.r_[self.off, self.off[-1] + np.cumsum(np.concatenate(sizes))]
+            self.pool = np.concatenate(pools)
         self.used = np.zeros(len(self.words), bool)
         self.used[at] = True
         return self.off[at], self.off[at + 1] - self.off[at], self.pool

@@ -89,7 +89,7 @@ class WordIds:
     The vocabulary's pre-tokenizer never crosses white space and drops it, so a text's ids are those of its words in turn.
     """
 
-    def __init__(self, path: str, held: int = 2_000_000):
+    def __init__(self, path: str, held: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -161,7 +161,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         words, end = WordIds(vocabulary), np.array([end_id], "<u4")
         for b in batches:
             off, _ = byte_views(b.column(1))
-            for lo, hi in slices(off, 32 << 20):
+            for lo, hi in slices(off, 16 << 20):
                 counts, crcs, rests = [], [], []
                 for ids in words.of(b.column(1).slice(lo, hi - lo)):
                     own = np.concatenate([ids, end])
@@ -170,6 +170,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                     crcs.append([zlib.crc32(own[k * length : (k + 1) * length]) for k in range(full)])
                     rests.append(own[full * length :].astype("<u2").tobytes())  # ids under 65536 travel as two bytes
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary())], ["id", "pack", "tokens", "crcs", "rest"])
+                pa.default_memory_pool().release_unused()
 
     def packed(group: pa.Table) -> pa.Table:
         group = group.sort_by([("id", "ascending"), ("tokens", "ascending"), ("rest", "ascending")])
