@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_views, slices, text_of
+from .common import byte_views, materialize, slices, text_of
 
 #: Documented bounds of the training sample: documents per language, and the longest text that may be drawn.
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 32_768
+#: What one line may weigh against a language, in bits.
+LINE_BITS = 120.0
 
 
 @dataclass
@@ -43,7 +45,12 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     Only ids and lengths are ranked; the few texts are fetched afterwards by a semi join of bounded size.
     """
     key = F.xxhash64(F.col(id_col).cast("string"))
-    ids = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & allowed & (F.octet_length(text_col) <= longest)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), key.alias("k"))
+    fits = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & allowed & (F.octet_length(text_col) <= longest)
+    ids = docs.where(fits).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), key.alias("k"))
+    # of a large language only a thin slice by the hash is ranked, some times what is wanted
+    n = materialize(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    top = (F.least(F.lit(1.0), F.lit(8.0 * docs_per_lang) / F.col("n")) * 2 - 1) * 2.0**63
+    ids = ids.join(n, "lang").where(F.col("k").cast("double") <= top).select("id", "lang", "k")
     w = Window.partitionBy("lang").orderBy("k", "id")
     picked = ids.withColumn("n", F.row_number().over(w)).where(F.col("n") <= docs_per_lang).select("id", "lang")
     few = F.broadcast(picked.withColumnRenamed("lang", "of"))  # at most docs_per_lang rows a language
@@ -191,12 +198,32 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit({x: [bytes(t) for t in g["text"]] for x, g in sample.groupby("lang")})
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_lengths(model: Model, raw: np.ndarray, off: np.ndarray, piece: int = 4 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code lengths of each line of the documents ``raw[off[i]:off[i+1]]``, and where each document's lines begin and end."""
+    lines = np.union1d(off, np.flatnonzero(raw[off[0] : off[-1]] == 10) + off[0] + 1)
+    if lines[-1] - lines[0] <= piece:
+        found = code_lengths(model, raw[lines[0] : lines[-1]], lines - lines[0])
+    else:  # one very long text: line by line, and long lines in pieces, each led by the three bytes before it
+        found = np.zeros((len(lines) - 1, len(model.langs)))
+        for k, (s, e) in enumerate(zip(lines[:-1].tolist(), lines[1:].tolist())):
+            for at in range(s, e, piece):
+                lead = min(3, at - s)
+                part = raw[at - lead : min(at + piece, e)]
+                found[k] += code_lengths(model, part, np.array([0, len(part)]))[0]
+                if lead:
+                    found[k] -= code_lengths(model, part[:lead], np.array([0, lead]))[0]
+    return found, np.searchsorted(lines, off[:-1]), np.searchsorted(lines, off[1:])
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", line_bits: float = LINE_BITS) -> DataFrame:
     """``id, lang_pred, score, bits_per_byte`` of every row, from its whole text alone.
 
-    ``lang_pred`` is the language of the shortest code (a tie: the first by name), ``und`` if the text is null or has no
-    letter, or if nothing was learned. ``score`` is the posterior of that language under equal priors, 0 for ``und``.
-    ``bits_per_byte`` is null for an empty text. Repeated rows and null ids are predicted like any other row.
+    Each line is coded under every language; by how many bits a language's code is longer than the line's shortest speaks
+    against it, up to ``line_bits`` a line, so that no single quoted passage outweighs the rest of a text. ``lang_pred`` is
+    the language with the least against it (a tie: the first by name), ``und`` if the text is null or has no letter, or if
+    nothing was learned. ``score`` is its posterior under equal priors, 0 for ``und``. ``bits_per_byte`` is its exact code
+    length over the text's length, null for an empty text. Repeated rows and null ids are predicted like any other row; an
+    empty table gives no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample's and the node limit
 
@@ -204,37 +231,27 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         m = shared.value
         for b in batches:
             off, raw = byte_views(b.column(1))
+            letter = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             preds, scores, rates = [], [], []
-            letter = b.column(2).to_numpy(zero_copy_only=False)
             for i, j in slices(off, 1 << 20):
                 if not m.langs:
                     preds += ["und"] * (j - i)
                     scores += [0.0] * (j - i)
                     rates += [None] * (j - i)
                     continue
-                total = whole(m, raw, off[i : j + 1])
-                best = total.argmin(axis=1)
-                least = total.min(axis=1)
-                score = 1 / np.exp2(np.maximum(least[:, None] - total, -1000)).sum(axis=1)
+                each, lo, hi = line_lengths(m, raw, off[i : j + 1])
+                summed = lambda x: (c := np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)]))[hi] - c[lo]  # noqa: B023, E731
+                total = summed(each)
+                against = summed(np.minimum(each - each.min(axis=1, keepdims=True), line_bits))
+                best = against.argmin(axis=1)
+                score = 1 / np.exp2(np.maximum(against.min(axis=1)[:, None] - against, -1000)).sum(axis=1)
+                size = np.diff(off[i : j + 1])
                 for k in range(j - i):
-                    n = off[i + k + 1] - off[i + k]
-                    ok = bool(letter[i + k])
+                    ok = letter[i + k]
                     preds.append(m.langs[best[k]] if ok else "und")
                     scores.append(float(score[k]) if ok else 0.0)
-                    rates.append(float(least[k] / n) if n else None)
+                    rates.append(float(total[k, best[k]] / size[k]) if size[k] else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], ["id", "lang_pred", "score", "bits_per_byte"])
 
-    def whole(m: Model, raw: np.ndarray, off: np.ndarray, piece: int = 4 << 20) -> np.ndarray:
-        if off[-1] - off[0] <= piece or len(off) > 2:
-            return code_lengths(m, raw[off[0] : off[-1]], off - off[0])
-        total = np.zeros((1, len(m.langs)))  # one very long text, in pieces; each after the first is led by 3 bytes of context
-        for s in range(int(off[0]), int(off[1]), piece):
-            lead = min(3, s - int(off[0]))
-            e = min(s + piece, int(off[1]))
-            total += code_lengths(m, raw[s - lead : e], np.array([0, e - s + lead]))
-            if lead:
-                total -= code_lengths(m, raw[s - lead : s], np.array([0, lead]))
-        return total
-
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     return slim.mapInArrow(run, "id long, lang_pred string, score double, bits_per_byte double")
