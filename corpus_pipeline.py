@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import exact_dedup, language_id, mixing, packing, simhash
-from lectern.llm.common import materialize
+from lectern.llm.common import materialize, small_batches, too_many
 
 #: A text is rejected at so many bits a byte under its best language: twice what running text of a known language takes,
 #: near what bytes without any order take.
@@ -20,20 +20,24 @@ REJECT_BITS = 6.0
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification: texts without a letter, or that no learned language codes at all well, go."""
+    small_batches(spark)
     model = language_id.train(docs)
     # prediction carries only the id; a row is found again by id and text, as an id may repeat or be null
     named = docs.withColumn("__row", F.xxhash64(F.col("doc_id"), F.col("text")))
     bad = language_id.identify(named, model, id_col="__row").where((F.col("lang_pred") == "und") | (F.col("bits_per_byte") > REJECT_BITS)).select(F.col("id").alias("__bad")).distinct()
-    return named.join(bad, F.col("__row") == F.col("__bad"), "left_anti").drop("__row")
+    bad = materialize(bad)  # its size is known then: a few rows are sent to every task, and no text is shuffled
+    return named.join(bad.hint("shuffle_hash") if too_many(bad) else bad, F.col("__row") == F.col("__bad"), "left_anti").drop("__row")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts the document with the largest id stays."""
+    small_batches(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: of each group the document with the smallest id stays."""
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
@@ -44,6 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: one row per piece of a document in a sequence."""
+    small_batches(spark)
     return packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 

@@ -42,6 +42,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Have Arrow carry so many rows at once. Texts are long: at the default of 10,000 the buffers of two tasks fill an
+    executor's memory outside its heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def regroup(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches joined to about ``most`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def lower_ascii(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)
@@ -76,9 +95,9 @@ def blobs(values: list[bytes]) -> pa.Array:
     return pa.array(values, type=pa.binary())
 
 
-def partitions_for(df: DataFrame, least: int = 1) -> int:
-    """The session's number of shuffle partitions."""
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+def too_many(keys: DataFrame, rows: int = 10_000) -> bool:
+    """Whether a table of short keys is beyond what the planner would send to every task."""
+    return keys.limit(rows + 1).count() > rows
 
 
 def distinct_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:

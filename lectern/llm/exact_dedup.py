@@ -166,9 +166,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clash = materialize(clash)
     # The chunks are verified now: without a clash a hash names one byte string, and recipes of hashes are exact.
     rows = recipes(docs, id_col, text_col, **cut) if clash.isEmpty() else _resolved(docs, id_col, text_col, clash, **cut)
-    per_id = rows.groupBy("id", "text_sha256", "recipe").agg(F.count(F.lit(1)).alias("n"))
-    groups = per_id.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
-    each = per_id.join(groups, "recipe").select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    per_id = materialize(rows.groupBy("id", "text_sha256", "recipe").agg(F.count(F.lit(1)).alias("n")))
+    # only groups of several rows are looked up; written apart, a hot recipe's rows can be split in the join
+    groups = materialize(per_id.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size")).where("group_size > 1"))
+    each = per_id.join(groups, "recipe", "left").withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))
+    each = each.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
     return each.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 
@@ -177,7 +179,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = materialize(exact_groups(docs, id_col, text_col))
     keep = found.where("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"))
     sha = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
-    held = docs.withColumn("__of", sha).join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__sha")), "left_semi")
+    held = docs.withColumn("__of", sha).join(keep.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__sha")), "left_semi")
     repeated = found.groupBy("id", "text_sha256").count().where("count > 1")
     if not repeated.isEmpty():  # the same id and text more than once: one row of each
         w = Window.partitionBy(id_col, "__of").orderBy(F.lit(0))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, byte_views, distinct_words, slices, text_of
+from .common import WordTable, byte_views, distinct_words, regroup, slices, text_of
 
 LENGTH, GROUP_DOCS, SLACK = 4096, 2048, 8
 
@@ -159,7 +159,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def tokenized(batches):
         words, end = WordIds(vocabulary), np.array([end_id], "<u4")
-        for b in batches:
+        for b in regroup(batches):
             off, _ = byte_views(b.column(1))
             for lo, hi in slices(off, 16 << 20):
                 counts, crcs, rests = [], [], []

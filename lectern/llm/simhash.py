@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_views, materialize, text_of
+from .common import byte_views, materialize, text_of, too_many
 from .components import Forest, components
 
 LOW = np.uint64(0x5555555555555555)
@@ -184,5 +184,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component. Rows without an id can't be told apart and stay."""
     found = near_groups(docs, id_col, text_col, **how)
-    go = found.where((F.col("id") != F.col("component_id"))).select(F.col("id").alias("__id"))
-    return docs.join(go, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    # written first, so that its size is known: few copies are sent to every task, many are hashed, texts are never sorted
+    go = materialize(found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__id")).distinct())
+    return docs.join(go.hint("shuffle_hash") if too_many(go) else go, F.col(id_col).cast("long") == F.col("__id"), "left_anti")

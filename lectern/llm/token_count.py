@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import WordTable, byte_views, distinct_words, slices, text_of
+from .common import WordTable, byte_views, distinct_words, regroup, slices, text_of
 
 
 class Merger:
@@ -98,7 +98,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def run(batches):
         m = Merger(vocabulary)
-        for b in batches:
+        for b in regroup(batches):
             off, _ = byte_views(b.column(1))
             n = np.concatenate([m.of(b.column(1).slice(i, j - i)) for i, j in slices(off, 8 << 20)] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
