@@ -130,3 +130,48 @@ def write_quiz_files(quizzes: DataFrame, path: str) -> None:
     """One folder of JSON per quiz (``quiz_id=...``); ``quizzes(quiz_id, <fields>)``."""
     fields = [c for c in quizzes.columns if c != "quiz_id"]
     quizzes.select("quiz_id", F.to_json(F.struct("quiz_id", *fields)).alias("value")).write.mode("overwrite").partitionBy("quiz_id").text(path)
+
+
+def join_results(results: DataFrame, sidecar: DataFrame, scope: str = "question") -> DataFrame:
+    """Evaluator results with what the sidecar knows, for one scope at a time: per-question results join by question, those of
+    whole quizzes by quiz. Results that don't apply (they carry full marks) are left out first."""
+    ok = results.where(F.col("applicable"))
+    if scope == "question":
+        return ok.where(F.col("question_id").isNotNull()).join(sidecar, ["quiz_id", "question_id"])
+    quizzes = sidecar.select("quiz_id", "generator_id").distinct()
+    return ok.where(F.col("question_id").isNull()).drop("question_id").join(quizzes, "quiz_id")
+
+
+def score_summary(joined: DataFrame) -> DataFrame:
+    """Mean score and number of results per generator and metric."""
+    return joined.groupBy("generator_id", "metric_name").agg(F.count(F.lit(1)).alias("results"), F.avg("score").alias("mean_score"))
+
+
+def sweep_export(quizzes: DataFrame, questions: DataFrame, requests: DataFrame, competencies: DataFrame, path: str) -> None:
+    """Write an experiment's evaluator input: ``quizzes`` (public), ``sidecars`` (hidden, by the same ids), ``instructions``.
+
+    Quizzes of unknown requests and quizzes without a question are left out of all three.
+    """
+    public = public_questions(questions, quizzes, requests, competencies)
+    each = F.array_sort(F.collect_list(F.struct("question_id", "question", "domain", "language", "competency", "learning_objective", "bloom_intended")))
+    shown = public.groupBy("quiz_id").agg(each.alias("questions"))
+    write_quiz_files(shown, f"{path}/quizzes")
+    hidden = hidden_questions(questions, quizzes).join(shown.select("quiz_id"), "quiz_id", "left_semi")
+    rest = [c for c in hidden.columns if c != "quiz_id"]
+    write_quiz_files(hidden.groupBy("quiz_id").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("questions")), f"{path}/sidecars")
+    asked = quizzes.join(requests, "request_key").join(shown.select("quiz_id"), "quiz_id", "left_semi")
+    write_quiz_files(asked.select("quiz_id", t.language_name("language").alias("language"), "course_key", F.col("objectives").alias("learning_objectives")), f"{path}/instructions")
+
+
+def evaluator_config(name: str, metrics: dict[str, str], disabled: tuple[str, ...] = (), runs: int = 3) -> str:
+    """An evaluator's configuration in YAML: one independent judge, the metrics with their versions, the folders of an export."""
+    import yaml
+
+    root = {
+        "benchmark": {"name": name, "version": "1.0.0", "runs": runs},
+        "evaluators": {"independent_judge": {"provider": "openai_compatible", "model": "<a model that made or judged none of these questions>", "temperature": 1.0, "max_tokens": 8000}},
+        "metrics": [{"name": m, "version": v, "evaluators": ["independent_judge"], "enabled": m not in disabled} for m, v in metrics.items()],
+        "inputs": {"quiz_directory": "quizzes", "source_directory": "<path to the course material>", "instructions_directory": "instructions"},
+        "outputs": {"results_directory": "results", "aggregate": True},
+    }
+    return yaml.safe_dump(root, sort_keys=False)

@@ -189,3 +189,20 @@ def run_recency(quizzes: DataFrame) -> DataFrame:
     """Runs with quizzes, the most recent first (``position``)."""
     out = quizzes.groupBy("run_id").agg(F.max("created_at").alias("latest"), F.count(F.lit(1)).alias("quizzes"))
     return out.withColumn("position", F.row_number().over(Window.orderBy(F.desc("latest"), "run_id")).cast("long"))
+
+
+def pool_summary(items: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One row about a pool: generated and failed items, competencies, and the judges that decided about it."""
+    judges = verdicts.join(items.select("item_id"), "item_id", "left_semi").agg(F.array_join(F.array_sort(F.collect_set("judge_model")), ",").alias("judges"))
+    made = F.col("state").isin("GENERATED", "FILTERING", "FILTERED", "FAILED_FILTER")
+    n = items.agg(F.coalesce(F.sum(made.cast("long")), F.lit(0)).alias("generated"), F.coalesce(F.sum((~made).cast("long")), F.lit(0)).alias("not_generated"), F.count_distinct("competency_key").alias("competencies"))
+    return n.crossJoin(judges)
+
+
+def judges_of_generators(configurations: DataFrame) -> DataFrame:
+    """Judges of each two-phase generator in the order of the configurations, each once; the first is the primary one."""
+    two = configurations.where("approach = 'two-phase'")
+    first = two.groupBy("generator", "judge").agg(F.min("ord").alias("ord"))
+    listed = F.array_sort(F.collect_list(F.struct("ord", "judge")))["judge"]
+    out = first.groupBy("generator").agg(listed.alias("judges"))
+    return out.withColumn("primary_judge", F.element_at("judges", 1))

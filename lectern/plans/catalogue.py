@@ -463,5 +463,33 @@ def competency_topics(fx):
     return corpus.competency_topics(fx.item.select("competency_key").distinct(), links, per)
 
 
+@query
+def pool_summary(fx):
+    return reports.pool_summary(fx.item.where("configuration_id = 'pool|local'"), fx.verdict)
+
+
+JUDGES = """
+SELECT 0 AS ord, 'two-phase' AS approach, 'local' AS generator, 'cloud' AS judge UNION ALL SELECT 1, 'agentic', 'local', 'other' UNION ALL SELECT 2, 'two-phase', 'local', 'local'
+UNION ALL SELECT 3, 'two-phase', 'local', 'cloud' UNION ALL SELECT 4, 'two-phase', 'cloud', 'local'"""
+
+
+@query
+def judges_of_generators(fx):
+    return reports.judges_of_generators(fx.spark.sql(JUDGES)).withColumn("judges", F.concat_ws(",", "judges"))
+
+
+RESULTS = """
+SELECT quiz_id, CASE WHEN turn % 5 = 4 THEN NULL ELSE concat(CAST(quiz_id AS VARCHAR(20)), '-q', CAST(turn AS VARCHAR(20))) END AS question_id, CASE WHEN turn % 2 = 0 THEN 'accuracy' ELSE 'clarity' END AS metric_name,
+ CASE WHEN quiz_id % 4 = 0 THEN 100 ELSE (quiz_id * 7 + turn * 13) % 101 END AS score, quiz_id % 4 <> 0 AS applicable FROM (SELECT conv_id AS quiz_id, turn FROM conversations) c"""
+
+
+@query
+def results_by_generator(fx):
+    results = fx.spark.sql(RESULTS.replace("FROM conversations", "FROM {conversations}"), conversations=fx.table("conversations"))
+    sidecar = export.hidden_questions(fx.question, _quiz_requests(fx).withColumn("configuration_id", F.concat(F.lit("g"), (F.col("quiz_id") % 3).cast("string"))))
+    both = [export.score_summary(export.join_results(results, sidecar, s)).withColumn("scope", F.lit(s)) for s in ("question", "quiz")]
+    return rounded(both[0].unionByName(both[1]), "mean_score")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["cost_per_configuration"](spark, sf_dir)

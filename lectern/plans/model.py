@@ -170,3 +170,23 @@ def selections(replies: DataFrame, known: DataFrame, key: list[str], cap: int) -
     calls = put.withColumn("__l", label).join(some, key, "left")
     label = F.coalesce("__l", F.when(F.col("call.failure_category").isNull() & F.col("__ok").isNull(), "SELECT_NO_CHOICE"))
     return chosen, calls.select(*key, with_failure(F.col("call"), label).alias("call"))
+
+
+class EmbeddingClient(Protocol):
+    """Must be picklable."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]: ...
+
+
+def embed(chunks: DataFrame, client: EmbeddingClient, text: str = "text", at_once: int = 64) -> DataFrame:
+    """``chunks`` with ``embedding``, asked for in batches on the executors."""
+    schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts, out = f[text].fillna("").tolist(), []
+            for i in range(0, len(texts), at_once):
+                out += client.embed(texts[i : i + at_once])
+            yield f.assign(embedding=out)
+
+    return chunks.mapInPandas(run, schema)

@@ -8,7 +8,7 @@ from ..functions import text as t
 from ..operators.quality import BANNED, DANGLING
 from ..operators.reports import BUCKETS
 from ..schemas import FAILURE_MODES, thresholds
-from .catalogue import CHOICES, CHUNK_MOST, CHUNK_TARGET, COMPETENCIES, GATE, GPU_HIGH, GPU_LOW, RAW_SCORES, REQUESTS, STORED_QUIZZES, TOP_K, UNITS
+from .catalogue import CHOICES, CHUNK_MOST, CHUNK_TARGET, COMPETENCIES, GATE, GPU_HIGH, GPU_LOW, JUDGES, RAW_SCORES, REQUESTS, RESULTS, STORED_QUIZZES, TOP_K, UNITS
 
 ORACLES: dict[str, str] = {}
 
@@ -263,3 +263,13 @@ sql("competency_topics", """
 SELECT competency_key, CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks FROM (SELECT DISTINCT competency_key FROM fx_item) c
 LEFT JOIN (SELECT competency_key, 'lec' || (item_id % 12) || '/deck' || (item_id % 7) || '.pdf' AS document_id FROM fx_item WHERE item_id < 400) l USING (competency_key)
 LEFT JOIN (SELECT split_part(chunk_id, '#', 1) AS document_id, count(*) AS n FROM fx_chunk GROUP BY 1) k USING (document_id) GROUP BY 1""", "fx_item", "fx_chunk")
+sql("pool_summary", """
+SELECT *, (SELECT array_to_string(list_sort(list(DISTINCT judge_model)), ',') FROM fx_verdict WHERE item_id IN (SELECT item_id FROM fx_item WHERE configuration_id = 'pool|local')) AS judges FROM (
+ SELECT CAST(count(*) FILTER (state IN ('GENERATED', 'FILTERING', 'FILTERED', 'FAILED_FILTER')) AS BIGINT) AS generated, CAST(count(*) FILTER (state NOT IN ('GENERATED', 'FILTERING', 'FILTERED', 'FAILED_FILTER')) AS BIGINT) AS not_generated,
+  count(DISTINCT competency_key) AS competencies FROM fx_item WHERE configuration_id = 'pool|local')""", "fx_item", "fx_verdict")
+sql("judges_of_generators", """
+SELECT generator, string_agg(judge, ',' ORDER BY ord) AS judges, arg_min(judge, ord) AS primary_judge FROM (SELECT generator, judge, min(ord) AS ord FROM j WHERE approach = 'two-phase' GROUP BY 1, 2) GROUP BY 1""", more=f"j AS ({JUDGES})")
+sql("results_by_generator", f"""
+SELECT generator_id, metric_name, count(*) AS results, round(avg(score), 6) AS mean_score, 'question' AS scope FROM res JOIN (SELECT quiz_id, {NUMBERED} AS question_id, 'g' || (quiz_id % 3) AS generator_id FROM fx_question) s USING (quiz_id, question_id)
+WHERE applicable GROUP BY 1, 2 UNION ALL
+SELECT 'g' || (quiz_id % 3), metric_name, count(*), round(avg(score), 6), 'quiz' FROM res WHERE applicable AND question_id IS NULL AND quiz_id IN (SELECT quiz_id FROM fx_question) GROUP BY 1, 2""", "fx_question", more=f"res AS ({RESULTS})")

@@ -370,3 +370,34 @@ def safe_path(name: str) -> str:
     if not parts or ".." in parts or plain.startswith("/") or ":" in plain:
         raise ConfigError(f"{name!r} leaves its folder")
     return "/".join(parts)
+
+
+def mapping_problems(course: str, manifest_: Manifest, decks: dict[str, str], links: dict[str, list[str]], present: set[str]) -> list[str]:
+    """What is wrong with a hand-made mapping: unknown competencies, links to decks that aren't declared, decks without a file,
+    files without a deck, and folders of several decks."""
+    known, out = {c.key for c in manifest_.competencies}, []
+    for key, documents in links.items():
+        if key not in known:
+            out.append(f"{course}: {key!r} matches no competency")
+        out += [f"{course}: {key!r} links {d!r}, which is no deck" for d in documents if d not in decks]
+    out += [f"{course}: file {d!r} has no deck" for d in sorted(present - set(decks))]
+    out += [f"{course}: deck {d!r} has no file" for d in sorted(set(decks) - present)]
+    folders: dict[str, list[str]] = {}
+    for d, folder in decks.items():
+        folders.setdefault(folder, []).append(d)
+    return out + [f"{course}: folder {f!r} holds {len(ds)} decks" for f, ds in sorted(folders.items()) if len(ds) > 1]
+
+
+def manifest_of(course_key: str, catalogue_: Manifest, decks: dict[str, str], links: dict[str, list[str]]) -> Manifest:
+    """A catalogue's competencies with the documents that a mapping links them to, as ``folder/deck``."""
+    from dataclasses import replace
+
+    cs = tuple(replace(c, lecture_units=tuple(Link(f"{decks[d]}/{d}") for d in links.get(c.key, ()))) for c in catalogue_.competencies)
+    return Manifest(course_key, catalogue_.title, cs)
+
+
+def split_requests(requests_: list[Request]) -> list[Request]:
+    """One request for each competency of each request, keyed ``<request>-<competency>``."""
+    from dataclasses import replace
+
+    return [replace(r, key=f"{r.key}-{k}", competency_keys=(k,)) for r in requests_ for k in r.competency_keys]

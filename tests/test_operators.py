@@ -369,3 +369,22 @@ def test_browse_and_candidates(spark):
     assert rows(pool.candidates(items, verdicts, "local", {"topic_key": "t"}), "item_id") == [(1,)] and rows(pool.candidates(items, verdicts, "cloud", {}), "item_id") == [(2,)]
     assert pool.candidates(items, verdicts, "local", {}, "1970-01-01").count() == 0
     assert rows(pool.missing_verdicts(items, verdicts, "local"), "item_id") == [(3,), (4,)]
+
+
+def test_sweep_export_and_results(spark, tmp_path):
+    q = spark.createDataFrame([(1, 0, "first", "k"), (2, 0, "lost", None)], "quiz_id long, q_index long, text string, competency_key string")
+    quizzes = spark.createDataFrame([(1, "r1", "conf"), (2, "gone", "conf"), (3, "r1", "conf")], "quiz_id long, request_key string, configuration_id string")
+    req = spark.createDataFrame([("r1", "PSE", "de", "all", "APPLY")], "request_key string, course_key string, language string, objectives string, bloom string")
+    comp = spark.createDataFrame([("PSE", "k", "K", "- do", "CREATE")], "course_key string, competency_key string, title string, description string, taxonomy string")
+    export.sweep_export(quizzes, q, req, comp, str(tmp_path))
+    for part in ("quizzes", "sidecars", "instructions"):
+        assert [r.quiz_id for r in spark.read.json(f"{tmp_path}/{part}").collect()] == [1]
+    assert spark.read.json(f"{tmp_path}/instructions").first().language == "German"
+    res = spark.createDataFrame([(1, "1-q0", "m", 50.0, True), (1, "1-q0", "m", 100.0, False), (1, None, "c", 70.0, True)], "quiz_id long, question_id string, metric_name string, score double, applicable boolean")
+    side = export.hidden_questions(q, quizzes)
+    assert rows(export.score_summary(export.join_results(res, side)), "generator_id", "metric_name", "mean_score") == [("conf", "m", 50.0)]
+    assert rows(export.score_summary(export.join_results(res, side, "quiz")), "metric_name", "mean_score") == [("c", 70.0)]
+    import yaml
+
+    c = yaml.safe_load(export.evaluator_config("x", {"a": "1.0", "b": "2.0"}, ("b",)))
+    assert [m["enabled"] for m in c["metrics"]] == [True, False]

@@ -255,3 +255,24 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["doctor", "--pricing", f"file://{tmp_path}/p.yml"]) == 0 and cli.main(["doctor", "--pricing", f"file://{tmp_path}/none.yml"]) == 1
     for task in ("experiment-status", "failures"):
         assert cli.main([task, "--store", s.root]) == 0
+
+
+class Lengths:
+    def embed(self, texts):
+        return [[float(len(x)), 1.0] for x in texts]
+
+
+def test_embedding(spark):
+    df = spark.createDataFrame([("a", "xy"), ("b", None)], "chunk_id string, text string")
+    assert [r.embedding for r in m.embed(df, Lengths(), at_once=1).orderBy("chunk_id").collect()] == [[2.0, 1.0], [0.0, 1.0]]
+
+
+def test_mappings():
+    cat = config.catalogue('[{"title": "Alpha"}, {"title": "Beta"}]', "c")
+    decks = {"a.pdf": "01 A", "b.pdf": "01 A", "c.pdf": "02 C"}
+    found = config.mapping_problems("c", cat, decks, {"alpha": ["a.pdf", "x.pdf"], "gamma": []}, {"a.pdf", "b.pdf", "d.pdf"})
+    assert [p.split(": ", 1)[1] for p in found] == ["'alpha' links 'x.pdf', which is no deck", "'gamma' matches no competency", "file 'd.pdf' has no deck", "deck 'c.pdf' has no file", "folder '01 A' holds 2 decks"]
+    man = config.manifest_of("c", cat, decks, {"alpha": ["a.pdf"]})
+    assert man.by_key("alpha").documents == ["01 A/a.pdf"] and man.by_key("beta").documents == []
+    r = config.requests(REQUEST.replace("[x]", "[a, b]"))
+    assert [(x.key, x.competency_keys) for x in config.split_requests(r)] == [("a-a", ("a",)), ("a-b", ("b",))]
