@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: one row per piece of a document in a sequence."""
     small_batches(spark)
-    return packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+    return packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), lookup_bytes=4 << 20, held=250_000).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_views, lower_ascii, materialize, slices, text_of
+from .common import byte_views, freeing, lower_ascii, materialize, slices, text_of
 
 WINDOW = 32
 _mix = np.arange(256, dtype=np.uint64)
@@ -61,7 +61,7 @@ def _hasher(hash_bits: int):
 def _chunked(column: pa.Array, mask_bits: int, least: int, most: int) -> Iterator[tuple[int, bytes, list[int]]]:
     """Row number, lower-cased bytes and chunk ends, document by document."""
     off, raw = byte_views(column)
-    for i, j in slices(off, 4 << 20):
+    for i, j in slices(off, 1 << 20):
         part = raw[off[i] : off[j]].tobytes().lower()
         local = off[i : j + 1] - off[i]
         for k, ends in enumerate(cut_points(np.frombuffer(part, np.uint8), local, mask_bits, least, most)):
@@ -81,10 +81,10 @@ def recipes(docs: DataFrame, id_col: str, text_col: str, *, mask_bits: int = 10,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.string()), pa.array(recipe, pa.list_(pa.int64()))], ["id", "text_sha256", "recipe"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return slim.mapInArrow(run, "id long, text_sha256 string, recipe array<long>")
+    return slim.mapInArrow(freeing(run), "id long, text_sha256 string, recipe array<long>")
 
 
-def _chunk_store(docs: DataFrame, text_col: str, mask_bits: int, least: int, most: int, hash_bits: int, held: int = 32 << 20) -> DataFrame:
+def _chunk_store(docs: DataFrame, text_col: str, mask_bits: int, least: int, most: int, hash_bits: int, held: int = 8 << 20) -> DataFrame:
     """``h, chunk``: each distinct chunk of a task once (while ``held`` bytes of chunks fit)."""
 
     def run(batches):
@@ -110,7 +110,7 @@ def _chunk_store(docs: DataFrame, text_col: str, mask_bits: int, least: int, mos
                     hs, chunks, waiting = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(chunks, pa.binary())], ["h", "chunk"])
 
-    return docs.select(text_of(text_col).alias("text")).mapInArrow(run, "h long, chunk binary")
+    return docs.select(text_of(text_col).alias("text")).mapInArrow(freeing(run), "h long, chunk binary")
 
 
 def _collisions(store: DataFrame) -> DataFrame:

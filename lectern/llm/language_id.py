@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_views, materialize, slices, text_of
+from .common import byte_views, freeing, materialize, slices, text_of
 
 #: Documented bounds of the training sample: documents per language, and the longest text that may be drawn.
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 32_768
@@ -254,4 +254,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], ["id", "lang_pred", "score", "bits_per_byte"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    return slim.mapInArrow(run, "id long, lang_pred string, score double, bits_per_byte double")
+    return slim.mapInArrow(freeing(run), "id long, lang_pred string, score double, bits_per_byte double")

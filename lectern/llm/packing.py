@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, byte_views, distinct_words, regroup, slices, text_of
+from .common import WordTable, byte_views, distinct_words, freeing, regroup, slices, text_of
 
 LENGTH, GROUP_DOCS, SLACK = 4096, 2048, 8
 
@@ -147,21 +147,23 @@ class WordIds:
                 yield ids[s:e]
 
 
-def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, length: int = LENGTH, group_docs: int = GROUP_DOCS, slack: int = SLACK) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, length: int = LENGTH, group_docs: int = GROUP_DOCS, slack: int = SLACK, lookup_bytes: int = 16 << 20, held: int = 1_000_000) -> DataFrame:
     """One row per piece: ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     A document is its ids (no special tokens added) and then ``end_id``; null text counts as empty and is that one id. Null
     ids and repeated rows are packed like any other row (a row is not told apart by its id alone, but its pieces are
     complete). An empty table gives no row. ``vocabulary`` is the path of a ``tokenizers`` file on every machine.
+    Words are looked up for ``lookup_bytes`` of text at once and some ``held`` of them remembered: more of either takes less
+    time and more of a worker's memory, and changes no row.
     """
     groups = max(1, -(-docs.count() // group_docs))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
 
     def tokenized(batches):
-        words, end = WordIds(vocabulary), np.array([end_id], "<u4")
-        for b in regroup(batches):
+        words, end = WordIds(vocabulary, held), np.array([end_id], "<u4")
+        for b in regroup(batches, lookup_bytes):
             off, _ = byte_views(b.column(1))
-            for lo, hi in slices(off, 16 << 20):
+            for lo, hi in slices(off, lookup_bytes):
                 counts, crcs, rests = [], [], []
                 for ids in words.of(b.column(1).slice(lo, hi - lo)):
                     own = np.concatenate([ids, end])
@@ -170,7 +172,6 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                     crcs.append([zlib.crc32(own[k * length : (k + 1) * length]) for k in range(full)])
                     rests.append(own[full * length :].astype("<u2").tobytes())  # ids under 65536 travel as two bytes
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary())], ["id", "pack", "tokens", "crcs", "rest"])
-                pa.default_memory_pool().release_unused()
 
     def packed(group: pa.Table) -> pa.Table:
         group = group.sort_by([("id", "ascending"), ("tokens", "ascending"), ("rest", "ascending")])
@@ -193,5 +194,5 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     keyed = slim.withColumn("pack", F.pmod(F.xxhash64("id", "text"), F.lit(groups)))
-    told = keyed.mapInArrow(tokenized, "id long, pack long, tokens long, crcs array<long>, rest binary")
+    told = keyed.mapInArrow(freeing(tokenized), "id long, pack long, tokens long, crcs array<long>, rest binary")
     return told.groupBy("pack").applyInArrow(packed, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_views, materialize, text_of, too_many
+from .common import byte_views, freeing, materialize, text_of, too_many
 from .components import Forest, components
 
 LOW = np.uint64(0x5555555555555555)
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(raw[s:e].tobytes(), words) for s, e in zip(off[:-1], off[1:])), np.uint64, len(off) - 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(freeing(run), "id long, fp long")
 
 
 def embed(fp: np.ndarray) -> np.ndarray:

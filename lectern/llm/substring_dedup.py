@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, byte_views, materialize, text_of
+from .common import WORD, byte_views, freeing, materialize, text_of
 
 WIDTH, INNER = 13, 4
 SPAN = "id long, start int, len int, src long, src_start int"
@@ -179,7 +179,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, width: int = WID
         local = [col(c, k) for c, k in zip(_COLS[5:], (np.int64, np.int32, np.int32, np.int64, np.int32))]
         return pa.table([pa.array(np.concatenate([a, b])) for a, b in zip(found, local)], names=NAMES)
 
-    return slim.mapInArrow(edges, _EDGE_ROW).groupBy("bucket").applyInArrow(meet, SPAN)
+    return slim.mapInArrow(freeing(edges), _EDGE_ROW).groupBy("bucket").applyInArrow(meet, SPAN)
 
 
 def glued(spans: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def _applied(joined: DataFrame, width: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("src", pa.int64()), ("src_start", pa.int32()), ("digest", pa.binary())])), pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("digest", pa.binary())]))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["id", "n_words", "n_removed", "kept_sha256", "own", "lent"])
 
-    return joined.mapInArrow(run, _RESULT)
+    return joined.mapInArrow(freeing(run), _RESULT)
 
 
 def _exact(slim: DataFrame, bad: DataFrame, width: int) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import WordTable, byte_views, distinct_words, regroup, slices, text_of
+from .common import WordTable, byte_views, distinct_words, freeing, regroup, slices, text_of
 
 
 class Merger:
@@ -103,4 +103,4 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             n = np.concatenate([m.of(b.column(1).slice(i, j - i)) for i, j in slices(off, 8 << 20)] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(run, "id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(freeing(run), "id long, n_bytes long, n_tokens long, over_limit boolean")
