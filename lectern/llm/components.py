@@ -58,8 +58,9 @@ def contract(edges: DataFrame, held: int = 500_000) -> DataFrame:
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """The edges with the smallest neighbour of ``u``; a join, so that a hub's edges can be split."""
-    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+    """The edges with the smallest neighbour of ``u``. The minima are written apart, so that the join has plain inputs and a
+    hub's edges can be split over tasks."""
+    return edges.join(materialize(edges.groupBy("u").agg(F.min("v").alias("m"))), "u")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -72,6 +73,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        large = materialize(large)
         small = _least(large)
         # edges run from the larger to the smaller node: keep (u, m), hang the other neighbours on m
         hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
