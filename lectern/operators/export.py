@@ -75,6 +75,13 @@ def item_ids(items: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return items.withColumn("question_id", F.concat(F.lit("q"), n.cast("string")))
 
 
+def with_competency(items: DataFrame, competencies: DataFrame) -> DataFrame:
+    """Items with the competency whose title is their topic: the first declared one (``ord``), null without any."""
+    first = competencies.groupBy("title").agg(F.min_by(F.struct("competency_key", "taxonomy"), "ord").alias("c"))
+    named = first.select(F.col("title").alias("topic_key"), F.col("c.competency_key").alias("titled_key"), F.col("c.taxonomy").alias("taxonomy"))
+    return items.join(named, "topic_key", "left")
+
+
 def material_manifest(requests: DataFrame, links: DataFrame) -> DataFrame:
     """``path`` (course/competency) and its distinct sorted documents, for requests of a single competency."""
     one = requests.where(F.size("competency_keys") == 1).select("course_key", F.element_at("competency_keys", 1).alias("competency_key")).distinct()

@@ -463,6 +463,39 @@ def competency_topics(fx):
     return corpus.competency_topics(fx.item.select("competency_key").distinct(), links, per)
 
 
+@query
+def attempt_totals(fx):
+    return reports.attempt_totals(fx.call.select("item_id", (F.col("outcome") == "success").alias("correct")))
+
+
+@query
+def lecture_listing(fx):
+    return corpus.lecture_listing(fx.page.select("document_id").distinct())
+
+
+@query
+def next_claims(fx):
+    items = fx.item.where("run_id = 'run-3'").withColumn("topic_key", F.col("competency_key")).withColumn("item_index", F.col("item_id"))
+    return store.next_claim(items, 20).select("item_id", "state")
+
+
+TITLES = """
+SELECT 0 AS ord, 'c1' AS title, 'k0' AS competency_key, 'APPLY' AS taxonomy UNION ALL SELECT 2, 'c1', 'k2', 'CREATE' UNION ALL SELECT 1, 'c2', 'k1', 'ANALYZE' UNION ALL SELECT 3, 'zz', 'k3', 'APPLY'"""
+
+
+@query
+def items_by_title(fx):
+    items = fx.item.where("state = 'FILTERED'").select("item_id", F.col("competency_key").alias("topic_key"))
+    return export.with_competency(items, fx.spark.sql(TITLES)).groupBy("topic_key", "titled_key", "taxonomy").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query
+def chunk_roles(fx):
+    roles = fx.page.select("document_id").distinct().where("document_id like 'src1%'").withColumn("role", F.lit("TUTORIAL"))
+    c = corpus.chunks(_usable(fx), CHUNK_TARGET, CHUNK_MOST, roles)
+    return c.groupBy("lecture", "role").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 @query
 def pool_summary(fx):
     return reports.pool_summary(fx.item.where("configuration_id = 'pool|local'"), fx.verdict)

@@ -8,7 +8,7 @@ from ..functions import text as t
 from ..operators.quality import BANNED, DANGLING
 from ..operators.reports import BUCKETS
 from ..schemas import FAILURE_MODES, thresholds
-from .catalogue import CHOICES, CHUNK_MOST, CHUNK_TARGET, COMPETENCIES, GATE, GPU_HIGH, GPU_LOW, JUDGES, RAW_SCORES, REQUESTS, RESULTS, STORED_QUIZZES, TOP_K, UNITS
+from .catalogue import CHOICES, CHUNK_MOST, CHUNK_TARGET, COMPETENCIES, GATE, GPU_HIGH, GPU_LOW, JUDGES, RAW_SCORES, REQUESTS, RESULTS, STORED_QUIZZES, TITLES, TOP_K, UNITS
 
 ORACLES: dict[str, str] = {}
 
@@ -263,6 +263,13 @@ sql("competency_topics", """
 SELECT competency_key, CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks FROM (SELECT DISTINCT competency_key FROM fx_item) c
 LEFT JOIN (SELECT competency_key, 'lec' || (item_id % 12) || '/deck' || (item_id % 7) || '.pdf' AS document_id FROM fx_item WHERE item_id < 400) l USING (competency_key)
 LEFT JOIN (SELECT split_part(chunk_id, '#', 1) AS document_id, count(*) AS n FROM fx_chunk GROUP BY 1) k USING (document_id) GROUP BY 1""", "fx_item", "fx_chunk")
+sql("attempt_totals", "SELECT count(*) AS attempts, CAST(count(*) FILTER (outcome = 'success') AS BIGINT) AS correct FROM fx_call", "fx_call")
+sql("lecture_listing", "SELECT source AS lecture, count(*) AS documents FROM documents GROUP BY 1")
+sql("next_claims", "SELECT item_id, state FROM fx_item WHERE run_id = 'run-3' AND state IN ('GENERATED', 'PENDING') ORDER BY state, competency_key, item_id LIMIT 20", "fx_item")
+sql("items_by_title", """
+SELECT i.competency_key AS topic_key, t.competency_key AS titled_key, taxonomy, count(*) AS items FROM fx_item i LEFT JOIN (SELECT * FROM ti a WHERE ord = (SELECT min(ord) FROM ti b WHERE b.title = a.title)) t ON t.title = i.competency_key
+WHERE state = 'FILTERED' GROUP BY 1, 2, 3""", "fx_item", more=f"ti AS ({TITLES})")
+sql("chunk_roles", "SELECT lecture, CASE WHEN document_id LIKE 'src1%' THEN 'TUTORIAL' ELSE 'OTHER' END AS role, count(*) AS chunks FROM ch GROUP BY 1, 2", "fx_page", more=CHUNKED)
 sql("pool_summary", """
 SELECT *, (SELECT array_to_string(list_sort(list(DISTINCT judge_model)), ',') FROM fx_verdict WHERE item_id IN (SELECT item_id FROM fx_item WHERE configuration_id = 'pool|local')) AS judges FROM (
  SELECT CAST(count(*) FILTER (state IN ('GENERATED', 'FILTERING', 'FILTERED', 'FAILED_FILTER')) AS BIGINT) AS generated, CAST(count(*) FILTER (state NOT IN ('GENERATED', 'FILTERING', 'FILTERED', 'FAILED_FILTER')) AS BIGINT) AS not_generated,

@@ -388,3 +388,22 @@ def test_sweep_export_and_results(spark, tmp_path):
 
     c = yaml.safe_load(export.evaluator_config("x", {"a": "1.0", "b": "2.0"}, ("b",)))
     assert [m["enabled"] for m in c["metrics"]] == [True, False]
+
+
+def test_sinks(spark, tmp_path):
+    opts = spark.createDataFrame([("b", 0, "T2", "q2", GOOD), ("a", 1, "T1", "q1", GOOD)], f"topic_key string, item_index int, title string, question_text string, options {OPTS}")
+    export.write_items_markdown(opts, f"{tmp_path}/md")
+    text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/md").collect())
+    assert text.index("## T1") < text.index("## T2") and "- [correct] alpha" in text
+    for _ in range(2):  # replaced, not appended
+        export.write_jsonl(opts, f"{tmp_path}/log")
+    assert spark.read.json(f"{tmp_path}/log").count() == 2
+    export.write_csv(spark.createDataFrame([('a"b', 1)], "id string, n int"), f"{tmp_path}/csv")
+    assert '"a""b","1"' in [r.value for r in spark.read.text(f"{tmp_path}/csv").collect()]
+    ids = export.item_ids(opts, [], ["topic_key"])
+    assert rows(ids, "question_id", "title") == [("q1", "T1"), ("q2", "T2")]
+    assert rows(corpus.grounded(spark.createDataFrame([("a", 0), ("b", 2)], "topic string, chunks int")), "topic") == [("b",)]
+    calls = spark.createDataFrame([([("success",)],), ([("success",), ("error",)],), (None,)], "c array<struct<outcome:string>>")
+    assert [r[0] for r in calls.select(store.storable_quiz(F.col("c"))).collect()] == [True, False, True]
+    roles = spark.createDataFrame([(1, "TUTORIAL"), (1, "TUTORIAL"), (1, None)], "g int, role string")
+    assert retrieval.role_counts(roles, ["g"]).first().counts_by_role == {"TUTORIAL": 2}
