@@ -9,6 +9,7 @@ lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -147,6 +148,12 @@ class WordIds:
                 yield ids[s:e]
 
 
+@functools.lru_cache(maxsize=1)
+def worker_ids(path: str, held: int) -> WordIds:
+    """A worker's own: the words it has met serve its later tasks."""
+    return WordIds(path, held)
+
+
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, length: int = LENGTH, group_docs: int = GROUP_DOCS, slack: int = SLACK, lookup_bytes: int = 16 << 20, held: int = 1_000_000) -> DataFrame:
     """One row per piece: ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
@@ -160,7 +167,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
 
     def tokenized(batches):
-        words, end = WordIds(vocabulary, held), np.array([end_id], "<u4")
+        words, end = worker_ids(vocabulary, held), np.array([end_id], "<u4")
         for b in regroup(batches, lookup_bytes):
             off, _ = byte_views(b.column(1))
             for lo, hi in slices(off, lookup_bytes):

@@ -6,6 +6,7 @@ again and again, and the count is the initial symbols less the merges: no identi
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import os
@@ -88,6 +89,12 @@ class Merger:
         return np.diff(np.r_[0, np.cumsum(counts[at][codes], dtype=np.int64)][off])
 
 
+@functools.lru_cache(maxsize=1)
+def worker_merger(path: str) -> Merger:
+    """A worker's own: the words it has met serve its later tasks."""
+    return Merger(path)
+
+
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """``id, n_bytes, n_tokens, over_limit`` of every row, counted over its whole text.
 
@@ -97,7 +104,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """
 
     def run(batches):
-        m = Merger(vocabulary)
+        m = worker_merger(vocabulary)
         for b in regroup(batches):
             off, _ = byte_views(b.column(1))
             n = np.concatenate([m.of(b.column(1).slice(i, j - i)) for i, j in slices(off, 8 << 20)] or [np.zeros(0, np.int64)])
