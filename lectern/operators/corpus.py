@@ -49,13 +49,19 @@ def language_samples(usable: DataFrame, pages: int = LANGUAGE_PAGES) -> DataFram
 def document_report(pages: DataFrame, least: int = MIN_PAGE_CHARS) -> DataFrame:
     """One row per document: usable and text-poor pages, characters, tokens, damage, alternative text, language, role."""
     pages = with_names(pages)
-    usable = usable_pages(pages, least)
     every = pages.groupBy("document_id").agg(F.min("unit").alias("unit"), F.sum((t.utf16_length("text") < least).cast("long")).alias("text_poor_pages"))
-    size = t.utf16_length("text").cast("long")
-    sums = usable.groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("pages"), F.sum(size).alias("chars"), F.sum(t.damage_count("text")).alias("damaged_tokens"), F.sum(t.alt_text_count("text")).alias("alt_text_lines")
+    low = F.lower("text")
+    # all that is read from a text is counted before the shuffle by document, which then carries numbers only
+    counted = usable_pages(pages.select("document_id", "page_number", "text"), least).select(
+        "document_id", "page_number", t.utf16_length("text").cast("long").alias("size"), t.damage_count("text").alias("damaged"), t.alt_text_count("text").alias("alt"),
+        t.marker_count(low, t.GERMAN_MARKERS).alias("g"), t.marker_count(low, t.ENGLISH_MARKERS).alias("e"),
+    )
+    early = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number")) <= LANGUAGE_PAGES
+    of_first = lambda c: F.sum(F.when(F.col("early"), F.col(c)).otherwise(F.lit(0)))
+    sums = counted.withColumn("early", early).groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("size").alias("chars"), F.sum("damaged").alias("damaged_tokens"), F.sum("alt").alias("alt_text_lines"), of_first("g").alias("german"), of_first("e").alias("english")
     )
-    out = every.join(sums, "document_id", "left").join(language_samples(usable), "document_id", "left")
+    out = every.join(sums, "document_id", "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("pages", "chars", "damaged_tokens", "alt_text_lines", "german", "english")}
     out = out.withColumns(zero)
     return out.select(

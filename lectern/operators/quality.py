@@ -155,5 +155,7 @@ def rounds_run(rounds: DataFrame, by: list[str]) -> DataFrame:
 
 def worst_modes(severities: DataFrame, by: str = "item_id") -> DataFrame:
     """``worst, mean, worst_mode``: the worst severity and the first mode, in their order, that has it."""
-    place = F.array_position(F.array(*[F.lit(m) for m in FAILURE_MODES]), F.col("mode"))
-    return severities.groupBy(by).agg(F.max("severity").alias("worst"), mean_severity().alias("mean"), F.max_by("mode", F.struct(F.col("severity"), -place)).alias("worst_mode"))
+    # one number per mode, so that the aggregate stays a hash aggregate of plain doubles
+    each = [F.max(F.when(F.col("mode") == m, F.col("severity"))).alias(m) for m in FAILURE_MODES]
+    agg = severities.groupBy(by).agg(F.max("severity").alias("worst"), mean_severity().alias("mean"), *each)
+    return agg.select(by, "worst", "mean", F.coalesce(*[F.when(F.col(m) == F.col("worst"), m) for m in FAILURE_MODES]).alias("worst_mode"))
