@@ -394,3 +394,10 @@ def test_character_model_sums_to_one():
     m = url_filter.Markov(3).fit(["abc.example", "abd.example"])
     for context in ("", "ab", "zzz", "^ab"):
         assert sum(m.probability(context, c) for c in [*m.alphabet, "\x00"]) == pytest.approx(1)
+
+
+def test_url_models_of_no_pages(spark):
+    none = spark.createDataFrame([], "page_id long, url string")
+    model = url_filter.train(none)
+    one = spark.createDataFrame([(1, "http://casino.example/")], none.schema)
+    assert [r.verdict for r in url_filter.verdicts(one, model).collect()] == ["allow"]

@@ -52,3 +52,19 @@ def test_stages(steps):
 def test_whole_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_stages_take_empty_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    for i, (_, f) in enumerate(corpus_pipeline.STAGES):
+        out = f(spark, docs, "/root/testdata/sf0.001")
+        assert out.count() == 0 and (i == 4 or out.columns == docs.columns)
+
+
+def test_stages_keep_extra_columns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(30)
+    wide = docs.selectExpr("*", "doc_id as id", "text as fp", "1 as kept", "2 as size", "'x' as recipe", "'y' as h")
+    for _, f in corpus_pipeline.STAGES[:4]:
+        out = f(spark, wide, "/root/testdata/sf0.001")
+        assert out.columns == wide.columns and out.count() > 0
+    assert corpus_pipeline.STAGES[4][1](spark, wide, "").count() >= 30
