@@ -28,9 +28,11 @@ FURNITURE = frozenset("head nav header footer aside form button select fieldset
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 #: Words of a class, id or role that mark an element as furniture.
 HINTS = frozenset(
-    "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer foot gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
+    "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright disclaimer disqus footer foot gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
-KEEP = frozenset("html body main article".split())
+#: Of these, the ones that name a page's layout: on an element that holds the article they say nothing about it.
+LAYOUT = frozenset("sidebar header footer nav menu banner ad ads toolbar topbar widget".split())
+KEEP = frozenset("html body main".split())
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 #: Labelled pages: content stands between [[ and ]].
@@ -67,22 +69,26 @@ class Weights:
         return self.tag.get(x.kind, self.other)
 
 
-def _furniture(name: str, attributes: str) -> bool:
+def _furniture(name: str, attributes: str) -> str:
+    """Why an element is no article text: ``tag``, ``name``, ``layout`` (a name that an enclosing element may have as well), or
+    nothing."""
     if name in FURNITURE:
-        return True
+        return "tag"
     if name in KEEP or not attributes:
-        return False
+        return ""
+    found = set()
     for m in NAMES.finditer(attributes):
-        parts = [p.lower() for p in re.findall(r"[A-Za-z][a-z]*|[A-Z]+", m[1])]
-        if any(p in HINTS for p in parts) and not ("header" in parts and {"article", "entry", "post"} & set(parts)):
-            return True
-    return False
+        parts = {p.lower() for p in re.findall(r"[A-Za-z][a-z]*|[A-Z]+", m[1])}
+        found |= parts & HINTS - ({"header"} if {"article", "entry", "post"} & parts else set())
+    if found - LAYOUT:
+        return "name"
+    return "layout" if found and name != "article" else ""
 
 
 def items(page: str) -> list[Item]:
     """The page's words and tags in order. Never fails: unknown, unclosed or cut-off markup is read as a browser would, nearly."""
     out: list[Item] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, str]] = []
     hidden = links = 0
     fresh = True
     at, n = 0, len(page)
@@ -91,7 +97,7 @@ def items(page: str) -> list[Item]:
         nonlocal hidden, links
         while len(stack) > upto:
             name, was = stack.pop()
-            hidden -= was
+            hidden -= bool(was)
             links -= name == "a"
 
     def put(raw: str):
@@ -130,8 +136,11 @@ def items(page: str) -> list[Item]:
         elif name in BLOCK and any(s[0] == "p" for s in stack[-4:]) and not hidden:
             close(max(i for i, s in enumerate(stack) if s[0] == "p"))
         void = name in VOID or m[0].endswith("/>") and name in VOID
-        was = not void and _furniture(name, m[0][t.end() : -1])
-        out.append(Item(name, skip=hidden > 0 or was))
+        was = "" if void else _furniture(name, m[0][t.end() : -1])
+        if name in ("article", "main") and not was:  # what holds the article is only named after the layout
+            hidden -= sum(w == "layout" for _, w in stack)
+            stack = [(x, "" if w == "layout" else w) for x, w in stack]
+        out.append(Item(name, skip=hidden > 0 or bool(was)))
         if name in ("br", "td", "th"):
             put(" ")
         if name in RAW:
@@ -139,7 +148,7 @@ def items(page: str) -> list[Item]:
             at = end.end() if end else n
         elif not void:
             stack.append((name, was))
-            hidden += was
+            hidden += bool(was)
             links += name == "a"
     return out
 

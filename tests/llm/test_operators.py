@@ -360,6 +360,9 @@ def test_html_pages():
     page = """<body><div class="sidebar">side words go here</div><div id=content><p>Real   text\n one &amp; two.</p><div class="cookie-notice">We use cookies</div>
     <p>Second&nbsp;&lt;x&gt;<p>third<form>Name <input></form></div><section class="comments"><p>Nice post! loved it so much</p></section><footer>(c) us</footer></body>"""
     assert text(page) == "Real text one & two.\nSecond <x>\nthird"
+    page = """<div class="layout has-sidebar"><div class="sidebar"><p>side words</p></div><article class="post"><p>The text itself.</p></article>
+    <section class="comments"><article class="comment"><p>A reader says a lot of things here.</p></article></section></div>"""
+    assert text(page) == "The text itself."
     assert text(None) == text("") == text("<nav>menu</nav><script>var a='<p>x</p>'</script>") == ""
     assert text("just words") == "just words" and text("<p>cut off <b") == "cut off" and text("<p>a <i>b</i>c <a href=\"q>d</a> e</p>").startswith("a bc")
     assert html_extract.best_region([-1, 2, -1, 3, -5, 4]) == (1, 4)
