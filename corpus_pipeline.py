@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import exact_dedup, language_id, mixing, packing, simhash
+from lectern.llm import exact_dedup, language_id, mixing, near_copies, packing
 from lectern.llm.common import materialize, small_batches, too_many
 
 #: A text is rejected at so many bits a byte under its best language: twice what running text of a known language takes,
@@ -36,9 +36,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each group the document with the smallest id stays."""
+    """Near-dedup at a Jaccard similarity of 0.8 of five-word shingles: of each group the document with the smallest id stays."""
     small_batches(spark)
-    return simhash.drop_near_duplicates(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", keep_known_languages),
     ("exact_dedup", drop_exact_copies),
-    ("simhash", drop_near_copies),
+    ("near_dedup", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack),
 ]

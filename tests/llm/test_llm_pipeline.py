@@ -1,11 +1,12 @@
 """The pipeline's stages on a small table, each against a brute-force version of its own input."""
 
 import collections
+import random
 
 import pytest
 
 import corpus_pipeline
-from lectern.llm import simhash
+from lectern.llm import near_copies, simhash
 from lectern.llm.common import materialize
 
 
@@ -68,3 +69,37 @@ def test_stages_keep_extra_columns(spark):
         out = f(spark, wide, "/root/testdata/sf0.001")
         assert out.columns == wide.columns and out.count() > 0
     assert corpus_pipeline.STAGES[4][1](spark, wide, "").count() >= 30
+
+
+@pytest.mark.parametrize("small", [32, 2])
+def test_near_copies_equal_brute_force_jaccard(spark, small):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(120)] for _ in range(12)]
+    texts = [" ".join(b) for b in base] + ["", "  ", "one two", "One  two", "one two three", "boiler plate of all the pages here"]
+    for b in base[:8]:
+        for n in range(1, 9):  # from one changed word to beyond the limit, in chains as well
+            c = list(b)
+            for _ in range(n):
+                c[rng.randrange(len(c))] = f"x{rng.randrange(3000)}"
+            texts.append(" ".join(c))
+            b = c if n % 3 == 0 else b
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    shingle = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = {i: shingle(t.lower().split()) for i, t in rows}
+    near = lambda a, b: sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    kept, seen = set(), set()
+    for i in sorted(sets):
+        todo = [] if i in seen else [i]
+        kept |= set(todo)
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [j for j in sets if near(x, j)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs, small=small).collect()) == sorted(kept)
+    far = [(a, b) for a in sets for b in sets if a < b and sets[a] and near(a, b) and (simhash.fingerprint(texts[a].encode()) ^ simhash.fingerprint(texts[b].encode())).bit_count() > 4]
+    assert far  # pairs that four bits of a four-word fingerprint miss
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == sorted(kept)
