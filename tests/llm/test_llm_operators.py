@@ -393,6 +393,18 @@ def test_urls(spark, none):
     assert url_filter.verdicts(spark.createDataFrame([], "page_id long, url string"), model).count() == 0
 
 
+def test_urls_of_one_host_differ_by_path_and_query(spark):
+    rng = random.Random(5)
+    good, bad = ["garden", "plants", "history", "museum", "river", "bridge"], ["casino", "slots", "poker", "jackpot"]
+    of = lambda words, key: f"https://clean.example.info/{rng.choice(words)}/{rng.choice(words)}-{rng.randrange(99)}?{key}={rng.choice(words)}"
+    urls = [of(good, "page") for _ in range(600)] + [of(bad, "bet") for _ in range(600)]
+    schema = "page_id long, url string"
+    model = url_filter.train(spark.createDataFrame(list(enumerate(urls)), schema))
+    tried = ["https://Clean.example.info/Casino/free-slots?bet=1", "https://clean.example.info/garden/river-7?page=museum", "https://clean.example.info/garden/?bet=jackpot-poker-slots#garden"]
+    r = {x.id: x for x in url_filter.verdicts(spark.createDataFrame(list(enumerate(tried)), schema), model).collect()}
+    assert [r[i].verdict for i in range(3)] == ["block", "allow", "block"] and {x.host for x in r.values()} == {"clean.example.info"} and r[0].path == "/Casino/free-slots"
+
+
 def test_character_model_sums_to_one():
     m = url_filter.Markov(3).fit(["abc.example", "abd.example"])
     for context in ("", "ab", "zzz", "^ab"):
