@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import byte_views, freeing, materialize, slices, text_of
 
-#: Documented bounds of the training sample: documents per language, and the longest text that may be drawn.
+#: Documented bounds of the training sample: documents per language, and how many bytes of a longer text are drawn.
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 32_768
-#: What one line may weigh against a language, in bits.
-LINE_BITS = 120.0
 
 
 @dataclass
@@ -41,11 +39,12 @@ class Model:
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, allowed, docs_per_lang: int = SAMPLE_DOCS, longest: int = SAMPLE_BYTES) -> DataFrame:
     """At most ``docs_per_lang`` labelled documents of each language, picked by a hash of the id: the same on every run.
+    Of a text beyond ``longest`` bytes a slice of that size is drawn, which begins where the hash says.
 
     Only ids and lengths are ranked; the few texts are fetched afterwards by a semi join of bounded size.
     """
     key = F.xxhash64(F.col(id_col).cast("string"))
-    fits = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & allowed & (F.octet_length(text_col) <= longest)
+    fits = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & allowed
     ids = docs.where(fits).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), key.alias("k"))
     # of a large language only a thin slice by the hash is ranked, some times what is wanted
     n = materialize(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
@@ -54,8 +53,9 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     w = Window.partitionBy("lang").orderBy("k", "id")
     picked = ids.withColumn("n", F.row_number().over(w)).where(F.col("n") <= docs_per_lang).select("id", "lang")
     few = F.broadcast(picked.withColumnRenamed("lang", "of"))  # at most docs_per_lang rows a language
-    found = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).alias("lang")).join(few, "id")
-    return found.where((F.col("lang") == F.col("of")) & (F.length("text") <= longest)).select("id", "lang", "text")
+    found = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).alias("lang"), key.alias("k")).join(few, "id")
+    begin = F.pmod("k", F.greatest(F.lit(1), F.length("text") - longest + 1)).cast("int") + 1
+    return found.where(F.col("lang") == F.col("of")).select("id", "lang", F.substr("text", begin, F.lit(longest)).alias("text"))
 
 
 def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,31 +198,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit({x: [bytes(t) for t in g["text"]] for x, g in sample.groupby("lang")})
 
 
-def line_lengths(model: Model, raw: np.ndarray, off: np.ndarray, piece: int = 4 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code lengths of each line of the documents ``raw[off[i]:off[i+1]]``, and where each document's lines begin and end."""
-    lines = np.union1d(off, np.flatnonzero(raw[off[0] : off[-1]] == 10) + off[0] + 1)
-    if lines[-1] - lines[0] <= piece:
-        found = code_lengths(model, raw[lines[0] : lines[-1]], lines - lines[0])
-    else:  # one very long text: line by line, and long lines in pieces, each led by the three bytes before it
-        found = np.zeros((len(lines) - 1, len(model.langs)))
-        for k, (s, e) in enumerate(zip(lines[:-1].tolist(), lines[1:].tolist())):
-            for at in range(s, e, piece):
-                lead = min(3, at - s)
-                part = raw[at - lead : min(at + piece, e)]
-                found[k] += code_lengths(model, part, np.array([0, len(part)]))[0]
-                if lead:
-                    found[k] -= code_lengths(model, part[:lead], np.array([0, lead]))[0]
-    return found, np.searchsorted(lines, off[:-1]), np.searchsorted(lines, off[1:])
-
-
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", line_bits: float = LINE_BITS) -> DataFrame:
+def whole_lengths(model: Model, raw: np.ndarray, off: np.ndarray, piece: int = 4 << 20) -> np.ndarray:
+    """Code lengths of the documents ``raw[off[i]:off[i+1]]``; a very long one in pieces, each led by the three bytes before it."""
+    if off[-1] - off[0] <= piece:
+        return code_lengths(model, raw[off[0] : off[-1]], off - off[0])
+    found = np.zeros((len(off) - 1, len(model.langs)))
+    for k, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+        for at in range(s, e, piece):
+            lead = min(3, at - s)
+            part = raw[at - lead : min(at + piece, e)]
+            found[k] += code_lengths(model, part, np.array([0, len(part)]))[0]
+            if lead:
+                found[k] -= code_lengths(model, part[:lead], np.array([0, lead]))[0]
+    return found
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, lang_pred, score, bits_per_byte`` of every row, from its whole text alone.
 
-    Each line is coded under every language; by how many bits a language's code is longer than the line's shortest speaks
-    against it, up to ``line_bits`` a line, so that no single quoted passage outweighs the rest of a text. ``lang_pred`` is
-    the language with the least against it (a tie: the first by name), ``und`` if the text is null or has no letter, or if
-    nothing was learned. ``score`` is its posterior under equal priors, 0 for ``und``. ``bits_per_byte`` is its exact code
-    length over the text's length, null for an empty text. Repeated rows and null ids are predicted like any other row; an
+    ``lang_pred`` is the language with the shortest exact code of the whole text (a tie: the first by name), ``und`` if the
+    text is null or has no letter, or if nothing was learned. ``score`` is its posterior under equal priors, 0 for ``und``.
+    ``bits_per_byte`` is its code length over the text's length, null for an empty text. Repeated rows and null ids are predicted like any other row; an
     empty table gives no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample's and the node limit
@@ -239,12 +235,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     scores += [0.0] * (j - i)
                     rates += [None] * (j - i)
                     continue
-                each, lo, hi = line_lengths(m, raw, off[i : j + 1])
-                summed = lambda x: (c := np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)]))[hi] - c[lo]  # noqa: B023, E731
-                total = summed(each)
-                against = summed(np.minimum(each - each.min(axis=1, keepdims=True), line_bits))
-                best = against.argmin(axis=1)
-                score = 1 / np.exp2(np.maximum(against.min(axis=1)[:, None] - against, -1000)).sum(axis=1)
+                total = whole_lengths(m, raw, off[i : j + 1])
+                best = total.argmin(axis=1)
+                score = 1 / np.exp2(np.maximum(total.min(axis=1)[:, None] - total, -1000)).sum(axis=1)
                 size = np.diff(off[i : j + 1])
                 for k in range(j - i):
                     ok = letter[i + k]

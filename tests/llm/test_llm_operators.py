@@ -350,6 +350,24 @@ def test_languages_are_told_apart(spark, none):
     assert {x.lang_pred for x in language_id.identify(odd, empty).collect()} == {"und"}
 
 
+def test_language_by_code_length_of_the_whole_text(spark):
+    from pyspark.sql import functions as F
+
+    en, de = "the cat sat on the mat and the dog was in the house with the others ", "der hund und die katze sitzen auf der matte und nicht in dem haus von uns "
+    # the one language has long texts only: they're learned by slices
+    docs = spark.createDataFrame([(i, en * 20, "en") for i in range(8)] + [(10 + i, de * 600, "de") for i in range(8)], "doc_id long, text string, lang string")
+    sample = language_id.training_sample(docs, "doc_id", "text", "lang", F.lit(True)).collect()
+    assert {len(r.text) for r in sample if r.lang == "de"} == {language_id.SAMPLE_BYTES} and len({bytes(r.text) for r in sample if r.lang == "de"}) > 1
+    model = language_id.train(docs)
+    text = f"{en}\n{de * 140}\n{en}"
+    r = language_id.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert r.lang_pred == "de"
+    raw, off = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+    total = language_id.code_lengths(model, raw, off)
+    assert model.langs[total[0].argmin()] == "de" and r.bits_per_byte == pytest.approx(total.min() / off[1])
+    assert language_id.whole_lengths(model, raw, off, piece=1000) == pytest.approx(total, rel=1e-6)
+
+
 def test_html_pages():
     w = html_extract.learn()
     text = lambda p: html_extract.main_text(p, w)
