@@ -1,8 +1,9 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
 A page is a sequence of words and tags. Words score positive and tags negative, by how much more often each kind stands
-inside than outside the marked content of labelled pages; one linear scan finds the contiguous region of the greatest sum,
-and the region's blocks, less what is furniture inside it, are the text.
+inside than outside the marked content of labelled pages; one linear scan finds the contiguous region of the greatest sum.
+The region takes in the whole article or main element that it lies in; its blocks, less what is furniture inside it, are the
+text.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ LABELLED = (
     """<html><body><div><a href=1>Front page</a> | <a href=2>Sport</a> | <a href=3>Weather</a> | <a href=4>Culture</a></div><div><a href=5>Log in</a> <a href=6>Register</a></div><div>[[<p>Bread made with a slow dough keeps for a week, and its crust stays firm in a cool room.</p><p>Mix flour, water and salt in the evening; fold it twice, an hour apart, and leave it until morning.</p><ul><li>Bake it hot for the first ten minutes.</li><li>Then let the oven fall to a gentle heat.</li></ul><p>A loaf is done when it sounds hollow.</p>]]</div><div><a href=7>More recipes</a><br><a href=8>Most read</a><br><a href=9>Editor's choice</a></div><div><a href=10>Imprint</a> <a href=11>Privacy</a></div></body></html>""",
     """<html><body><table><tr><td><a href=a>Index</a></td><td><a href=b>Up</a></td><td><a href=c>Next</a></td></tr></table><h2>[[On the grinding of lenses</h2><p>A lens is ground with sand of three degrees, the coarsest first, and polished with rouge upon pitch.</p><p>The tool must be wetted often, or it scratches; see <a href=d>the plate</a> for how it is held.</p><blockquote>He who hurries the last stage<br>begins again from the first.</blockquote><p>In damp weather the pitch grows too hard and wants warming.</p>]]<hr><table><tr><td><a href=e>Previous</a></td><td><a href=f>Contents</a></td></tr></table><ul><li><a href=g>About</a></li><li><a href=h>Terms</a></li></ul></body></html>""",
     """<html><body><div><ul><li><a href=1>Shop</a></li><li><a href=2>Basket</a></li><li><a href=3>Help</a></li></ul></div><div><span>Monday</span><span>12 degrees</span></div><main>[[<h1>Why the bridge was moved</h1><div>When the river shifted its bed the old bridge stood in a meadow, useful to cows alone.</div><div>The parish took it down stone by stone, numbered each, and set it up again half a mile to the east, where it stands now.</div><p>Two stones are missing. Nobody has said who has them.</p>]]</main><div><ul><li><a href=4>Newer</a></li><li><a href=5>Older</a></li></ul></div><div><span>Tags</span> <a href=6>river</a> <a href=7>stone</a></div></body></html>""",
+    """<html><body><div><a href=1>Start</a> | <a href=2>Shop</a> | <a href=3>Account</a></div><div>[[<h1>Which woods to burn</h1><p>Dry wood burns hot and leaves little ash; wet wood smokes, and tars the flue within a winter.</p><table><tr><th>Wood</th><th>Weight</th><th>Years</th></tr><tr><td>Oak</td><td>720</td><td>2</td></tr><tr><td>Ash</td><td>690</td><td>1</td></tr><tr><td>Birch</td><td>650</td><td>1</td></tr><tr><td>Pine</td><td>510</td><td>1</td></tr><tr><td>Beech</td><td>710</td><td>2</td></tr></table><p>Weights are those of a stacked metre, see <a href=4>the method</a> and <a href=5>the earlier count</a>, after the years given.</p><dl><dt>Seasoned</dt><dd>Dried under a roof, open to the wind.</dd><dt>Green</dt><dd>Felled this year.</dd></dl><p>Store it off the ground.</p>]]</div><div><a href=6>Next page</a> <a href=7>Imprint</a></div></body></html>""",
+    """<html><body><ul><li><a href=1>Home</a></li><li><a href=2>Archive</a></li></ul><main>[[<h1>Sources on the old canal</h1><p>The <a href=3>first survey</a> and the <a href=4>toll books</a> disagree about the length of the upper reach by a quarter of a mile.</p><ol><li>Survey of the upper reach, with <a href=5>plates</a>, printed for the company.</li><li>Toll books of the lower lock, <a href=6>second volume</a>, in the county archive.</li></ol><p>Both are kept in the county town.</p>]]</main><div><a href=7>Older posts</a> <a href=8>Privacy</a></div></body></html>""",
 )
 
 
@@ -189,17 +192,41 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return best
 
 
+def holders(found: list[Item]) -> list[tuple[int, int]]:
+    """Ends of the article and main elements that are no furniture, inner ones first. One that is never closed has no known end."""
+    out, stack = [], []
+    for i, x in enumerate(found):
+        if x.text:
+            continue
+        if x.kind in ("article", "main"):
+            stack.append((x.kind, i))
+        elif x.kind in ("/article", "/main"):
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == x.kind[1:]), None)
+            if at is not None:
+                if not found[stack[at][1]].skip:
+                    out.append((stack[at][1], i + 1))
+                del stack[at:]
+    return out
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     """Text of the best region: blocks joined by a newline, white space inside a block as one space."""
     if not page:
         return ""
     found = items(page)
-    lo, hi = best_region([weights.of(x) for x in found])
+    lo, hi = core = best_region([weights.of(x) for x in found])
+    held = holders(found)
+    if lo == hi and held:  # nothing but links, say
+        core = held[0]
     # a region is whole blocks: it takes in the rest of the blocks that it begins and ends in
     while lo > 0 and not (found[lo].words and found[lo].new) and not (not found[lo].words and found[lo].kind.lstrip("/") in BLOCK):
         lo -= 1
     while hi < len(found) and not (found[hi].words and found[hi].new) and found[hi].kind.lstrip("/") not in BLOCK:
         hi += 1
+    inner = next((h for h in held if h[0] <= core[0] and core[1] <= h[1]), None)
+    for s, e in [inner] if inner else held:
+        if s < core[1] and core[0] < e:
+            lo, hi = (min(lo, s), max(hi, e)) if lo < hi else (s, e)
     blocks: list[list[str]] = []
     for x in found[lo:hi]:
         if x.skip or not x.text:

@@ -386,6 +386,21 @@ def test_html_pages():
     assert html_extract.best_region([-1, 2, -1, 3, -5, 4]) == (1, 4)
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_html_keeps_tables_and_lists_of_an_article(tag):
+    table = "<table>" + "".join("<tr>" + "".join(f"<td>n{r}{c}</td>" for c in range(4)) + "</tr>" for r in range(20)) + "</table>"
+    links = "<ul>" + "".join(f"<li><a href=/r{i}>ref{i}</a></li>" for i in range(30)) + "</ul>"
+    terms = "<dl>" + "".join(f"<dt>t{i}</dt><dd>d{i}</dd>" for i in range(20)) + "</dl>"
+    nav = "<ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul>"
+    text = lambda p: html_extract.main_text(p, html_extract.learn())
+    words = lambda p: re.sub("<[^>]*>", " ", p).split()
+    for body in (f"{links}<p>A first line of words.</p>{table}<p>Then a few more words follow.</p>{terms}{links}", f"{table}<p>Short end.</p>", links):
+        page = f"<body>{nav}<{tag}>{body}<nav>in page</nav></{tag}><div>{nav}</div></body>"
+        assert text(page).split() == words(body)
+    body = f"<p>Some words stand before the table here.</p>{table}<p>And a few more come after.</p>"
+    assert text(f"<body>{nav}<div>{body}</div><div>{nav}</div></body>").split() == words(body)  # without the element, by the weights
+
+
 def test_html_of_the_tables(spark):
     import html as h
 
