@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,9 +22,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one is set only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one is set if all tasks run in
+    this machine's one process (tests); on a cluster a machine's own folder would lose rows, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir isn't set; {master} needs a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,15 +38,28 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts lineage so that several consumers share one computation and lost executors lose nothing. The files go
-    when the driver's JVM ends.
+    when the driver's JVM ends, or earlier by :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lectern-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, p = _place(spark, path)
+    fs.deleteOnExit(p)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+def _place(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`materialize` returned, once all that reads them is written."""
+    for t in tables:
+        fs, p = _place(t.sparkSession, t.scratch_path)
+        fs.delete(p, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:

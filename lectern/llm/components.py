@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, too_many
 
 
 class Forest:
@@ -57,32 +57,39 @@ def contract(edges: DataFrame, held: int = 500_000) -> DataFrame:
     return edges.select("u", "v").mapInArrow(run, "u long, v long")
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """The edges with the smallest neighbour of ``u``. The minima are written apart, so that the join has plain inputs and a
-    hub's edges can be split over tasks."""
-    return edges.join(materialize(edges.groupBy("u").agg(F.min("v").alias("m"))), "u")
+def _least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges with the smallest neighbour of ``u``, and the minima. These are written apart, so that the join has plain
+    inputs and a hub's edges can be split over tasks."""
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")))
+    return edges.join(least, "u"), least
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, one_task: int = 200_000) -> DataFrame:
     """``node, component`` (its smallest node) of every node that has an edge in ``edges(u, v)``, longs without nulls.
 
     Self-loops and repeated edges don't matter; an empty table gives no row. Each step is written in the shared folder.
+    Up to ``one_task`` edges, counted first, one task contracts all at once; more take the alternating steps.
     """
     now = materialize(contract(edges.where("u <> v")).distinct())
     size = None
+    if not too_many(now, one_task):
+        now, rounds = materialize(contract(now.repartition(1), one_task)), 0
     for _ in range(rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
-        large = materialize(large)
-        small = _least(large)
+        before, both = now, now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large, least = _least(both)
+        large = large.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v")
+        large = materialize(large.distinct())
+        small, other = _least(large)
         # edges run from the larger to the smaller node: keep (u, m), hang the other neighbours on m
         hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(hung.union(small.select("u", F.col("m").alias("v"))).distinct())
+        discard(before, least, large, other)
         # the sum of the labels falls until every node hangs on its component's smallest
         found = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if tuple(found) == size:
             break
         size = tuple(found)
     else:
-        raise RuntimeError(f"no fixed point after {rounds} rounds")
+        if rounds:
+            raise RuntimeError(f"no fixed point after {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_views, freeing, lower_ascii, materialize, slices, text_of
+from .common import byte_views, freeing, lower_ascii, materialize, slices, text_of, too_many
 
 WINDOW = 32
 _mix = np.arange(256, dtype=np.uint64)
@@ -175,13 +175,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns."""
+    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns.
+
+    Of rows that repeat both id and normalised text, the smallest by all columns in their order stays (they must be of types
+    that can be ordered). Only the ids and digests of rows that go are sent; a text that stays is never shuffled.
+    """
     found = materialize(exact_groups(docs, id_col, text_col))
-    keep = found.where("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
-    held = docs.withColumn("__of", sha).join(keep.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__sha")), "left_semi")
-    repeated = found.groupBy("id", "text_sha256").count().where("count > 1")
-    if not repeated.isEmpty():  # the same id and text more than once: one row of each
-        w = Window.partitionBy(id_col, "__of").orderBy(F.lit(0))
-        held = held.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    return held.drop("__of")
+    each = found.groupBy("id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
+    odd = materialize(each.select(F.col("id").alias("__id"), F.unhex("text_sha256").alias("__sha"), "kept"))
+    named = docs.withColumn("__of", F.unhex(F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)))
+    same = named[id_col].cast("long").eqNullSafe(odd["__id"]) & (named["__of"] == odd["__sha"])
+    known = odd.hint("shuffle_hash") if too_many(odd, 200_000) else F.broadcast(odd)
+    held = named.join(known, same, "left_anti")
+    twice = odd.where("kept")
+    if not twice.isEmpty():
+        again = named.join(known.where("kept"), same, "left_semi")
+        one = again.groupBy(F.col(id_col).alias("__id"), "__of").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+        held = held.select(*docs.columns).union(one.select("__row.*"))
+    return held.select(*docs.columns)

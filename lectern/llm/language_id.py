@@ -213,8 +213,8 @@ def whole_lengths(model: Model, raw: np.ndarray, off: np.ndarray, piece: int = 4
     return found
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, lang_pred, score, bits_per_byte`` of every row, from its whole text alone.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id, lang_pred, score, bits_per_byte`` of every row, from its whole text alone, and the columns named in ``carry``.
 
     ``lang_pred`` is the language with the shortest exact code of the whole text (a tie: the first by name), ``und`` if the
     text is null or has no letter, or if nothing was learned. ``score`` is its posterior under equal priors, 0 for ``und``.
@@ -244,7 +244,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     preds.append(m.langs[best[k]] if ok else "und")
                     scores.append(float(score[k]) if ok else 0.0)
                     rates.append(float(total[k, best[k]] / size[k]) if size[k] else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], ["id", "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64()), *b.columns[3:]], ["id", "lang_pred", "score", "bits_per_byte", *carry])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    return slim.mapInArrow(freeing(run), "id long, lang_pred string, score double, bits_per_byte double")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"), *carry)
+    more = "".join(f", {name} {kind}" for name, kind in slim.dtypes[3:])
+    return slim.mapInArrow(freeing(run), "id long, lang_pred string, score double, bits_per_byte double" + more)

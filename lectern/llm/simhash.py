@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import byte_views, freeing, materialize, text_of, too_many
 from .components import Forest, components
 
@@ -181,9 +182,69 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(of, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _described(docs: DataFrame, late, words: int, similarity) -> DataFrame:
+    """``docs(id, sha, text)`` without the texts: of each row the fingerprint of its shingles, their set's 128-bit digest, size,
+    parities, and the shingles it is looked up by."""
+    known, at, _ = late
+    shared = docs.sparkSession.sparkContext.broadcast((known, at))  # bounded: near_copies.FREQUENT numbers
+
+    def run(batches):
+        known, at = shared.value
+        for b in batches:
+            fps, digests, sizes, bits, heads = [], [], [], [], []
+            for h in near_copies.shingles(b.column(2), words):
+                counts = sum((np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(h), 65_536)), np.zeros(64, np.int64))
+                fps.append(int(np.packbits(2 * counts > len(h), bitorder="little").view(np.int64)[0]))
+                found = near_copies.as_set(h)
+                digests.append(xxhash.xxh3_128_digest(found.tobytes(), SEED))
+                sizes.append(len(found))
+                bits.append(near_copies.parities(found).tobytes())
+                heads.append(near_copies.prefix(found, known, at, similarity).tobytes() if len(found) else b"")
+            made = [pa.array(x, t) for x, t in ((fps, pa.int64()), (digests, pa.binary()), (sizes, pa.int64()), (bits, pa.binary()), (heads, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["id", "sha", "fp", "digest", "size", "bits", "heads"])
+
+    made = docs.select("id", "sha", "text").mapInArrow(freeing(run), "id long, sha binary, fp long, digest binary, size long, bits binary, heads binary")
+    return materialize(made.withColumn("node", F.monotonically_increasing_id()))  # written, so a row's number stays
+
+
+def near_duplicate_links(docs: DataFrame, *, words: int = 5, similarity=near_copies.SIMILARITY, radius: int = 4, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs(id, sha, text)``: its rows numbered (``id, sha, node``), and links ``u, v`` between them that connect all pairs
+    whose sets of ``words``-word shingles have at least the Jaccard ``similarity``, and no others.
+
+    Rows of one set link at once. Fingerprints within ``radius`` bits, found on the grid, are tried first; no radius that the
+    grid can search reaches every pair of the similarity (at 0.8 they differ in some ten bits of 64), so the rest of the pairs
+    come from the shingles they must share. Every pair is compared by its whole sets.
+    """
+    late = near_copies.frequent(docs, "text", words)
+    marks = _described(docs, late, words, similarity)
+    least = marks.groupBy("digest").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = materialize(marks.select("node", "digest").join(least, "digest").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    again = same.select(F.col("u").alias("node"))
+    points = marks.join(again.hint("shuffle_hash") if too_many(again, near_copies.SENT) else F.broadcast(again), "node", "left_anti").where("size > 0")
+    of = materialize(points.groupBy("fp").agg(F.min("node").alias("node")))
+    end = lambda x: of.select(F.col("fp").alias(f"{x}_fp"), F.col("node").alias(x))
+    on_grid = links(of, radius, blocks).withColumnsRenamed({"u": "u_fp", "v": "v_fp"}).join(end("u"), "u_fp").join(end("v"), "v_fp").select("u", "v")
+    equal = points.select(F.col("node").alias("u"), "fp").join(of.withColumnRenamed("node", "v"), "fp").where("u <> v").select("u", "v")
+    near = materialize(on_grid.union(equal))
+    return marks.select("id", "sha", "node"), same.union(near_copies.similar_links(points, marks, docs, near, late, words, similarity))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component. Rows without an id can't be told apart and stay."""
-    found = near_groups(docs, id_col, text_col, **how)
-    # written first, so that its size is known: few copies are sent to every task, many are hashed, texts are never sorted
-    go = materialize(found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__id")).distinct())
-    return docs.join(go.hint("shuffle_hash") if too_many(go) else go, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    """The rows of ``docs`` without near duplicates: of each group of :func:`near_duplicate_links` (its parameters: ``how``) the
+    row with the smallest id stays, with all its columns.
+
+    A null id comes after any other, equal ids are told apart by a digest of the text; rows that repeat both id and text of
+    the one that stays, stay as well. Texts without a word are one group; null counts as empty. An empty table gives no row.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sha = F.unhex(F.sha2(text.cast("binary"), 256))
+    rows, found = near_duplicate_links(docs.select(F.col(id_col).cast("long").alias("id"), sha.alias("sha"), text.alias("text")), **how)
+    parts = components(materialize(found))
+    member = rows.join(parts, "node").select("component", F.struct(F.col("id").isNull().alias("none"), "id", "sha").alias("row"))
+    keep = member.groupBy("component").agg(F.min("row").alias("keep"))
+    go = member.join(keep, "component").where(F.col("row") != F.col("keep")).select(F.col("row.id").alias("__id"), F.col("row.sha").alias("__sha")).distinct()
+    # written first, so that its size is known: few rows are sent to every task, many are hashed, texts are never sorted
+    go = materialize(go)
+    named = docs.withColumn("__of", sha)
+    gone = named[id_col].cast("long").eqNullSafe(go["__id"]) & (named["__of"] == go["__sha"])
+    return named.join(go.hint("shuffle_hash") if too_many(go, near_copies.SENT) else F.broadcast(go), gone, "left_anti").drop("__of")

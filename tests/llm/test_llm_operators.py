@@ -134,12 +134,13 @@ def test_links_connect_dense_and_sparse_points(spark):
         assert int(np.bitwise_count(e[i] ^ e[j])) <= bin(fps[i] ^ fps[j]).count("1")
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_components_of_paths_and_stars(spark, one_task):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5000, 5000), (-5, -3)]
     random.Random(1).shuffle(edges)
-    found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(4), one_task=one_task).collect()}
     assert found == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(50)} | {-5: -5, -3: -5}
-    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert components.components(spark.createDataFrame([], "u long, v long"), one_task=one_task).count() == 0
 
 
 def brute_removal(rows, width=13):
@@ -449,3 +450,22 @@ def test_url_models_of_no_pages(spark):
     model = url_filter.train(none)
     one = spark.createDataFrame([(1, "http://casino.example/")], none.schema)
     assert [r.verdict for r in url_filter.verdicts(one, model).collect()] == ["allow"]
+
+
+def test_exact_dedup_picks_one_of_repeated_rows_by_all_columns(spark):
+    rows = [(5, "Same", "b"), (5, "same", "a"), (5, "other", "z"), (4, "SAME", "a"), (None, None, "q"), (None, "", "p"), (6, "é", "x"), (6, "É", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __n string").repartition(3)
+    found = exact_dedup.drop_exact_duplicates(docs)
+    assert found.columns == docs.columns
+    # all columns in their order decide: "Same" comes before "same", null before anything
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, [(5, "Same", "b"), (5, "other", "z"), (None, None, "q"), (6, "é", "x"), (6, "É", "x")]))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lectern.llm import common
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch_dir(unset)

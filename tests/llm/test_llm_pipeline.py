@@ -29,20 +29,7 @@ def test_stages(steps):
         k = r.text.encode().lower()
         best[k] = max(best.get(k, -1), -1 if r.doc_id is None else r.doc_id)
     assert sorted(best.values()) == sorted(-1 if r.doc_id is None else r.doc_id for r in exact)
-    fps = [simhash.fingerprint(r.text.encode()) for r in exact]
-    ids = [r.doc_id for r in exact]
-    seen, groups = set(), 0
-    for i in range(len(ids)):
-        if i in seen:
-            continue
-        groups += 1
-        todo = [i]
-        while todo:
-            x = todo.pop()
-            if x not in seen:
-                seen.add(x)
-                todo += [j for j in range(len(ids)) if bin(fps[x] ^ fps[j]).count("1") <= 4]
-    assert groups <= len(near) <= groups + 1  # a row without an id stays
+    assert sorted((r.doc_id for r in near), key=lambda x: (x is None, x or 0)) == near_kept([(r.doc_id, r.text) for r in exact])
     assert set(collections.Counter(r.doc_id for r in mixed).values()) <= {1, 2}
     tokens = collections.Counter()
     for r in packed:
@@ -71,9 +58,32 @@ def test_stages_keep_extra_columns(spark):
     assert corpus_pipeline.STAGES[4][1](spark, wide, "").count() >= 30
 
 
-@pytest.mark.parametrize("small", [32, 2])
-def test_near_copies_equal_brute_force_jaccard(spark, small):
-    rng = random.Random(3)
+def shingle_set(text, words=5):
+    w = "".join(c.lower() if c.isascii() else c for c in text or "").split()
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def similar(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def near_kept(rows):
+    """Brute force: of each component of rows (id, text) whose sets are similar, the smallest id, null last."""
+    sets, kept, seen = [shingle_set(t) for _, t in rows], [], set()
+    for i in range(len(rows)):
+        todo, part = [] if i in seen else [i], []
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                part.append(rows[x][0])
+                todo += [j for j in range(len(rows)) if similar(sets[x], sets[j])]
+        if part:
+            kept.append(min(part, key=lambda x: (x is None, x or 0)))
+    return sorted(kept, key=lambda x: (x is None, x or 0))
+
+
+def chained_texts(rng):
     base = [[f"w{rng.randrange(3000)}" for _ in range(120)] for _ in range(12)]
     texts = [" ".join(b) for b in base] + ["", "  ", "one two", "One  two", "one two three", "boiler plate of all the pages here"]
     for b in base[:8]:
@@ -83,23 +93,41 @@ def test_near_copies_equal_brute_force_jaccard(spark, small):
                 c[rng.randrange(len(c))] = f"x{rng.randrange(3000)}"
             texts.append(" ".join(c))
             b = c if n % 3 == 0 else b
-    rows = [(i, t) for i, t in enumerate(texts)]
+    passage = [f"p{i}" for i in range(100)]
+    for i in range(30):  # a passage that many share is no link, nor is it where it is most of a text
+        texts.append(" ".join(passage[: 30 + 2 * i] + [f"own{i}x{k}" for k in range(25)]))
+    return texts
+
+
+@pytest.mark.parametrize("hot", [500, 10**9])
+def test_near_copies_equal_brute_force_jaccard(spark, monkeypatch, hot):
+    monkeypatch.setattr(near_copies, "HOT", hot)  # at the larger number every repeated shingle is dealt over many tasks
+    rng = random.Random(3)
+    rows = list(enumerate(chained_texts(rng)))
     rng.shuffle(rows)
-    shingle = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    sets = {i: shingle(t.lower().split()) for i, t in rows}
-    near = lambda a, b: sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
-    kept, seen = set(), set()
-    for i in sorted(sets):
-        todo = [] if i in seen else [i]
-        kept |= set(todo)
-        while todo:
-            x = todo.pop()
-            if x not in seen:
-                seen.add(x)
-                todo += [j for j in sets if near(x, j)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs, small=small).collect()) == sorted(kept)
-    far = [(a, b) for a in sets for b in sets if a < b and sets[a] and near(a, b) and (simhash.fingerprint(texts[a].encode()) ^ simhash.fingerprint(texts[b].encode())).bit_count() > 4]
-    assert far  # pairs that four bits of a four-word fingerprint miss
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
-    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == sorted(kept)
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == near_kept(rows)
+    sets = [(shingle_set(t), simhash.fingerprint(t.encode())) for _, t in rows]
+    far = [1 for i, (a, f) in enumerate(sets) for b, g in sets[:i] if similar(a, b) and (f ^ g).bit_count() > 4]
+    assert far  # pairs that four bits of a four-word fingerprint miss
+
+
+def test_near_dedup_keeps_unrelated_rows_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, b), (5, a + " tail"), (9, c), (None, c + " end"), (None, None), (7, " "), (9, c)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, id int")
+    kept = simhash.drop_near_duplicates(docs, words=5, similarity=(4, 5))
+    assert kept.columns == docs.columns
+    # rows that repeat id and text of the one that stays, stay as well
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(3, a), (5, b), (7, " "), (9, c), (9, c)])
+
+
+def test_shingle_hashes_equal_where_words_do():
+    import pyarrow as pa
+
+    texts = ["a b c d e f", "  A b\tC d e f ", "a b", "", " ", "b", "a b c d e", "x a b c d e f", "ä b c d e f"]
+    found = [near_copies.as_set(x).tolist() for x in near_copies.shingles(pa.array(texts), 5)]
+    assert [len(x) for x in found] == [2, 2, 1, 0, 0, 1, 1, 3, 2]
+    assert found[0] == found[1] and set(found[6]) < set(found[0]) < set(found[7]) and not set(found[2]) & set(found[5])
+    assert len(set(found[0]) & set(found[8])) == 1
