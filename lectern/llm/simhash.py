@@ -26,6 +26,15 @@ LOW = np.uint64(0x5555555555555555)
 SEED = 42
 
 
+def majority(h: np.ndarray) -> np.ndarray:
+    """The bits set in over half of the 64-bit numbers, as one of them."""
+    counts = np.zeros(64, np.int64)
+    for lo in range(0, len(h), 65_536):
+        part = h[lo : lo + 65_536].view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)
+
+
 def fingerprint(text: bytes, words: int = 4) -> int:
     """SimHash over the XXH64 (seed 42) of the ``words``-word shingles, repeats included; 0 without a word."""
     found = text.lower().split()
@@ -37,12 +46,9 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     size = np.fromiter(map(len, found), np.int64, len(found))
     end = np.cumsum(size + 1) - 1
     start = end - size
-    counts, n, xx = np.zeros(64, np.int64), len(found) - words + 1, xxhash.xxh64_intdigest
-    for lo in range(0, n, 65_536):
-        hi = min(n, lo + 65_536)
-        h = np.fromiter((xx(joined[s:e], SEED) for s, e in zip(start[lo:hi].tolist(), end[lo + words - 1 : hi + words - 1].tolist())), np.uint64, hi - lo)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    n, xx = len(found) - words + 1, xxhash.xxh64_intdigest
+    h = np.fromiter((xx(joined[s:e], SEED) for s, e in zip(start[:n].tolist(), end[words - 1 :].tolist())), np.uint64, n)
+    return int(majority(h)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -193,17 +199,19 @@ def _described(docs: DataFrame, late, words: int, similarity) -> DataFrame:
         for b in batches:
             fps, digests, sizes, bits, heads = [], [], [], [], []
             for h in near_copies.shingles(b.column(2), words):
-                counts = sum((np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(h), 65_536)), np.zeros(64, np.int64))
-                fps.append(int(np.packbits(2 * counts > len(h), bitorder="little").view(np.int64)[0]))
+                fps.append(int(majority(h).view(np.int64)[0]))
                 found = near_copies.as_set(h)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes(), SEED))
                 sizes.append(len(found))
-                bits.append(near_copies.parities(found).tobytes())
+                bits.append(near_copies.parities(found))
                 heads.append(near_copies.prefix(found, known, at, similarity).tobytes() if len(found) else b"")
-            made = [pa.array(x, t) for x, t in ((fps, pa.int64()), (digests, pa.binary()), (sizes, pa.int64()), (bits, pa.binary()), (heads, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["id", "sha", "fp", "digest", "size", "bits", "heads"])
+            made = [pa.array(x, t) for x, t in ((fps, pa.int64()), (digests, pa.binary()), (sizes, pa.int64()), (heads, pa.binary()))]
+            made += [pa.array(x) for x in np.array(bits, np.int64).reshape(-1, 8).T]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names)
 
-    made = docs.select("id", "sha", "text").mapInArrow(freeing(run), "id long, sha binary, fp long, digest binary, size long, bits binary, heads binary")
+    names = ["id", "sha", "fp", "digest", "size", "heads", *near_copies.BITS]
+    kinds = "id long, sha binary, fp long, digest binary, size long, heads binary, " + ", ".join(f"{x} long" for x in near_copies.BITS)
+    made = docs.select("id", "sha", "text").mapInArrow(freeing(run), kinds)
     return materialize(made.withColumn("node", F.monotonically_increasing_id()))  # written, so a row's number stays
 
 
