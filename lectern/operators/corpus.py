@@ -5,6 +5,7 @@ Pages have ``document_id, page_number, text`` (and ``lecture``, ``unit``, derive
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +27,16 @@ def with_names(pages: DataFrame) -> DataFrame:
 
 
 def usable_pages(pages: DataFrame, least: int = MIN_PAGE_CHARS) -> DataFrame:
-    """Pages of ``least`` characters or more, of equal texts the first by (document, page).
+    """Pages of ``least`` characters or more, of equal texts the first by (document, page), which names a page.
 
-    One aggregation by text, partial on the map side: a page that half the corpus repeats stays one row per task.
+    Digests are grouped, partial on the map side, so a page that half the corpus repeats stays one row per task; only the
+    repeated ones are looked up again, and no text is sorted.
     """
-    rest = [c for c in pages.columns if c != "text"]
-    order = ["document_id", "page_number", *[c for c in rest if c not in ("document_id", "page_number")]]
-    rich = pages.where(t.utf16_length("text") >= least)
-    first = rich.groupBy("text").agg(F.min(F.struct(*order)).alias("p"))
-    return first.select(*[F.col(f"p.{c}").alias(c) if c != "text" else F.col("text") for c in pages.columns])
+    rich = pages.where(t.utf16_length("text") >= least).withColumn("__of", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    page = F.struct("document_id", "page_number")
+    first = rich.groupBy("__of").agg(F.min(page).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    held = rich.join(first, "__of", "left").where(F.col("__first").isNull() | (page == F.col("__first")))
+    return held.select(*pages.columns)
 
 
 def language_samples(usable: DataFrame, pages: int = LANGUAGE_PAGES) -> DataFrame:
@@ -74,25 +76,29 @@ def chunk_numbers(pages: DataFrame, target: int = TARGET_TOKENS, most: int = MAX
     """``document_id, page_number, chunk``: the greedy packing of a document's pages in order.
 
     Pages gather until a chunk has ``target`` tokens; a page of ``most`` or more closes the one before and stands alone.
-    The state resets, so it is a fold over each document's ordered token counts (texts don't take part).
+    The state resets, so it is one pass over each document's ordered token counts (texts don't take part, and no list of a
+    document's pages is held).
     """
-    tokens = pages.select("document_id", "page_number", t.approx_tokens(t.utf16_length("text")).alias("tokens"))
-    lists = tokens.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "tokens"))).alias("ps"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("chunk"), zero.alias("held"), zero.alias("waiting"), F.expr("cast(array() as array<struct<page_number: int, chunk: bigint>>)").alias("out"))
-
-    def step(acc, p):
-        alone = p["tokens"] >= most
-        # a lone page closes the pages that wait, and takes the number after theirs
-        mine = F.when(alone & (acc["waiting"] > 0), acc["chunk"] + 1).otherwise(acc["chunk"])
-        full = alone | (acc["held"] + p["tokens"] >= target)
-        return F.struct(
-            F.when(full, mine + 1).otherwise(mine).alias("chunk"), F.when(full, zero).otherwise(acc["held"] + p["tokens"]).alias("held"), F.when(full, zero).otherwise(acc["waiting"] + 1).alias("waiting"),
-            F.concat(acc["out"], F.array(F.struct(p["page_number"].cast("int").alias("page_number"), mine.alias("chunk")))).alias("out"),
-        )
-
-    done = lists.select("document_id", F.explode(F.aggregate("ps", start, step)["out"]).alias("x"))
-    return done.select("document_id", "x.page_number", "x.chunk")
+    tokens = pages.select("document_id", F.col("page_number").cast("int").alias("page_number"), F.coalesce(t.approx_tokens(t.utf16_length("text")).cast("long"), F.lit(0)).alias("tokens"))
+
+    def fold(batches):
+        document, chunk, held, waiting = None, 0, 0, 0
+        for b in batches:
+            out = []
+            for d, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if d != document:
+                    document, chunk, held, waiting = d, 0, 0, 0
+                if n >= most:  # a lone page closes the pages that wait, and takes the number after theirs
+                    chunk += waiting > 0
+                out.append(chunk)
+                if n >= most or held + n >= target:
+                    chunk, held, waiting = chunk + 1, 0, 0
+                else:
+                    held, waiting = held + n, waiting + 1
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], ["document_id", "page_number", "chunk"])
+
+    ordered = tokens.repartition("document_id").sortWithinPartitions("document_id", "page_number")
+    return ordered.mapInArrow(fold, "document_id string, page_number int, chunk long")
 
 
 def chunks(pages: DataFrame, target: int = TARGET_TOKENS, most: int = MAX_TOKENS, roles: DataFrame | None = None) -> DataFrame:

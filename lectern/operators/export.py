@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,8 +111,20 @@ def render_candidate(id_, title, question, options) -> Column:
 def fingerprint(rows: DataFrame, order: list[str], fields: list[str]) -> DataFrame:
     """SHA-256 over the SHA-256 of each row in order: small digests are gathered, never the rows."""
     each = F.sha2(F.concat_ws("\x00", *[F.coalesce(F.col(f).cast("string"), F.lit("\x01")) for f in fields]), 256)
-    listed = F.array_sort(F.collect_list(F.struct(*order, each.alias("h"))))
-    return rows.agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["h"]), "\n"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("rows"))
+    ordered = rows.select(*order, each.alias("__h")).repartition(1).sortWithinPartitions(*order, "__h")
+
+    def fold(batches):
+        # a digest over a sequence is made in sequence: one task reads the sorted digests by and holds none
+        of, n = hashlib.sha256(), 0
+        for b in batches:
+            for h in b.column(b.num_columns - 1).to_pylist():
+                of.update(b"\n" * (n > 0) + h.encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([of.hexdigest()]), pa.array([n], pa.int64())], ["fingerprint", "rows"])
+
+    one = ordered.mapInArrow(fold, "fingerprint string, rows long")
+    nothing = F.lit(hashlib.sha256().hexdigest())
+    return one.agg(F.coalesce(F.max("fingerprint"), nothing).alias("fingerprint"), F.coalesce(F.max("rows"), F.lit(0)).alias("rows"))
 
 
 def retrieval_csv(ranked: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ Dimensions (prices, thresholds, buckets) are fixed small tables.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,15 +118,21 @@ def selection_ratio(quizzes: DataFrame) -> DataFrame:
 def threshold_sweep(severities: DataFrame, steps: list[float] | None = None) -> DataFrame:
     """``step, threshold, total, accepted, accepted_mean`` of each threshold, and ``worst_<mode>`` counts among the rejects.
 
-    Items are first counted by (worst, mean, mode): severities take few values, so what meets the thresholds is small.
+    Items are first counted by how many thresholds their worst and their mean severity pass, so what meets the thresholds is
+    bounded by their number, however many values severities take.
     """
     spark = severities.sparkSession
-    ts = spark.createDataFrame(list(enumerate(steps or thresholds())), "step long, threshold double")
-    w = worst_modes(severities).groupBy("worst", "mean", "worst_mode").agg(F.count(F.lit(1)).alias("n"))
-    ok, ok_mean = 1 - F.col("worst") >= F.col("threshold"), 1 - F.col("mean") >= F.col("threshold")
+    all_ = steps or thresholds()
+    ts = [(i, x, sum(y <= x for y in all_)) for i, x in enumerate(all_)]
+    ts = spark.createDataFrame(ts, "step long, threshold double, needed int")
+    passed = lambda c: reduce(add, ((1 - F.col(c) >= F.lit(x)).cast("int") for x in all_))
+    w = worst_modes(severities).select(passed("worst").alias("by_worst"), passed("mean").alias("by_mean"), "worst_mode")
+    w = w.groupBy("by_worst", "by_mean", "worst_mode").agg(F.count(F.lit(1)).alias("n"))
+    ok, ok_mean = F.col("by_worst") >= F.col("needed"), F.col("by_mean") >= F.col("needed")
     n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(F.lit(0)))
     modes = [n(~ok & (F.col("worst_mode") == m)).alias(f"worst_{m.lower()}") for m in FAILURE_MODES]
-    return w.join(F.broadcast(ts), how="cross").groupBy("step", "threshold").agg(F.sum("n").alias("total"), n(ok).alias("accepted"), n(ok_mean).alias("accepted_mean"), *modes)
+    counts = w.join(F.broadcast(ts), how="cross").groupBy("step", "threshold")
+    return counts.agg(F.sum("n").alias("total"), n(ok).alias("accepted"), n(ok_mean).alias("accepted_mean"), *modes)
 
 
 def bucket_of(fraction: Column) -> Column:

@@ -5,6 +5,10 @@ Snippets are rows in an explicit order; every tie is broken by a column.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,24 +29,65 @@ def with_norm(index: DataFrame, vector: str = "embedding") -> DataFrame:
 def top_k(queries: DataFrame, index: DataFrame, k: int, vector: str = "embedding", order: str = "chunk_ord") -> DataFrame:
     """``query_id, <index columns>, score, rank``: the k best of the index for each query, ties in index order.
 
-    ``queries(query_id, query_vector)`` must be few and are counted before they are broadcast; the index is scanned once a pass
-    and each task keeps its own k best of a query before anything is shuffled.
+    ``queries(query_id, query_vector)`` must be few and are counted before they are sent to the tasks; more than
+    ``QUERIES_AT_ONCE`` take several passes. Each batch of the index is scored against a block of queries by one matrix
+    product, and only what may be among its k best goes on, with its score summed in index order.
     """
     total = queries.count()
     if total > QUERIES_AT_ONCE:
         parts = -(-total // QUERIES_AT_ONCE)
-        pieces = [top_k(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i), index, k, vector, order) for i in range(parts)]
-        out = pieces[0]
-        for p in pieces[1:]:
-            out = out.unionByName(p)
-        return out
+        mine = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+        pieces = [top_k(queries.where(mine == i), index, k, vector, order) for i in range(parts)]
+        return reduce(DataFrame.unionByName, pieces)
     index = index if "norm" in index.columns else with_norm(index, vector)
-    q = queries.withColumn("query_norm", v.norm("query_vector"))
-    scored = index.join(F.broadcast(q), how="cross").withColumn("score", v.cosine("query_vector", vector, "query_norm", "norm")).drop(vector, "query_vector", "norm", "query_norm")
+    rows = queries.select("query_id", "query_vector", v.norm("query_vector").alias("n")).collect()  # QUERIES_AT_ONCE at most
+    rows = [r for r in rows if r["query_vector"] is not None]
+    ids = pa.array([r["query_id"] for r in rows], pa.int64())
+    shared = index.sparkSession.sparkContext.broadcast((ids, _matrix([r["query_vector"] for r in rows]), np.array([r["n"] for r in rows], float)))
+    kept = [c for c in index.columns if c not in (vector, "norm")]
+    kinds = {f.name: f.dataType.simpleString() for f in index.schema}
+
+    def run(batches):
+        ids, q, qn = shared.value
+        for b in batches:
+            b = b.filter(b.column(len(kept)).is_valid())
+            if not b.num_rows or not len(q):
+                continue
+            x, xn = _matrix(b.column(len(kept)).to_pylist()), b.column(len(kept) + 1).to_numpy()
+            for lo in range(0, len(q), 256):
+                i, j = _best(q[lo : lo + 256], qn[lo : lo + 256], x, xn, k)
+                i += lo
+                width = min(q.shape[1], x.shape[1])
+                dot, norms = np.cumsum(q[i, :width] * x[j, :width], axis=1)[:, -1], qn[i] * xn[j]
+                score = np.divide(dot, norms, out=np.zeros(len(i)), where=norms != 0)
+                some = b.take(pa.array(j))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), *some.columns[: len(kept)], pa.array(score)], ["query_id", *kept, "score"])
+
+    put = index.select(*kept, vector, "norm")
+    scored = put.mapInArrow(run, ", ".join(["query_id long", *(f"`{c}` {kinds[c]}" for c in kept), "score double"]))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), order)
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def _matrix(vectors: list) -> np.ndarray:
+    """Rows of doubles; shorter ones end in zeros, so that a product is over the shorter length of two."""
+    out = np.zeros((len(vectors), max([1, *map(len, vectors)])))
+    for row, x in zip(out, vectors):
+        row[: len(x)] = x
+    return out
+
+
+def _best(q: np.ndarray, qn: np.ndarray, x: np.ndarray, xn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a query and a row of ``x`` that may be among its k best: all within rounding of the k-th."""
+    width = min(q.shape[1], x.shape[1])
+    norms = qn[:, None] * xn[None, :]
+    s = np.divide(q[:, :width] @ x[:, :width].T, norms, out=np.zeros(norms.shape), where=norms != 0)
+    if len(x) > k:
+        last = np.partition(s, len(x) - k, axis=1)[:, len(x) - k]
+        return np.nonzero(s >= last[:, None] - 1e-9)
+    return np.nonzero(np.ones(s.shape, bool))
+
+
 def interleave(ranked: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Snippets of several lists ``(position, rank, chunk_id)`` taken in turn: by rank, then list; the first of a chunk stays.
     Adds ``place`` from 1 on."""

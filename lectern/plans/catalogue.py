@@ -167,11 +167,13 @@ def quiz_run_recency(fx):
     return reports.run_recency(fx.item.withColumn("created_at", F.col("updated_at"))).select("position", "run_id", "quizzes")
 
 
+# a quiz is what its latest call left
 STORED_QUIZZES = """
-SELECT configuration_id, request_key, repetition, max(questions) AS questions, max(bad) AS bad FROM (
- SELECT CASE call_id % 2 WHEN 0 THEN 'agentic|local|local|local' ELSE 'two-phase|local|cloud|cloud' END AS configuration_id, concat('r', CAST((call_id % 8 - call_id % 2) / 2 + 1 AS INTEGER)) AS request_key,
-  CAST((call_id % 24 - call_id % 8) / 8 + 1 AS INTEGER) AS repetition, CASE WHEN call_id % 24 < 8 THEN 0 ELSE 3 END AS questions,
-  CASE WHEN failure_category IN ('TIMEOUT', 'TRANSPORT', 'RATE_LIMIT') THEN 1 ELSE 0 END AS bad FROM fx_call WHERE call_id < 40) x GROUP BY 1, 2, 3"""
+SELECT configuration_id, request_key, repetition, max_by(questions, call_id) AS questions, max_by(bad, call_id) AS bad FROM (
+ SELECT call_id, CASE call_id % 2 WHEN 0 THEN 'agentic|local|local|local' ELSE 'two-phase|local|cloud|cloud' END AS configuration_id,
+  concat('r', CAST((call_id % 8 - call_id % 2) / 2 + 1 AS INTEGER)) AS request_key,
+  CAST((call_id % 24 - call_id % 8) / 8 + 1 AS INTEGER) AS repetition, CASE WHEN outcome = 'success' AND call_id % 24 >= 8 THEN 3 ELSE 0 END AS questions,
+  CASE WHEN failure_category IN ('TIMEOUT', 'TRANSPORT', 'RATE_LIMIT') OR call_id % 5 = 0 THEN 1 ELSE 0 END AS bad FROM fx_call) x GROUP BY 1, 2, 3"""
 
 
 def _stored(fx):
@@ -307,7 +309,7 @@ def item_export_groups(fx):
     lecture = F.when(F.col("requested_difficulty") > 20, F.concat(F.lit("lec"), F.substring("competency_key", 2, 2))).otherwise("")
     items = items.withColumn("lectures", F.array(lecture))
     out = export.item_groups(items, "configuration_topic", "split").withColumn("granularity", F.lit("configuration_topic"))
-    return out.unionByName(export.item_groups(items.where("item_id % 3 = 0 or run_id = 'run-1'"), "run", "accepted").withColumn("granularity", F.lit("run")))
+    return out.unionByName(export.item_groups(items, "run", "accepted").withColumn("granularity", F.lit("run")))
 
 
 @query
@@ -354,8 +356,8 @@ def grounding_budget(fx):
 
 @query
 def interleave_round_robin(fx):
-    lists = _top(fx).where("query_id in (0, 50, 100)").withColumn("position", (F.col("query_id") / 50).cast("long"))
-    return retrieval.interleave(lists).select("place", "chunk_id")
+    lists = _top(fx).withColumn("panel", F.expr("query_id div 150")).withColumn("position", F.expr("query_id div 50 % 3"))
+    return retrieval.interleave(lists, ["panel"]).select("panel", "place", "chunk_id")
 
 
 @query
@@ -408,7 +410,7 @@ def agentic_rounds(fx):
 
 @query
 def slug_variants(fx):
-    names = fx.table("documents").select("doc_id", F.substring("text", 1, 60).alias("name"))
+    names = fx.table("documents").select("doc_id", F.col("text").alias("name"))
     return names.select("doc_id", t.slug_letters("name").alias("letters"), t.slug_ascii("name").alias("ascii"), t.slug_file("name").alias("file"), t.slug_latin("name").alias("latin"))
 
 
@@ -458,7 +460,7 @@ def material_manifest(fx):
 
 @query
 def competency_topics(fx):
-    links = fx.item.where("item_id < 400").select("competency_key", F.concat(F.lit("lec"), (F.col("item_id") % 12).cast("string"), F.lit("/deck"), (F.col("item_id") % 7).cast("string"), F.lit(".pdf")).alias("document_id"))
+    links = fx.item.select("competency_key", F.concat(F.lit("lec"), (F.col("item_id") % 12).cast("string"), F.lit("/deck"), (F.col("item_id") % 7).cast("string"), F.lit(".pdf")).alias("document_id"))
     per = fx.chunk.select(t.chunk_document("chunk_id").alias("document_id"))
     return corpus.competency_topics(fx.item.select("competency_key").distinct(), links, per)
 

@@ -185,7 +185,7 @@ FROM (SELECT *, {key} AS group_key, {condition} AS condition FROM items WHERE st
 
 
 sql("item_export_groups", _groups("configuration_id || '__' || competency_key", "CASE WHEN coalesce(accepted, false) THEN 'accepted' ELSE 'rejected' END", "true", "configuration_topic") + "\nUNION ALL\n"
-    + _groups("run_id", "'accepted'", "coalesce(accepted, false) AND (item_id % 3 = 0 OR run_id = 'run-1')", "run"), "fx_item", "fx_severity", "fx_run", more=DECIDED)
+    + _groups("run_id", "'accepted'", "coalesce(accepted, false)", "run"), "fx_item", "fx_severity", "fx_run", more=DECIDED)
 STEPS = ", ".join(f"({i}, {x!r}e0)" for i, x in enumerate(thresholds()))
 ORDINAL = "CASE mode " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(FAILURE_MODES)) + " END"
 sql("threshold_sweep", f"""
@@ -215,7 +215,8 @@ sql("grounding_budget", """
 SELECT query_id, count(*) AS snippets, CAST(count(*) FILTER (role = 'SOLUTION') AS BIGINT) AS solutions, CAST(count(*) FILTER (role IS NULL) AS BIGINT) AS unknown_roles, round(count(*) FILTER (role = 'SOLUTION') / count(*), 6) AS solution_fraction,
  CAST(max(so_far) AS BIGINT) AS tokens FROM (SELECT *, sum(100 + chunk_ord * 37 % 400) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM top) WHERE so_far <= 2000 OR rank = 1 GROUP BY 1""", "fx_chunk", more=TOP)
 sql("interleave_round_robin", """
-SELECT row_number() OVER (ORDER BY rank, query_id) AS place, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY rank, query_id) AS seen FROM top WHERE query_id IN (0, 50, 100)) WHERE seen = 1""", "fx_chunk", more=TOP)
+SELECT panel, row_number() OVER (PARTITION BY panel ORDER BY rank, query_id) AS place, chunk_id FROM (
+ SELECT *, row_number() OVER (PARTITION BY panel, chunk_id ORDER BY rank, query_id) AS seen FROM (SELECT *, query_id // 150 AS panel FROM top)) WHERE seen = 1""", "fx_chunk", more=TOP)
 LECTURE = "split_part(chunk_id, '/', 1)"
 sql("subsection_partition", rf"SELECT chunk_id, {LECTURE} AS lecture, ntile(4) OVER (PARTITION BY {LECTURE} ORDER BY split_part(chunk_id, '#', 1), CAST(regexp_extract(chunk_id, '#p([0-9]+)-', 1) AS INTEGER), chunk_id) AS section FROM fx_chunk", "fx_chunk")
 sql("batch_plan", """
@@ -235,7 +236,7 @@ SELECT quiz_id, round, accepted FROM (SELECT *, sum(CASE WHEN NOT failed AND acc
  SELECT quiz_id, q_index // 2 AS round, CAST(count(*) FILTER ((quiz_id + q_index) % 3 = 0) AS BIGINT) AS accepted, (quiz_id + q_index // 2) % 4 = 0 AS failed FROM fx_question GROUP BY 1, 2)) WHERE coalesce(stops, 0) = 0""", "fx_question")
 _dash = lambda x, other: f"regexp_replace(regexp_replace({x}, '{other}', '-', 'g'), '^-+|-+$', '', 'g')"
 sql("slug_variants", rf"""SELECT doc_id, {_dash("lower(name)", r"[^\p{L}\p{N}]+")} AS letters, {_dash("lower(coalesce(name, ''))", "[^a-z0-9]+")} AS ascii, {_dash("name", "[^A-Za-z0-9._-]+")} AS file, {_dash("lower(name)", r"[^0-9A-Za-z\x{C0}-\x{24F}]+")} AS latin
-FROM (SELECT doc_id, substr(text, 1, 60) AS name FROM documents)""")
+FROM (SELECT doc_id, text AS name FROM documents)""")
 sql("unit_roles", rf"""
 SELECT document_id, lecture, unit, CASE WHEN contains(n, 'solution') OR contains(n, 'loesung') OR contains(n, 'lösung') THEN 'SOLUTION' WHEN starts_with(n, 'ce ') OR contains(n, 'central exercise') OR contains(n, 'demoaufgaben') THEN 'CENTRAL_EXERCISE'
  WHEN contains(n, 'tutorial') OR contains(n, 'uebungsaufgaben') OR contains(n, 'übungsaufgaben') THEN 'TUTORIAL' WHEN regexp_matches(n, '^[0-9]+[ _]') THEN 'LECTURE_DECK' ELSE 'OTHER' END AS role, {QUERY.format("lecture")} AS query
@@ -261,7 +262,7 @@ SELECT course_key || '/' || competency_key AS path, array_to_string(list_sort(li
 JOIN (SELECT CASE WHEN language = 'de' THEN 'EIDI' ELSE 'PSE' END AS course_key, competency_key, item_id FROM fx_item) i USING (course_key, competency_key) GROUP BY 1""", "fx_item", "fx_request")
 sql("competency_topics", """
 SELECT competency_key, CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks FROM (SELECT DISTINCT competency_key FROM fx_item) c
-LEFT JOIN (SELECT competency_key, 'lec' || (item_id % 12) || '/deck' || (item_id % 7) || '.pdf' AS document_id FROM fx_item WHERE item_id < 400) l USING (competency_key)
+LEFT JOIN (SELECT competency_key, 'lec' || (item_id % 12) || '/deck' || (item_id % 7) || '.pdf' AS document_id FROM fx_item) l USING (competency_key)
 LEFT JOIN (SELECT split_part(chunk_id, '#', 1) AS document_id, count(*) AS n FROM fx_chunk GROUP BY 1) k USING (document_id) GROUP BY 1""", "fx_item", "fx_chunk")
 sql("attempt_totals", "SELECT count(*) AS attempts, CAST(count(*) FILTER (outcome = 'success') AS BIGINT) AS correct FROM fx_call", "fx_call")
 sql("lecture_listing", "SELECT source AS lecture, count(*) AS documents FROM documents GROUP BY 1")
