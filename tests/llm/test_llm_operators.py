@@ -447,9 +447,46 @@ def test_character_model_sums_to_one():
 
 def test_url_models_of_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string")
-    model = url_filter.train(none)
     one = spark.createDataFrame([(1, "http://casino.example/")], none.schema)
+    model = url_filter.train(none, accepted=[], rejected=[])
     assert [r.verdict for r in url_filter.verdicts(one, model).collect()] == ["allow"]
+    model = url_filter.train(none)  # the labelled URLs alone
+    assert [r.verdict for r in url_filter.verdicts(one, model).collect()] == ["block"]
+
+
+def test_held_out_urls_are_told_apart(spark):
+    model = url_filter.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    assert model.recall >= 0.8 and model.false_rejects <= 0.02
+    good, bad = url_filter.fold(url_filter.ACCEPTED)[1], url_filter.fold(url_filter.REJECTED)[1]
+    assert not {*good, *bad} & {*url_filter.fold(url_filter.ACCEPTED)[0], *url_filter.fold(url_filter.REJECTED)[0]}
+    # none of these was trained on, nor are most of their words in any URL that was
+    assert sum(model.score(u) > model.threshold for u in bad) >= 12 and sum(model.score(u) > model.threshold for u in good) <= 2
+
+
+def test_character_model_equals_a_recursive_one():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc/.") for _ in range(rng.randrange(1, 12))) for _ in range(30)]
+    m = url_filter.Markov(3).fit(texts, alphabet="xyz")
+    alphabet = {*"^$xyz", *"".join(texts)}
+
+    def p(context, char):
+        shorter = 1 / (len(alphabet) + 1) if context == "" else p(context[1:], char)
+        follows = collections.Counter(t[i + len(context)] for t in (f"^{x}$" for x in texts) for i in range(len(t) - len(context)) if t[i : i + len(context)] == context and i + len(context) > 0)
+        n, kinds = sum(follows.values()), len(follows)
+        return (follows[char] + kinds * shorter) / (n + kinds) if n else shorter
+
+    for t in [*texts[:5], "zx/ab", "", "q"]:
+        whole = f"^{t}$"
+        expected = sum(np.log(p(whole[max(0, i - 3) : i], whole[i])) for i in range(1, len(whole))) / (len(whole) - 1)
+        assert m.rate(t) == pytest.approx(expected)
+
+
+def test_url_rows_of_odd_kinds(spark):
+    long = "https://plain.example.info/" + "garden/" * 30_000
+    rows = [(1, long, "x", "y"), (1, long, "x", "y"), (None, None, None, None), (2, "https://casino-slots.example.info/?" + "bonus&" * 30_000, "h", "v")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")
+    found = url_filter.verdicts(pages, url_filter.train(pages)).collect()
+    assert sorted((r.id or 0, r.verdict, len(r.path)) for r in found) == [(0, "allow", 0), (1, "allow", 210_001), (1, "allow", 210_001), (2, "block", 1)]
 
 
 def test_exact_dedup_picks_one_of_repeated_rows_by_all_columns(spark):
