@@ -27,8 +27,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT
 
 OP7 = f"""
 WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
- c AS (SELECT *, length(bin(size + 1)) * 8 + ((size + 1) * 8) // (CAST(1 AS BIGINT) << CAST(length(bin(size + 1)) - 1 AS BIGINT)) - 8 AS cls,
-   CAST('0x' || substr(k, 1, 6) AS BIGINT) % 64 AS b FROM d),
+ c AS (SELECT *, length(bin(size + 1)) * 8 + ((size + 1) * 8) // (CAST(1 AS BIGINT) << CAST(length(bin(size + 1)) - 1 AS BIGINT)) - 8 AS cls FROM d),
  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
  w AS (SELECT *, 2 * source_size AS most, [5, 2, 1][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INTEGER)] AS weight FROM s),
  r AS (SELECT *, CAST(most AS DOUBLE) / weight AS ratio FROM w),
@@ -37,7 +36,7 @@ WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5(coal
  one AS (SELECT (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, source IS NULL, source LIMIT 1) AS level),
  t AS (SELECT source, source_size, CASE WHEN one.level IS NULL THEN CAST(most AS DOUBLE) ELSE least(CAST(most AS DOUBLE), weight * one.level) END AS target FROM l, one),
  e AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0e0 END AS rate,
-   row_number() OVER (PARTITION BY c.source ORDER BY cls, b, k, doc_id NULLS FIRST) AS n,
+   row_number() OVER (PARTITION BY c.source ORDER BY cls, k, doc_id NULLS FIRST) AS n,
    CAST('0x' || substr(md5('mix' || CASE WHEN c.source IS NULL THEN 'n' ELSE 's' END || coalesce(c.source, '')), 1, 8) AS BIGINT) / 4294967296e0 AS u
    FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(floor(n * rate + u) - floor((n - 1) * rate + u) AS BIGINT) * size AS taken FROM e

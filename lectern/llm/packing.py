@@ -174,6 +174,8 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 counts, crcs, rests = [], [], []
                 for ids in words.of(b.column(1).slice(lo, hi - lo)):
                     own = np.concatenate([ids, end])
+                    if own.max() >= 1 << 16:
+                        raise ValueError("ids of 65,536 and more don't fit the two bytes they travel in")
                     full = len(own) // length
                     counts.append(len(own))
                     crcs.append([zlib.crc32(own[k * length : (k + 1) * length]) for k in range(full)])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, html_extract, language_id, mixing, packing, quality_rules, simhash, substring_dedup, token_count, url_filter
-from .common import small_batches
+from .common import materialize, small_batches
 from .oracles import ORACLES  # noqa: F401
 
 VOCABULARY = "word_bpe_49k.json"
@@ -50,8 +50,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    docs = _read(spark, sf_dir, "documents")
+    # words are counted once: what is ranked afterwards are short rows
+    sized = materialize(docs.select("doc_id", "source", mixing.word_count("text").alias("size")))
+    mixed = mixing.mix(sized, size_col="size")
+    taken = (F.col("__copies") * F.col("__size")).alias("taken")
+    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken)
 
 
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,6 +201,13 @@ def test_mix(docs, rows, none):
     assert mixing.mix(none).count() == 0 and mixing.emit(none).count() == 0
 
 
+def test_mix_is_the_same_however_it_is_dealt_out(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('w ', cast(id % 3 as int)) as text", "case when id % 3 = 0 then null else concat('s', id % 2) end as source")
+    whole = mixing.mix(docs).collect()
+    for fine, rows in ((1, 10), (4096, 10), (64, 1)):
+        assert sorted(mixing.mix(docs.repartition(5), fine=fine, rows=rows).collect()) == sorted(whole)
+
+
 def dict_of(r):
     out = []
     for x in r:
