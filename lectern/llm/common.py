@@ -62,6 +62,13 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(p, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of what is written: it does so once the driver has collected its garbage, which on
+    a large heap may be hours later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Have Arrow carry so many rows at once. Texts are long: at the default of 10,000 the buffers of two tasks fill an
     executor's memory outside its heap."""
