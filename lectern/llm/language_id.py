@@ -2,8 +2,8 @@
 
 For each language a tree of byte contexts up to three bytes long is counted on a bounded sample of labelled texts and
 then frozen. A byte is coded by its longest known context; escapes (method C, with exclusions) lead to shorter ones, at
-last to the uniform code. All code lengths are worked out once into a table (context node x byte x language), so the exact
-code length of a whole text under every language is a few table look-ups a byte.
+last to the uniform code. All code lengths are worked out once into a table for each language (context node x byte), so the
+exact code length of a whole text is a few table look-ups a byte and language.
 """
 
 from __future__ import annotations
@@ -23,15 +23,23 @@ SAMPLE_DOCS, SAMPLE_BYTES = 300, 32_768
 
 
 @dataclass
-class Model:
-    """``byte_class``: 256 -> class (0: never seen); node tables; ``bits[node * classes + class, language]``."""
+class Tree:
+    """One language's contexts, numbered: 0 none, then one byte, two bytes, three bytes. ``node2[x * classes + y]`` and
+    ``node3[node of two * classes + z]`` are the longest known context, ``bits[node * classes + class]`` the code lengths."""
 
-    langs: list[str]
-    byte_class: np.ndarray
     node2: np.ndarray
     node3: np.ndarray
     bits: np.ndarray
 
+
+@dataclass
+class Model:
+    """``byte_class``: 256 -> class (0: never seen in any language), and a tree for each language."""
+
+    langs: list[str]
+    byte_class: np.ndarray
+    trees: list[Tree]
+
     @property
     def classes(self) -> int:
         return int(self.byte_class.max()) + 1
@@ -71,9 +79,10 @@ def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def fit(samples: dict[str, list[bytes]], least: int = 2, most_nodes: int = 16_384) -> Model:
-    """Count the trees and freeze them. Contexts seen under ``least`` times, or beyond the ``most_nodes`` most frequent, are
-    left out of the tree (their shorter contexts stand in)."""
+def fit(samples: dict[str, list[bytes]], least: int = 2, most_nodes: int = 8192) -> Model:
+    """Count the trees and freeze them. Each language has its own contexts: those of three bytes seen ``least`` times or more
+    in its own sample, the ``most_nodes`` most frequent of them, and a quarter as many of two bytes. Of others the shorter
+    contexts stand in. At most 14 MB a language, whatever other languages there are."""
     langs = sorted(samples)
     seen = np.zeros(256, bool)
     for ts in samples.values():
@@ -81,64 +90,42 @@ def fit(samples: dict[str, list[bytes]], least: int = 2, most_nodes: int = 16_38
             seen[np.frombuffer(t, np.uint8)] = True
     byte_class = np.zeros(256, np.int64)
     byte_class[seen] = np.arange(1, seen.sum() + 1)
-    a = int(seen.sum()) + 1
-    counts = [[_grams(samples[x], o) for o in range(4)] for x in langs]
-
-    def contexts(order: int) -> np.ndarray:
-        total = pd.Series(dtype="float64")
-        for c in counts:
-            k, n = c[order]
-            total = total.add(pd.Series(n, index=k >> 8).groupby(level=0).sum(), fill_value=0)
-        total = total[total >= least].sort_index().sort_values(ascending=False, kind="stable")
-        return np.sort(total.index.to_numpy(dtype=np.int64)[: max(0, most_nodes >> (0 if order == 3 else 2))])
-
-    two, three = contexts(2), contexts(3)
-    # nodes: 0 the root, 1..a-1 one byte, then two and three bytes
+    return Model(langs, byte_class, [_tree([_grams(samples[x], o) for o in range(4)], byte_class, least, most_nodes) for x in langs])
+
+
+def _contexts(grams: tuple[np.ndarray, np.ndarray], least: int, most: int) -> np.ndarray:
+    """The contexts before the last byte that were seen ``least`` times or more: the ``most`` most frequent, sorted."""
+    found, of = np.unique(grams[0] >> 8, return_inverse=True)
+    total = np.bincount(of, weights=grams[1], minlength=len(found))
+    enough = np.flatnonzero(total >= least)
+    return np.sort(found[enough[np.argsort(-total[enough], kind="stable")[:most]]])
+
+
+def _tree(counts: list[tuple[np.ndarray, np.ndarray]], byte_class: np.ndarray, least: int, most_nodes: int) -> Tree:
+    a = int(byte_class.max()) + 1
+    two, three = _contexts(counts[2], least, most_nodes // 4), _contexts(counts[3], least, most_nodes)
+    three = three[np.isin(three >> 8, two)]  # reached by way of its first two bytes
+    byte = lambda k, back: byte_class[(k >> (8 * back)) & 255]
     at2, at3 = a, a + len(two)
-    classes_of = lambda k, width: [byte_class[(k >> (8 * (width - 1 - i))) & 255] for i in range(width)]
-    node2 = np.tile(np.arange(a), (a, 1)).astype(np.int32)  # of (x, y): the node of y
-    if len(two):
-        x, y = classes_of(two, 2)
-        node2[x, y] = at2 + np.arange(len(two))
-    width = at3
-    node3 = np.empty((width, a), np.int32)  # of (node of two bytes, z): the node of the longest known suffix
-    last = np.zeros(width, np.int64)
-    last[:a] = np.arange(a)
-    if len(two):
-        last[at2:] = classes_of(two, 2)[1]
-    for z in range(a):
-        node3[:, z] = node2[last, z]
-    if len(three):
-        x, y, z = classes_of(three, 3)
-        known = node2[x, y] >= at2
-        node3[node2[x, y][known], z[known]] = (at3 + np.arange(len(three)))[known]
     nodes = at3 + len(three)
-    bits = np.empty((nodes * a, len(langs)), np.float32)
-    width_of = np.zeros(nodes, np.int64)  # the parent: the node without its first byte
-    parent = np.zeros(nodes, np.int64)
-    parent[at2:at3] = last[at2:at3]
-    if len(three):
-        x, y, z = classes_of(three, 3)
-        parent[at3:] = node2[y, z]
-    width_of[1:at2], width_of[at2:at3], width_of[at3:] = 1, 2, 3
-    index = [{0: 0}, None, two, three]
-    for li, c in enumerate(counts):
-        table = np.zeros((nodes, a))
-        for order in range(4):
-            k, n = c[order]
-            sym, ctx = byte_class[k & 255], k >> 8
-            if order == 0:
-                node = np.zeros(len(k), np.int64)
-                ok = np.ones(len(k), bool)
-            elif order == 1:
-                node, ok = byte_class[ctx], np.ones(len(k), bool)
-            else:
-                at = np.searchsorted(index[order], ctx)
-                ok = (at < len(index[order])) & (index[order][np.minimum(at, max(len(index[order]) - 1, 0))] == ctx) if len(index[order]) else np.zeros(len(k), bool)
-                node = at + (at2 if order == 2 else at3)
-            np.add.at(table, (node[ok], sym[ok]), n[ok])
-        bits[:, li] = _code_lengths(table, parent, width_of, 256 - (a - 1)).astype(np.float32).ravel()
-    return Model(langs, byte_class, node2.ravel(), node3.ravel(), bits)
+    node2 = np.tile(np.arange(a, dtype=np.int32), (a, 1))
+    node2[byte(two, 1), byte(two, 0)] = at2 + np.arange(len(two))
+    last = np.r_[np.arange(a), byte(two, 0)]  # of a context of up to two bytes
+    node3 = node2[last]
+    node3[node2[byte(three, 2), byte(three, 1)], byte(three, 0)] = at3 + np.arange(len(three))
+    parent = np.r_[np.zeros(a, np.int64), byte(two, 0), node2[byte(three, 1), byte(three, 0)]]
+    depth = np.repeat([0, 1, 2, 3], [1, a - 1, len(two), len(three)])
+    table = np.zeros((nodes, a))
+    for order, (k, n) in enumerate(counts):
+        context = k >> 8
+        if order < 2:
+            node, known = byte_class[context] if order else context, np.ones(len(k), bool)
+        else:
+            kept = two if order == 2 else three
+            known = np.isin(context, kept)
+            node = np.searchsorted(kept, context) + (at2 if order == 2 else at3)
+        np.add.at(table, (node[known], byte_class[k & 255][known]), n[known])
+    return Tree(node2.ravel(), node3.ravel(), _code_lengths(table, parent, depth, 256 - (a - 1)).astype(np.float32).ravel())
 
 
 def _code_lengths(table: np.ndarray, parent: np.ndarray, depth: np.ndarray, unseen_bytes: int) -> np.ndarray:
@@ -178,16 +165,17 @@ def code_lengths(model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     pos = np.arange(n) - np.repeat(off[:-1], np.diff(off))  # in its document
     one = np.zeros(n, np.int64)
     one[1:] = c[:-1]
-    two = np.zeros(n, np.int64)
-    two[2:] = model.node2[c[:-2] * a + c[1:-1]]
-    three = np.zeros(n, np.int64)
-    three[3:] = model.node3[two[2:-1] * a + c[2:-1]] if n > 3 else three[3:]
-    node = np.where(pos >= 3, three, np.where(pos == 2, two, np.where(pos == 1, one, 0)))
-    each = model.bits[node * a + c]
-    out = np.zeros((len(off) - 1, each.shape[1]))
+    pairs = c[:-2] * a + c[1:-1]
+    out = np.zeros((len(off) - 1, len(model.trees)))
     full = np.flatnonzero(np.diff(off) > 0)
-    if len(full):
-        out[full] = np.add.reduceat(each, off[:-1][full], axis=0, dtype=np.float64)
+    for k, tree in enumerate(model.trees if len(full) else ()):
+        two = np.zeros(n, np.int64)
+        two[2:] = tree.node2[pairs]
+        three = np.zeros(n, np.int64)
+        if n > 3:
+            three[3:] = tree.node3[two[2:-1] * a + c[2:-1]]
+        node = np.where(pos >= 3, three, np.where(pos == 2, two, np.where(pos == 1, one, 0)))
+        out[full, k] = np.add.reduceat(tree.bits[node * a + c], off[:-1][full], dtype=np.float64)
     return out
 
 
@@ -221,7 +209,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     ``bits_per_byte`` is its code length over the text's length, null for an empty text. Repeated rows and null ids are predicted like any other row; an
     empty table gives no row.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample's and the node limit
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 14 MB a language, see fit
 
     def run(batches):
         m = shared.value
