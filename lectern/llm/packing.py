@@ -2,9 +2,9 @@
 
 A document longer than a sequence gives full sequences first. What remains of each goes, with the remainders of a
 random group of documents, through first-fit decreasing: the tree's root tells whether any bin is roomy enough, and a
-descent finds the leftmost such bin in logarithmic time. Bins that stay short of full are opened again and their
-documents laid end to end over full sequences, cut where those end; the group's last tokens go into sequences whose
-lengths are powers of two, which need no padding.
+descent finds the leftmost such bin in logarithmic time. The fullest bins stay as first-fit made them. The emptiest, no
+more of them than it takes, are opened: their documents fill the room that is left in the others, cut where that ends, and
+the group's last tokens, under a sequence, go into sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -60,27 +60,37 @@ def first_fit_decreasing(sizes: list[int], room: int = LENGTH) -> list[list[int]
 def pack_group(sizes: list[int], room: int = LENGTH, slack: int = SLACK) -> list[list[tuple[int, int, int]]]:
     """Sequences of ``(item, start, length)`` that hold every token of every item once.
 
-    Sequences come full, or short by ``slack`` or fewer, or with a power of two of tokens.
+    The bins of first-fit decreasing stay, fullest first, while the tokens of the others suffice to fill what is left in
+    them; room of ``slack`` tokens or fewer is left empty. So sequences come full, or short by ``slack`` or fewer, or, with
+    under ``room`` tokens of the group in all, with a power of two of tokens.
     """
-    out, short = [], []
-    for b in first_fit_decreasing(sizes, room):
-        left = room - sum(sizes[i] for i in b)
-        if left <= slack:
-            out.append([(i, 0, sizes[i]) for i in b])
-        else:
-            short += b
-    now, free = [], room
-    rest = sum(sizes[i] for i in short)
-    free = room if rest >= room else 1 << max(0, rest.bit_length() - 1)
-    for i in short:
-        at = 0
-        while at < sizes[i]:
-            n = min(free, sizes[i] - at)
-            now.append((i, at, n))
-            at, free, rest = at + n, free - n, rest - n
-            if not free:
-                out.append(now)
-                now, free = [], room if rest >= room else 1 << max(0, rest.bit_length() - 1)
+    bins = first_fit_decreasing(sizes, room)
+    filled = [sum(sizes[i] for i in b) for b in bins]
+    order = sorted(range(len(bins)), key=lambda b: (-filled[b], b))
+    out, spaces, rest = [], [], sum(filled)  # rest: tokens of the bins to come, less what the gaps so far take of them
+    for k, b in enumerate(order):
+        gap = room - filled[b] if room - filled[b] > slack else 0
+        if rest - filled[b] < gap:
+            order = order[k:]
+            break
+        rest -= filled[b] + gap
+        out.append([(i, 0, sizes[i]) for i in bins[b]])
+        spaces.append(gap)
+    else:
+        order = []
+    for k in reversed(range(rest.bit_length())):
+        if rest >> k & 1:
+            out.append([])
+            spaces.append(1 << k)
+    loose = iter([i for b in order for i in bins[b]])
+    item, at = next(loose, None), 0
+    for sequence, free in zip(out, spaces):
+        while free:
+            n = min(free, sizes[item] - at)
+            sequence.append((item, at, n))
+            at, free = at + n, free - n
+            if at == sizes[item]:
+                item, at = next(loose, None), 0
     return out
 
 
