@@ -27,33 +27,46 @@ GRIDS: dict[str, tuple[float, ...]] = {
 RISK, ERROR = 0.02, 0.05
 
 
-def _repeat_words(words: str) -> Column:
-    """Words inside a three-word window that occurs twice or more.
+def _windows(key) -> Column:
+    """``key(place)`` and place of every three-word window of ``__words``, sorted."""
+    n = F.size("__words")
+    marks = F.array_sort(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(key(i).alias("h"), i.alias("p"))))
+    return F.when(n >= 3, marks)
 
-    Windows are sorted by hash with their place, those with an equal neighbour are kept, and the union of the words
-    they cover is added up along their places.
-    """
-    n = F.size(words)
-    w = lambda i: F.get(words, i)
-    marks = F.array_sort(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(w(i), w(i + 1), w(i + 2)).alias("h"), i.alias("p"))))
-    return F.when(n >= 3, marks).otherwise(F.expr("cast(array() as array<struct<h: bigint, p: int>>)"))
+
+def _beside(marks: str, found) -> Column:
+    """The windows of which ``found(window, neighbour)`` holds with the one before or after them."""
+    told = lambda x, i: F.coalesce(found(x, F.get(marks, i - 1)), F.lit(False)) | F.coalesce(found(x, F.get(marks, i + 1)), F.lit(False))
+    return F.filter(marks, told)
 
 
-def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines`` (longs). Null text has no word."""
+def measures(docs: DataFrame, text_col: str = "text", hash_bits: int = 64) -> DataFrame:
+    """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines`` (longs). Null text has no word.
+
+    Repeated windows are neighbours when sorted by hash. Neighbours of one hash are compared word by word; a text in which
+    two of them differ is sorted again by the words themselves. ``hash_bits`` under 64 exists to test that.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    word = lambda i: F.get("__words", i)
+    hashed = lambda i: F.shiftrightunsigned(F.xxhash64(word(i), word(i + 1), word(i + 2)), 64 - hash_bits)
+    spelt = lambda i: F.concat_ws(" ", word(i), word(i + 1), word(i + 2))  # noqa: E731  # words have no space inside
+    same = lambda x, y: x["h"] == y["h"]
+    clash = lambda x, y: same(x, y) & (spelt(x["p"]) != spelt(y["p"]))
     out = docs.withColumn("__words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    out = out.withColumn("__marks", _repeat_words("__words"))
+    out = out.withColumn("__marks", _windows(hashed))
+    out = out.withColumn("__hits", _beside("__marks", same))
+    # clashing windows are among the hits, and neighbours there as well
+    out = out.withColumn("__again", F.when(F.size(_beside("__hits", clash)) > 0, _windows(spelt)))
+    places = F.when(F.col("__again").isNull(), F.transform("__hits", lambda x: x["p"])).otherwise(F.transform(_beside("__again", same), lambda x: x["p"]))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    hit = F.filter("__marks", lambda x, i: (F.get("__marks", i - 1)["h"] == x["h"]) | (F.get("__marks", i + 1)["h"] == x["h"]))
-    out = out.withColumn("__lines", lines).withColumn("__places", F.array_sort(F.transform(hit, lambda x: x["p"])))
+    out = out.withColumn("__lines", lines).withColumn("__places", F.coalesce(F.array_sort(places), F.array().cast("array<int>")))
     # each place covers its three words, less what the place before it covers already
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last"))
     covered = F.aggregate("__places", zero, lambda acc, p: F.struct((acc["n"] + F.least(F.lit(3), p - acc["last"])).cast("long").alias("n"), p.alias("last")))["n"]
     out = out.withColumn("n_words", F.size("__words").cast("long")).withColumn("word_chars", F.length(F.concat_ws("", "__words")).cast("long"))
     out = out.withColumn("n_symbols", F.regexp_count(text, F.lit(SYMBOLS)).cast("long"))
     out = out.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-    return out.withColumn("n_repeat_words", covered).drop("__words", "__marks", "__lines", "__places")
+    return out.withColumn("n_repeat_words", covered).drop("__words", "__marks", "__hits", "__again", "__lines", "__places")
 
 
 def shares(df: DataFrame) -> DataFrame:
