@@ -1,7 +1,9 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeats and empty tables."""
 
 import collections
+import functools
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from layouts import LABELLED
@@ -259,6 +262,22 @@ def test_first_fit_decreasing():
         assert packing.first_fit_decreasing(sizes, 100) == bins
 
 
+def test_groups_are_cut_no_more_than_it_takes():
+    rng = random.Random(7)
+    for n, low, high in [(0, 1, 2), (1, 1, 100), (40, 1, 100), (300, 50, 99), (300, 1, 30), (64, 50, 51), (3, 100, 101)]:
+        sizes = [rng.randrange(low, high) for _ in range(n)]
+        found = packing.pack_group(sizes, 100, 2)
+        cover = collections.Counter((i, p) for s in found for i, at, k in s for p in range(at, at + k))
+        assert cover == collections.Counter((i, p) for i, k in enumerate(sizes) for p in range(k))
+        fill = [sum(k for _, _, k in s) for s in found]
+        odd = [f for f in fill if f < 98]
+        assert max(fill, default=0) <= 100 and all(f & (f - 1) == 0 for f in odd) and sum(odd) < 100 and len(set(odd)) == len(odd)
+        bins = packing.first_fit_decreasing(sizes, 100)
+        held = [b for b in bins if any(s[: len(b)] == [(i, 0, sizes[i]) for i in b] for s in found)]
+        # as many bins stay as the tokens allow, up to the one that the gaps end in
+        assert len(held) >= sum(sizes) // 100 - 1
+
+
 def test_token_counts_equal_the_library(docs, rows, none):
     t = Tokenizer.from_file(VOCABULARY)
     exp = [(r[0], len((r[1] or "").encode()), n := len(t.encode(r[1] or "", add_special_tokens=False).ids), n > 2048) for r in rows]
@@ -294,6 +313,52 @@ def test_quality_measures(docs, rows, none):
     assert quality_rules.judge(none, labels).count() == 0
 
 
+@pytest.mark.parametrize("bits", [2, 6, 64])
+def test_repeated_windows_are_told_apart_by_their_words(spark, bits):
+    rng = random.Random(3)
+    texts = [None, "", "a", "a b", "a b c", "a a a a", "x y z x y z", "\t a  b\nc a b c "] + [" ".join(rng.choices("abcdefgh", k=rng.randrange(3, 90))) for _ in range(60)]
+    found = quality_rules.measures(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), hash_bits=bits)
+    for r in found.collect():
+        w = WORD.findall(texts[r.id] or "")
+        c = collections.Counter(zip(w, w[1:], w[2:]))
+        assert r.n_repeat_words == len({p for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}), (texts[r.id], bits)
+
+
+def test_proved_cutoffs_decide(spark):
+    rng = random.Random(11)
+    pool = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(5000)]
+    rows, labels = [], []
+    for i in range(4800):
+        words, bad = rng.sample(pool, 60), i % 8 == 0
+        if bad:
+            words[:15] = ["#$#$#"] + ["%%%" + x for x in words[1:15]]
+        elif i % 997 == 0:
+            words[0] = "#####"  # a few good ones over the lowest cutoffs
+        rows.append((i, " ".join(words), (None, "en", "xx")[0 if i % 2 else 1 if i > 100 else 2]))
+        labels.append((i, not bad))
+    found = {r.id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "id long, good boolean")).collect()}
+    # by hand: shares, exact tails and the split of the error over 3 strata and all cutoffs
+    def shares(t):
+        w = t.split()
+        chars = sum(map(len, w))
+        return {"symbol_share": sum(c in "#*$%&|<>" for c in t) / chars, "dup_line_share": 0.0, "repeat_share": 0.0, "word_length": chars / len(w)}
+
+    of, risk = {i: shares(t) for i, t, _ in rows}, quality_rules.RISK / 4
+    level = quality_rules.ERROR / (3 * sum(map(len, quality_rules.GRIDS.values())))
+    cutoff = {}
+    for stratum in (None, "en", "xx"):
+        good = [i for i, _, s in rows if s == stratum and labels[i][1]]
+        for m, grid in quality_rules.GRIDS.items():
+            k = {c: sum(of[i][m] > c for i in good) for c in grid}
+            tail = {c: sum(math.comb(len(good), x) * risk**x * (1 - risk) ** (len(good) - x) for x in range(k[c] + 1)) if k[c] < len(good) * risk else 1 for c in grid}
+            cutoff[stratum, m] = min((c for c in grid if tail[c] <= level), default=math.inf)
+    for i, _, stratum in rows:
+        assert found[i].reasons == [m for m in quality_rules.GRIDS if of[i][m] > cutoff[stratum, m]], i
+        assert found[i].kept == (not found[i].reasons)
+    gone = [i for i in found if not found[i].kept]
+    assert len(gone) > 500 and {rows[i][2] for i in gone} == {None, "en"}  # "xx" has too few labels to prove anything
+
+
 def test_binomial_tail_is_exact(spark):
     from math import comb
 
@@ -321,26 +386,63 @@ def test_language_model_codes_add_up():
     model = language_id.fit({"x": [b"abracadabra abra", b"cadabra abra"], "y": [b"zyzzyva zyx", b"xyzzy"]})
     a = model.classes
     unseen = 256 - (a - 1)
-    p = np.exp2(-model.bits.reshape(-1, a, 2).astype(float))
-    assert np.allclose(p[:, 1:].sum(1) + unseen * p[:, 0], 1, atol=1e-4)
-
-
-def test_language_model_reads_the_longest_context():
-    model = language_id.fit({"x": [b"the cat sat on the mat and the dog " * 5]})
-    text = b"the dog sat \xff on"
-    whole = language_id.code_lengths(model, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0, 0]
-    a, total = model.classes, 0.0
-    for i, byte in enumerate(text):
-        c = [int(model.byte_class[x]) for x in text[max(0, i - 3) : i]]
-        node = c[-1] if c else 0
-        if len(c) >= 2:
-            node = model.node2[c[-2] * a + c[-1]]
-        if len(c) == 3:
-            node = model.node3[model.node2[c[0] * a + c[1]] * a + c[2]]
-        total += model.bits[node * a + model.byte_class[byte], 0]
-    assert whole == pytest.approx(total, rel=1e-5)
-    two = np.frombuffer(text + text, np.uint8)
-    assert language_id.code_lengths(model, two, np.array([0, len(text), len(text), 2 * len(text)]))[:, 0] == pytest.approx([whole, 0, whole], rel=1e-5)
+    for tree in model.trees:
+        p = np.exp2(-tree.bits.reshape(-1, a).astype(float))
+        assert np.allclose(p[:, 1:].sum(1) + unseen * p[:, 0], 1, atol=1e-4)
+
+
+def dictionary_ppm(sample, least, most):
+    """Code length of a text by a PPM of plain dictionaries: up to three bytes, method C with exclusions."""
+    counts = collections.defaultdict(collections.Counter)
+    for t in sample:
+        for i in range(len(t)):
+            for order in range(min(3, i) + 1):
+                counts[t[i - order : i]][t[i]] += 1
+    total = {c: sum(n.values()) for c, n in counts.items()}
+    most_of = lambda order, m: set(sorted((c for c in total if len(c) == order and total[c] >= least), key=lambda c: (-total[c], c))[:m])
+    two = most_of(2, most // 4)
+    known = two | {c for c in most_of(3, most) if c[:2] in two} | {c for c in total if len(c) < 2} | {b""}
+
+    @functools.cache
+    def cost(context, byte):
+        out, gone = 0.0, set()
+        while True:
+            if context in known:
+                here = {s: n for s, n in counts[context].items() if s not in gone}
+                if byte in here:
+                    return out - math.log2(here[byte] / (sum(here.values()) + len(here)))
+                if here:
+                    out -= math.log2(len(here) / (sum(here.values()) + len(here)))
+                gone |= here.keys()
+            if not context:
+                return out + math.log2(256 - len(gone))
+            context = context[1:]
+
+    return lambda text: sum(cost(text[max(0, i - 3) : i], text[i]) for i in range(len(text)))
+
+
+@pytest.mark.parametrize("least,most", [(2, 8192), (1, 60)])
+def test_language_codes_equal_a_ppm_of_dictionaries(least, most):
+    rows = [r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist() if r["text"] and r["lang"]]
+    sample = {x: [r["text"].encode() for r in rows if r["lang"] == x][:20] for x in sorted({r["lang"] for r in rows})}
+    model = language_id.fit(sample, least, most)
+    plain = [dictionary_ppm(sample[x], least, most) for x in model.langs]
+    texts = [r["text"].encode()[:3000] for r in rows[-200:]] + [b"", b"a", "\xff\u6f22 \u0130x".encode(), b"\xff\xfe ab\x00"]
+    if most > 60:  # beyond one piece
+        texts.append(b" ".join(r["text"].encode() for r in rows)[: 4 << 20] * 2)
+        texts[-1] = (texts[-1] * (1 + (5 << 20) // len(texts[-1])))[: 5 << 20]
+    off = np.r_[0, np.cumsum([len(t) for t in texts])]
+    found = language_id.whole_lengths(model, np.frombuffer(b"".join(texts), np.uint8), off)
+    for t, each in zip(texts, found):
+        assert each == pytest.approx([code(t) for code in plain], rel=1e-5, abs=1e-6)
+
+
+def test_a_language_keeps_its_contexts_beside_larger_ones():
+    small, large = [b"kot i pies "] * 3, [bytes(random.Random(k).choices(range(97, 123), k=5000)) for k in range(40)]
+    alone, beside = (language_id.fit(x, most_nodes=400) for x in ({"s": small}, {"l": large, "s": small}))
+    text = np.frombuffer(b"kot i pies", np.uint8)
+    codes = [language_id.code_lengths(m, text, np.array([0, len(text)]))[0, m.langs.index("s")] for m in (alone, beside)]
+    assert codes[0] == pytest.approx(codes[1], rel=1e-6)
 
 
 def test_languages_are_told_apart(spark, none):
