@@ -313,17 +313,6 @@ def test_quality_measures(docs, rows, none):
     assert quality_rules.judge(none, labels).count() == 0
 
 
-@pytest.mark.parametrize("bits", [2, 6, 64])
-def test_repeated_windows_are_told_apart_by_their_words(spark, bits):
-    rng = random.Random(3)
-    texts = [None, "", "a", "a b", "a b c", "a a a a", "x y z x y z", "\t a  b\nc a b c "] + [" ".join(rng.choices("abcdefgh", k=rng.randrange(3, 90))) for _ in range(60)]
-    found = quality_rules.measures(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), hash_bits=bits)
-    for r in found.collect():
-        w = WORD.findall(texts[r.id] or "")
-        c = collections.Counter(zip(w, w[1:], w[2:]))
-        assert r.n_repeat_words == len({p for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}), (texts[r.id], bits)
-
-
 def test_proved_cutoffs_decide(spark):
     rng = random.Random(11)
     pool = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(5000)]
