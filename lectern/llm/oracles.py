@@ -70,4 +70,65 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
  coalesce(list_aggregate(reasons, 'string_agg', ','), '') AS reasons FROM v
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op6_substring_dedup": OP6, "op7_mixing": OP7, "op10_quality_rules": OP10}
+# CRC-32 of the decimal id: each byte, then eight shifts (-1) by the reversed polynomial
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+   lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+   lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"""
+
+OP11 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w, CASE WHEN doc_id IS NOT NULL THEN {_CRC} END AS h FROM documents),
+ s AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+ a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM s),
+ p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+ t AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] FOR i IN range(0, n)] END AS w FROM p),
+ chain AS MATERIALIZED (SELECT DISTINCT r, q FROM (SELECT r, w, q, unnest(range(0, (n - 1) // q - 2)) AS j FROM (SELECT r, n, w, unnest(range(1, n // 4 + 1)) AS q FROM t WHERE n >= 6))
+   WHERE w[j * q + 1] = w[(j + 1) * q + 1] AND w[j * q + 1] = w[(j + 2) * q + 1] AND w[j * q + 1] = w[(j + 3) * q + 1]),
+ eq AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island
+   FROM (SELECT r, q, w, unnest(range(1, n - q + 1)) AS i FROM chain JOIN t USING (r)) WHERE w[i] = w[i + q]),
+ stretch AS (SELECT r, q, min(i) - 1 AS start, count(*) + q AS length FROM eq GROUP BY r, q, island),
+ run AS (SELECT r, start, length, min(q) AS period FROM stretch WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+ sums AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM run GROUP BY r),
+ best AS (SELECT DISTINCT ON (r) r, start, length, period FROM run ORDER BY r, CAST(length AS DOUBLE) / period DESC, start, period),
+ gone AS (SELECT r, list(DISTINCT i) AS gs FROM (SELECT r, unnest(range(start + period + 1, start + length + 1)) AS i FROM run) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+ sha256(coalesce(list_aggregate(CASE WHEN gs IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gs, i)) END, 'string_agg', ' '), '')) AS collapsed_sha256
+FROM t LEFT JOIN sums USING (r) LEFT JOIN best USING (r) LEFT JOIN gone USING (r)
+"""
+
+
+def _whole(scale: int) -> str:
+    fine = "embedding IS NOT NULL AND list_bool_and([coalesce(isfinite(x), false) FOR x IN embedding]) IS DISTINCT FROM false"
+    return f"(SELECT row_number() OVER () AS r, vec_id, [floor({scale} * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings WHERE {fine})"
+
+
+OP12 = f"""
+WITH e AS MATERIALIZED {_whole(256)},
+ s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, c.r AS other, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+   FROM e AS q JOIN e AS c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, other) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= 5
+"""
+
+
+def _lloyd(rounds: int = 10, k: int = 8, size: int = 64) -> str:
+    steps = [f"""WITH e AS MATERIALIZED (SELECT r, vec_id, [CAST(x AS BIGINT) FOR x IN v] AS v FROM {_whole(1024)} WHERE len(v) = {size}),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS j, v AS c FROM e QUALIFY j < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, arg_min(j, (d, j)) AS j, min(d) AS d
+   FROM (SELECT r, j, CAST(list_sum([(v[x] - c[x]) * (v[x] - c[x]) FOR x IN range(1, {size + 1})]) AS BIGINT) AS d FROM e CROSS JOIN c{i}) GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS MATERIALIZED (SELECT j, list(m ORDER BY x) AS c FROM (SELECT j, x, CAST((sum(y) - (sum(y) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+   FROM (SELECT j, unnest(range(1, {size + 1})) AS x, unnest(v) AS y FROM e JOIN a{i} USING (r)) GROUP BY j, x) GROUP BY j),
+ c{i + 1} AS MATERIALIZED (SELECT j, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} AS m USING (j))""")
+    return ",\n ".join(steps) + f"""
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+ sha256(list_aggregate(c, 'string_agg', ',')) AS centroid_sha256 FROM a{rounds} JOIN e USING (r) JOIN c{rounds} USING (j)
+"""
+
+
+OP13 = _lloyd()
+
+ORACLES = {
+    "op1_exact_dedup": OP1, "op6_substring_dedup": OP6, "op7_mixing": OP7, "op10_quality_rules": OP10,
+    "op11_periodic_runs": OP11, "op12_topk_search": OP12, "op13_centroid_clustering": OP13,
+}

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, language_id, mixing, packing, quality_rules, simhash, substring_dedup, token_count, url_filter
+from . import centroid_clustering, exact_dedup, html_extract, language_id, mixing, packing, periodic_runs, quality_rules, simhash
+from . import substring_dedup, token_count, topk_search, url_filter
 from .common import materialize, small_batches
 from .oracles import ORACLES  # noqa: F401
 
@@ -72,7 +73,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").withColumn("reasons", F.concat_ws(",", "reasons"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.plant(_read(spark, sf_dir, "documents")))
+    # the highest length / period, compared as a fraction; runs come by start, then period, and the first of equals stays
+    higher = F.reduce("runs", F.get("runs", F.lit(0)), lambda a, r: F.when(r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = found.withColumn("best", higher)
+    return best.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = centroid_clustering.cluster(_read(spark, sf_dir, "embeddings"))
+    return centroid_clustering.inertia(found, centroids).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_language_id, op3_html_extraction, op4_simhash, op5_url_filter, op6_substring_dedup, op7_mixing, op8_token_count, op9_packing, op10_quality_rules)
-}
+    for f in (
+        op1_exact_dedup, op2_language_id, op3_html_extraction, op4_simhash, op5_url_filter, op6_substring_dedup, op7_mixing,
+        op8_token_count, op9_packing, op10_quality_rules, op11_periodic_runs, op12_topk_search, op13_centroid_clustering,
+    )
+}
