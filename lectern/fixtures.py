@@ -31,6 +31,10 @@ SELECT event_id AS call_id, event_id % 1500 AS item_id,
  CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS outcome,
  CASE WHEN event_type = 'error' THEN CASE user_id % 5 WHEN 0 THEN 'AUTH' WHEN 1 THEN 'BAD_REQUEST' WHEN 2 THEN 'RATE_LIMIT' WHEN 3 THEN 'TIMEOUT' ELSE 'TRANSPORT' END END AS failure_category,
  ts FROM events""",
+    "fx_event": """
+SELECT concat('run-', CAST(user_id % 4 + 1 AS VARCHAR(10))) AS run_id, user_id AS item_id, event_id AS seq, ts AS at,
+ CASE event_type WHEN 'signup' THEN 'ENQUEUE' WHEN 'view' THEN 'CLAIM' WHEN 'click' THEN 'SUCCESS' WHEN 'error' THEN 'FAILURE' ELSE 'REVIVE' END AS kind,
+ CASE event_id % 4 WHEN 0 THEN 'TIMEOUT' WHEN 1 THEN 'AUTH' WHEN 2 THEN 'RATE_LIMIT' ELSE 'VALIDATION_VIOLATION' END AS failure FROM events""",
     "fx_verdict": """
 SELECT l_orderkey AS item_id, CASE l_suppkey % 2 WHEN 0 THEN 'judge-local' ELSE 'judge-cloud' END AS judge_model, 'GENERAL' AS scope, max(l_discount) <= 0.05 AS accepted
 FROM lineitem GROUP BY 1, 2""",
