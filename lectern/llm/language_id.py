@@ -46,24 +46,26 @@ class Model:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, allowed, docs_per_lang: int = SAMPLE_DOCS, longest: int = SAMPLE_BYTES) -> DataFrame:
-    """At most ``docs_per_lang`` labelled documents of each language, picked by a hash of the id: the same on every run.
+    """At most ``docs_per_lang`` labelled documents of each language, picked by a hash of id and text: the same on every run.
     Of a text beyond ``longest`` bytes a slice of that size is drawn, which begins where the hash says.
 
-    Only ids and lengths are ranked; the few texts are fetched afterwards by a semi join of bounded size.
+    Only hashes are ranked. The few texts are fetched by a join with them, and rows of one hash come once, so the sample is
+    bounded however often an id or a row is repeated; null ids take part.
     """
-    key = F.xxhash64(F.col(id_col).cast("string"))
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     fits = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & allowed
-    ids = docs.where(fits).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), key.alias("k"))
+    keys = docs.where(fits).select(F.col(lang_col).alias("lang"), key.alias("k"))
     # of a large language only a thin slice by the hash is ranked, some times what is wanted
-    n = materialize(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    n = materialize(keys.groupBy("lang").agg(F.approx_count_distinct("k").alias("n")))
     top = (F.least(F.lit(1.0), F.lit(8.0 * docs_per_lang) / F.col("n")) * 2 - 1) * 2.0**63
-    ids = ids.join(n, "lang").where(F.col("k").cast("double") <= top).select("id", "lang", "k")
-    w = Window.partitionBy("lang").orderBy("k", "id")
-    picked = ids.withColumn("n", F.row_number().over(w)).where(F.col("n") <= docs_per_lang).select("id", "lang")
-    few = F.broadcast(picked.withColumnRenamed("lang", "of"))  # at most docs_per_lang rows a language
-    found = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).alias("lang"), key.alias("k")).join(few, "id")
-    begin = F.pmod("k", F.greatest(F.lit(1), F.length("text") - longest + 1)).cast("int") + 1
-    return found.where(F.col("lang") == F.col("of")).select("id", "lang", F.substr("text", begin, F.lit(longest)).alias("text"))
+    thin = keys.join(n, "lang").where(F.col("k").cast("double") <= top).select("lang", "k").distinct()
+    w = Window.partitionBy("lang").orderBy("k")
+    picked = thin.withColumn("n", F.row_number().over(w)).where(F.col("n") <= docs_per_lang).select("lang", "k")
+    text = text_of(text_col)
+    begin = F.pmod(key, F.greatest(F.lit(1), F.length(text) - longest + 1)).cast("int") + 1
+    found = docs.where(fits).select(F.col(lang_col).alias("lang"), key.alias("k"), F.substr(text, begin, F.lit(longest)).alias("text"))
+    few = F.broadcast(picked)  # at most docs_per_lang rows a language
+    return found.join(few, ["lang", "k"]).groupBy("lang", "k").agg(F.min("text").alias("text"))
 
 
 def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +184,7 @@ def code_lengths(model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", allowed=None, docs_per_lang: int = SAMPLE_DOCS, longest: int = SAMPLE_BYTES) -> Model:
     """Fit on :func:`training_sample`; only that bounded sample comes to the driver."""
     sample = training_sample(docs, id_col, text_col, lang_col, F.lit(True) if allowed is None else allowed, docs_per_lang, longest).toPandas()
-    sample = sample.sort_values(["lang", "id"], kind="stable")
+    sample = sample.sort_values(["lang", "k"], kind="stable")
     return fit({x: [bytes(t) for t in g["text"]] for x, g in sample.groupby("lang")})
 
 

@@ -202,3 +202,19 @@ def test_clustering_equals_brute_force(spark):
         found = centroid_clustering.inertia(*centroid_clustering.cluster(df))
         assert sorted(map(tuple, found.collect()), key=repr) == brute_lloyd(some)
     assert centroid_clustering.inertia(*centroid_clustering.cluster(df.limit(0))).count() == 0
+
+
+def test_the_language_sample_is_bounded_whatever_the_ids_are(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.llm import language_id
+
+    # one id, or none, for all rows; one text in a third of them
+    rows = [(7 if i % 2 else None, "the same words again" if i % 3 == 0 else f"some text number {i}", "en") for i in range(1200)]
+    rows += [(7, f"ein anderer Text mit der Nummer {i}", "de") for i in range(5)] + [(7, None, "en"), (7, "no label", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    sample = language_id.training_sample(docs, "doc_id", "text", "lang", F.lit(True), docs_per_lang=40).toPandas()
+    assert sample["lang"].value_counts().to_dict() == {"en": 40, "de": 5}
+    assert sample["text"].nunique() >= 44
+    model = language_id.train(docs, docs_per_lang=40)
+    assert {r.lang_pred for r in language_id.identify(docs.where("lang = 'de'"), model).collect()} == {"de"}
