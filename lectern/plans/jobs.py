@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import Fixtures, ctes
 from ..scratch import new_folder
+from ..sources import course_files, exports, pdf
 from ..streaming import machine
 
 QUERIES: dict = {}
@@ -87,3 +88,59 @@ def live_state_counts(fx):
     _, folder = _replayed(fx, 2)
     machine.count_states(fx.spark, f"{folder}/changes", f"{folder}/counts-checkpoint", f"{folder}/counts")
     return machine.latest_counts(fx.spark, f"{folder}/counts")
+
+
+def _decks(fx: Fixtures, suffix: str, content) -> str:
+    """The documents as files of their source's folder, by way of the export sink: ``content`` is a file's bytes."""
+    path = new_folder(fx.spark)
+    docs = fx.table("documents").where("doc_id is not null and text is not null")
+    name = F.concat(F.col("source"), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(suffix))
+    exports.write_files(docs.select(name.alias("file"), content(F.col("text")).alias("content")), path)
+    return exports.current(path)
+
+
+@F.udf("binary")
+def _as_pdf(text: str) -> bytes:
+    return pdf.simple(text.split("\n"))
+
+
+@job(f"""{ctes('fx_page')}
+SELECT document_id, lecture, unit, page_number, sha256(trim(text)) AS text_sha256, length(trim(text)) AS n_chars FROM fx_page WHERE text IS NOT NULL""")
+def pdf_pages(fx):
+    """Documents written as PDF files, a line a page, and read back from the files."""
+    found = course_files.pages(fx.spark, _decks(fx, ".pdf", _as_pdf), partitionBytes=1 << 20)
+    text = F.trim("text")
+    return found.select(
+        "document_id", "lecture", "unit", F.col("page_number").cast("long").alias("page_number"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), F.length(text).cast("long").alias("n_chars")
+    )
+
+
+@job("""
+WITH f AS (SELECT source AS lecture, source || '/doc' || doc_id || '.txt' AS file, octet_length(encode(text)) AS bytes, sha256(text) AS h
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+SELECT lecture, count(*) AS decks, CAST(sum(bytes) AS BIGINT) AS bytes, sha256(string_agg(file || chr(0) || h || chr(10), '' ORDER BY file)) AS sha256 FROM f GROUP BY 1""")
+def course_provenance(fx):
+    """Sizes and one hash a folder over files that the documents were written to."""
+    found = course_files.files(fx.spark, _decks(fx, ".txt", lambda text: text.cast("binary")), partitionBytes=1 << 20)
+    return course_files.provenance(found).drop("pages")
+
+
+@job(f"""{ctes('fx_item')}
+SELECT 'runs/' || run_id || '.jsonl' AS file, row_number() OVER (PARTITION BY run_id ORDER BY competency_key, item_id) AS line_number,
+ sha256('{{"item_id":' || item_id || ',"configuration_id":"' || configuration_id || '","topic":"' || competency_key || '","state":"' || state || '"}}') AS line_sha256
+FROM fx_item WHERE state = 'FILTERED'""")
+def run_log_export(fx):
+    """The run logs, a record of each filtered item by topic and index, written as one transaction and read back."""
+    path = new_folder(fx.spark)
+    items = fx.item.where("state = 'FILTERED'")
+    record = F.to_json(F.struct("item_id", "configuration_id", F.col("competency_key").alias("topic"), "state"))
+    file = F.concat(F.lit("runs/"), "run_id", F.lit(".jsonl"))
+    exports.write_lines(items.select(file.alias("file"), record.alias("line"), "competency_key", "item_id"), path, ["competency_key", "item_id"])
+    parts = exports.read(fx.spark, path).select(
+        F.regexp_extract("file", "^(.*)/part-", 1).alias("file"), F.regexp_extract("file", "part-([0-9]+)$", 1).alias("part"), F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("at", "line")
+    ).where("line <> ''")
+    # a line's number in its file: those of the parts before, counted, and its place in its own
+    sizes = parts.groupBy("file", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("part")) - F.col("n")
+    numbered = parts.join(sizes.withColumn("before", before).drop("n"), ["file", "part"])
+    return numbered.select("file", (F.col("before") + F.col("at") + 1).alias("line_number"), F.sha2(F.col("line").cast("binary"), 256).alias("line_sha256"))
