@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import sqlite3
+from contextlib import closing
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import Fixtures, ctes
 from ..scratch import new_folder
-from ..sources import course_files, exports, pdf
+from ..sources import course_files, exports, pdf, sqlite_store
 from ..streaming import machine
 
 QUERIES: dict = {}
@@ -99,9 +103,8 @@ def _decks(fx: Fixtures, suffix: str, content) -> str:
     return exports.current(path)
 
 
-@F.udf("binary")
-def _as_pdf(text: str) -> bytes:
-    return pdf.simple(text.split("\n"))
+def _as_pdf(text):
+    return F.udf(lambda t: pdf.simple(t.split("\n")), "binary")(text)
 
 
 @job(f"""{ctes('fx_page')}
@@ -144,3 +147,29 @@ def run_log_export(fx):
     before = F.sum("n").over(Window.partitionBy("file").orderBy("part")) - F.col("n")
     numbered = parts.join(sizes.withColumn("before", before).drop("n"), ["file", "part"])
     return numbered.select("file", (F.col("before") + F.col("at") + 1).alias("line_number"), F.sha2(F.col("line").cast("binary"), 256).alias("line_sha256"))
+
+
+def _as_stores(rows):
+    """Rows of items as SQLite store files, one for each batch of a task."""
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        with closing(sqlite3.connect(":memory:")) as c:
+            c.execute("CREATE TABLE item (item_id INTEGER PRIMARY KEY, run_id TEXT NOT NULL, competency_key TEXT, state TEXT NOT NULL, requested_difficulty INTEGER, failure TEXT)")
+            c.execute("CREATE INDEX item_by_state ON item (run_id, state)")
+            c.executemany("INSERT INTO item VALUES (?, ?, ?, ?, ?, ?)", zip(*(col.to_pylist() for col in batch.columns)))
+            c.commit()
+            name = f"part-{batch.column(0)[0].as_py()}.db"
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([c.serialize()], pa.binary())], ["file", "content"])
+
+
+@job(f"""{ctes('fx_item')}
+SELECT item_id, run_id, competency_key, state, requested_difficulty, failure FROM fx_item WHERE state IN ('FAILED_GENERATION', 'FAILED_FILTER') AND requested_difficulty >= 40""")
+def sqlite_failed_items(fx):
+    """Items written to SQLite stores and scanned by ranges of row ids; the conditions are part of SQLite's statement."""
+    path = new_folder(fx.spark)
+    items = fx.item.select("item_id", "run_id", "competency_key", "state", F.col("requested_difficulty").cast("long"), "failure")
+    exports.write_files(items.mapInArrow(_as_stores, exports.SCHEMA), path)
+    where = [["state", "IN", ["FAILED_GENERATION", "FAILED_FILTER"]], ["requested_difficulty", ">=", 40]]
+    found = sqlite_store.scan(fx.spark, exports.current(path), "item", where=where, rows=2000)
+    return found.drop("rowid").withColumn("requested_difficulty", F.col("requested_difficulty").cast("int"))
