@@ -6,16 +6,21 @@ Pages have ``document_id, page_number, text`` (and ``lecture``, ``unit``, derive
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..scratch import written
 
 # Fixed values.
 MIN_PAGE_CHARS = 40
 TARGET_TOKENS, MAX_TOKENS = 500, 1200
 LANGUAGE_PAGES = 5
 
+#: Digests that are sent to every task, some sixty bytes each; beyond, a filter of so many bits, in buckets of SQL bitmaps.
+SENT = 100_000
+FILTER_BITS, BUCKET = 1 << 27, 1 << 15
+
 
 def with_names(pages: DataFrame) -> DataFrame:
     """Add ``lecture`` and ``unit`` from the document id where they are missing."""
@@ -26,17 +31,48 @@ def with_names(pages: DataFrame) -> DataFrame:
     return pages
 
 
-def usable_pages(pages: DataFrame, least: int = MIN_PAGE_CHARS) -> DataFrame:
+def _digest(text) -> Column:
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
+
+
+def _bit(digest: str) -> Column:
+    """A digest's place among the filter's bits."""
+    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
+
+
+def filter_of(digests: DataFrame) -> DataFrame:
+    """``bucket, bits``: a Bloom filter of one hash over ``__of``, put together by aggregation. It has ``FILTER_BITS`` bits
+    whatever goes in, 16 MB in buckets of 4 KB; of n digests about n / FILTER_BITS of all others pass as well."""
+    at = digests.select(_bit("__of").alias("at"))
+    return at.groupBy(F.expr(f"at div {BUCKET}").alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(BUCKET))).alias("bits"))
+
+
+def passing(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """``rows`` with ``__may``: whether the filter lets their ``__of`` pass."""
+    placed = rows.withColumn("__at", _bit("__of"))
+    held = placed.join(F.broadcast(bits), F.expr(f"__at div {BUCKET}") == F.col("bucket"), "left")  # FILTER_BITS / 8 bytes at most
+    byte = F.conv(F.hex(F.expr(f"substring(bits, int((__at % {BUCKET}) div 8 + 1), 1)")), 16, 10).cast("int")
+    may = F.expr("shiftright(__byte, int(__at % 8)) & 1") == 1
+    return held.withColumn("__byte", byte).withColumn("__may", F.coalesce(may, F.lit(False))).drop("__at", "__byte", *bits.columns)
+
+
+def usable_pages(pages: DataFrame, least: int = MIN_PAGE_CHARS, sent: int = SENT) -> DataFrame:
     """Pages of ``least`` characters or more, of equal texts the first by (document, page), which names a page.
 
-    Digests are grouped, partial on the map side, so a page that half the corpus repeats stays one row per task; only the
-    repeated ones are looked up again, and no text is sorted.
+    Digests are grouped, partial on the map side, so a page that half the corpus repeats stays one row per task. What comes of
+    it, the digests that occur twice, is written and counted. Up to ``sent`` of them go to every task, and no text moves.
+    Of more a filter of fixed size goes: a text that it doesn't let pass stays where it is, and only the others are shuffled
+    to meet their digests.
     """
-    rich = pages.where(t.utf16_length("text") >= least).withColumn("__of", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    rich = pages.where(t.utf16_length("text") >= least).withColumn("__of", _digest("text"))
     page = F.struct("document_id", "page_number")
-    first = rich.groupBy("__of").agg(F.min(page).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    held = rich.join(first, "__of", "left").where(F.col("__first").isNull() | (page == F.col("__first")))
-    return held.select(*pages.columns)
+    first = written(rich.groupBy("__of").agg(F.min(page).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"))
+    stays = F.col("__first").isNull() | (page == F.col("__first"))
+    if first.limit(sent + 1).count() <= sent:
+        return rich.join(F.broadcast(first), "__of", "left").where(stays).select(*pages.columns)
+    flagged = passing(rich, written(filter_of(first)))
+    again = flagged.where("__may").join(first.hint("shuffle_hash"), "__of", "left").where(stays)
+    return flagged.where("not __may").select(*pages.columns).union(again.select(*pages.columns))
 
 
 def language_samples(usable: DataFrame, pages: int = LANGUAGE_PAGES) -> DataFrame:
@@ -51,18 +87,23 @@ def language_samples(usable: DataFrame, pages: int = LANGUAGE_PAGES) -> DataFram
 def document_report(pages: DataFrame, least: int = MIN_PAGE_CHARS) -> DataFrame:
     """One row per document: usable and text-poor pages, characters, tokens, damage, alternative text, language, role."""
     pages = with_names(pages)
-    every = pages.groupBy("document_id").agg(F.min("unit").alias("unit"), F.sum((t.utf16_length("text") < least).cast("long")).alias("text_poor_pages"))
-    low = F.lower("text")
-    # all that is read from a text is counted before the shuffle by document, which then carries numbers only
-    counted = usable_pages(pages.select("document_id", "page_number", "text"), least).select(
-        "document_id", "page_number", t.utf16_length("text").cast("long").alias("size"), t.damage_count("text").alias("damaged"), t.alt_text_count("text").alias("alt"),
+    low, size = F.lower("text"), t.utf16_length("text").cast("long")
+    # texts are read once: what is counted of a page, and its digest, are some sixty bytes
+    counted = written(pages.select(
+        "document_id", "page_number", "unit", F.when(size >= least, _digest("text")).alias("__of"), (size < least).alias("poor"), size.alias("size"),
+        t.damage_count("text").alias("damaged"), t.alt_text_count("text").alias("alt"),
         t.marker_count(low, t.GERMAN_MARKERS).alias("g"), t.marker_count(low, t.ENGLISH_MARKERS).alias("e"),
-    )
+    ))
+    every = counted.groupBy("document_id").agg(F.min("unit").alias("unit"), F.sum(F.col("poor").cast("long")).alias("text_poor_pages"))
+    # equal texts have equal counts: the first page of a digest stands for it
+    page = F.struct("document_id", "page_number", "size", "damaged", "alt", "g", "e")
+    usable = counted.where("__of is not null").groupBy("__of").agg(F.min(page).alias("p")).select("p.*")
     early = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number")) <= LANGUAGE_PAGES
     of_first = lambda c: F.sum(F.when(F.col("early"), F.col(c)).otherwise(F.lit(0)))
-    sums = counted.withColumn("early", early).groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("pages"), F.sum("size").alias("chars"), F.sum("damaged").alias("damaged_tokens"), F.sum("alt").alias("alt_text_lines"), of_first("g").alias("german"), of_first("e").alias("english")
-    )
+    sums = usable.withColumn("early", early).groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("size").alias("chars"), F.sum("damaged").alias("damaged_tokens"), F.sum("alt").alias("alt_text_lines"),
+        of_first("g").alias("german"), of_first("e").alias("english"),
+    )
     out = every.join(sums, "document_id", "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("pages", "chars", "damaged_tokens", "alt_text_lines", "german", "english")}
     out = out.withColumns(zero)

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import Fixtures, ctes
+from ..operators import cell_index
 from ..scratch import new_folder
 from ..sources import course_files, exports, pdf, sqlite_store
 from ..streaming import machine
+from . import oracle
+from .catalogue import TOP_K, rounded
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -173,3 +176,12 @@ def sqlite_failed_items(fx):
     where = [["state", "IN", ["FAILED_GENERATION", "FAILED_FILTER"]], ["requested_difficulty", ">=", 40]]
     found = sqlite_store.scan(fx.spark, exports.current(path), "item", where=where, rows=2000)
     return found.drop("rowid").withColumn("requested_difficulty", F.col("requested_difficulty").cast("int"))
+
+
+@job(oracle.ORACLES["cosine_topk"])
+def cosine_topk_by_cells(fx):
+    """The best chunks of each query by way of the cells of an index: the rows of ``cosine_topk``."""
+    index = fx.chunk
+    queries = index.where("chunk_ord % 50 = 0").select(F.col("chunk_ord").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found, _ = cell_index.top_k(queries, cell_index.build(index), TOP_K)
+    return rounded(found.select("query_id", "chunk_id", "rank", "score"), "score")
