@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .ranks import ranked
 
 # Fixed values.
 GRANULARITIES = ("topic", "configuration_topic", "configuration", "run")
@@ -108,23 +108,24 @@ def render_candidate(id_, title, question, options) -> Column:
     return F.concat(F.lit("["), t.col(id_).cast("string"), F.lit("] "), t.col(title), F.lit("\n"), t.col(question), F.lit("\n"), render_options(options))
 
 
-def fingerprint(rows: DataFrame, order: list[str], fields: list[str]) -> DataFrame:
-    """SHA-256 over the SHA-256 of each row in order: small digests are gathered, never the rows."""
-    each = F.sha2(F.concat_ws("\x00", *[F.coalesce(F.col(f).cast("string"), F.lit("\x01")) for f in fields]), 256)
-    ordered = rows.select(*order, each.alias("__h")).repartition(1).sortWithinPartitions(*order, "__h")
-
-    def fold(batches):
-        # a digest over a sequence is made in sequence: one task reads the sorted digests by and holds none
-        of, n = hashlib.sha256(), 0
-        for b in batches:
-            for h in b.column(b.num_columns - 1).to_pylist():
-                of.update(b"\n" * (n > 0) + h.encode())
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([of.hexdigest()]), pa.array([n], pa.int64())], ["fingerprint", "rows"])
-
-    one = ordered.mapInArrow(fold, "fingerprint string, rows long")
-    nothing = F.lit(hashlib.sha256().hexdigest())
-    return one.agg(F.coalesce(F.max("fingerprint"), nothing).alias("fingerprint"), F.coalesce(F.max("rows"), F.lit(0)).alias("rows"))
+#: Digests that are folded into one.
+FAN = 1024
+
+
+def fingerprint(rows: DataFrame, order: list[str], fields: list[str], fan: int = FAN) -> DataFrame:
+    """``fingerprint, rows``: a hash tree over the rows in order. A leaf is the SHA-256 of a row's fields; each ``fan`` neighbours,
+    joined by line feeds, give a digest of the level above, until one is left. So up to ``fan`` rows it is one hash over all
+    leaves; more are folded by many tasks, and no group has more than ``fan`` digests. No rows give the hash of nothing."""
+    leaf = F.sha2(F.concat_ws("\x00", *[F.coalesce(F.col(f).cast("string"), F.lit("\x01")) for f in fields]), 256)
+    level = ranked(rows.select(*order, leaf.alias("h")), [], [*order, "h"]).select((F.col("__n") - 1).alias("n"), "h")
+    total = left = level.count()
+    while left:
+        digests = F.array_sort(F.collect_list(F.struct("n", "h")))["h"]
+        level = level.groupBy((F.floor(F.col("n") / fan)).alias("m")).agg(F.sha2(F.array_join(digests, "\n").cast("binary"), 256).alias("h")).select(F.col("m").alias("n"), "h")
+        left = -(-left // fan) if left > fan else 0
+    if not total:
+        return rows.sparkSession.createDataFrame([(hashlib.sha256().hexdigest(), 0)], "fingerprint string, rows long")
+    return level.select(F.col("h").alias("fingerprint"), F.lit(total).cast("long").alias("rows"))
 
 
 def retrieval_csv(ranked: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .prefixes import beginnings
+from .ranks import evenly, ranked
 
 CELL = ["course_key", "competency_key", "language", "question_type", "difficulty_band"]
 
@@ -29,14 +31,11 @@ def changed_documents(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def touched(retrieved: DataFrame, changed: DataFrame, key: str = "competency_key") -> DataFrame:
-    """Keys whose retrieved chunks come from a changed document: the chunk id begins with the document's name.
-
-    A prefix is no equality, so every prefix length that occurs among the changed names is tried as one: an equi-join on
-    the chunk id cut to it.
-    """
-    lengths = changed.select(F.length("document").alias("len")).distinct()
-    cut = retrieved.select(key, "chunk_id").join(F.broadcast(lengths), F.length("chunk_id") >= F.col("len")).select(key, F.substring("chunk_id", F.lit(1), F.col("len")).alias("document"))
-    return cut.join(changed, "document", "left_semi").select(key).distinct()
+    """Keys whose retrieved chunks come from a changed document: the chunk id begins with the document's name. Distinct ids and
+    names are swept in order; each goes to one task once, however many lengths the names have."""
+    ids = retrieved.select(key, "chunk_id").distinct()
+    hit = beginnings(ids.select(F.col("chunk_id").alias("string")), changed.select(F.col("document").alias("name")))
+    return ids.join(hit.select(F.col("string").alias("chunk_id")), "chunk_id", "left_semi").select(key).distinct()
 
 
 def targets(cells: DataFrame, existing: DataFrame, touched_: DataFrame, per_cell: int, built_before: bool, key: str = "cell_key", by: str = "competency_key") -> DataFrame:
@@ -56,15 +55,9 @@ def new_items(sized: DataFrame) -> DataFrame:
 
 def batches(items: DataFrame, size: int, cell: list[str], order: list[str]) -> DataFrame:
     """``batch, batch_pos``: a cell's items in as few calls as ``size`` allows, split evenly, larger calls first."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*cell))
-    rn = F.row_number().over(Window.partitionBy(*cell).orderBy(*order))
-    out = items.withColumn("__n", n).withColumn("__i", rn - 1).withColumn("__calls", F.ceil(F.col("__n") / size))
-    base, extra = F.floor(F.col("__n") / F.col("__calls")), F.col("__n") % F.col("__calls")
-    out = out.withColumn("__base", base).withColumn("__extra", extra)
-    head = F.col("__extra") * (F.col("__base") + 1)
-    batch = F.when(F.col("__i") < head, F.floor(F.col("__i") / (F.col("__base") + 1))).otherwise(F.col("__extra") + F.floor((F.col("__i") - head) / F.col("__base")))
-    pos = F.when(F.col("__i") < head, F.col("__i") % (F.col("__base") + 1)).otherwise((F.col("__i") - head) % F.col("__base"))
-    return out.withColumn("batch", batch.cast("long")).withColumn("batch_pos", pos.cast("long")).drop("__n", "__i", "__calls", "__base", "__extra")
+    put = ranked(items, cell, order)
+    batch, pos = evenly(F.col("__n"), F.col("__total"), F.ceil(F.col("__total") / size))
+    return put.withColumn("batch", batch).withColumn("batch_pos", pos).drop("__n", "__total", "__sum")
 
 
 def missing_verdicts(items: DataFrame, verdicts: DataFrame, judge: str, scope: str = "GENERAL") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..schemas import FAILURE_MODES, SCOPES
+from .ranks import ranked
 
 # Fixed values.
 BANNED = (
@@ -130,7 +131,8 @@ def clean_selection(chosen: DataFrame, known: DataFrame, cap: int, by: list[str]
 
 def shortlist_batches(candidates: DataFrame, most: int, by: list[str], order: str = "id") -> DataFrame:
     """``batch``: candidates in order, ``most`` to a call."""
-    return candidates.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1) / most).cast("long"))
+    put = ranked(candidates, by, [order])
+    return put.withColumn("batch", F.floor((F.col("__n") - 1) / most).cast("long")).drop("__n", "__total", "__sum")
 
 
 def accept_in_order(questions: DataFrame, wanted: int, by: list[str], order: list[str], text: str = "text") -> DataFrame:

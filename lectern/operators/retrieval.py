@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import vectors as v
+from .ranks import evenly, ranked
 
 # Fixed values.
 BEGIN, END = "--- BEGIN LECTURE MATERIAL ---", "--- END LECTURE MATERIAL ---"
@@ -107,9 +108,8 @@ def within_budget(snippets: DataFrame, most: int, group: list[str], order: str =
     is stopping at the first that overflows."""
     if most <= 0:
         raise ValueError(f"the budget must be positive, got {most}")
-    w = Window.partitionBy(*group).orderBy(order)
-    run = F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return snippets.withColumn("tokens_so_far", run).withColumn("__n", F.row_number().over(w)).where((F.col("tokens_so_far") <= most) | (F.col("__n") == 1)).drop("__n")
+    put = ranked(snippets, group, [order], tokens).withColumnRenamed("__sum", "tokens_so_far")
+    return put.where((F.col("tokens_so_far") <= most) | (F.col("__n") == 1)).drop("__n", "__total")
 
 
 def composition(snippets: DataFrame, group: list[str]) -> DataFrame:
@@ -139,5 +139,5 @@ def subsections(snippets: DataFrame, n: int, group: list[str] | None = None) ->
     """Snippets in reading order cut into ``n`` contiguous parts of near-equal size, the larger ones first (``section`` from 1)."""
     if n < 1:
         raise ValueError(f"at least one part is needed, got {n}")
-    w = Window.partitionBy(*(group or [])).orderBy(t.chunk_document("chunk_id"), t.chunk_first_page("chunk_id"), "chunk_id")
-    return snippets.withColumn("section", F.ntile(n).over(w).cast("long"))
+    put = ranked(snippets, group or [], [t.chunk_document("chunk_id"), t.chunk_first_page("chunk_id"), F.col("chunk_id")])
+    return put.withColumn("section", evenly(F.col("__n"), F.col("__total"), F.lit(n))[0] + 1).drop("__n", "__total", "__sum")

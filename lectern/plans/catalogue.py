@@ -105,7 +105,7 @@ def incremental_enqueue(fx):
     docs = fx.table("documents").select("doc_id", F.concat("source", F.lit("/doc"), F.col("doc_id").cast("string")).alias("document"), F.sha2("text", 256).alias("content_hash"))
     before = docs.where("doc_id % 97 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 97 == 1, "x").otherwise(F.col("content_hash")))
     changed = pool.changed_documents(docs, before)
-    retrieved = docs.where("doc_id % 7 = 0").select(F.concat(F.lit("c"), (F.col("doc_id") % 16).cast("string")).alias("competency_key"), F.concat("document", F.lit(".pdf#p1-2")).alias("chunk_id"))
+    retrieved = docs.select(F.concat(F.lit("c"), (F.col("doc_id") % 97 % 16).cast("string")).alias("competency_key"), F.concat("document", F.lit(".pdf#p1-2")).alias("chunk_id"))
     items = fx.item.where("run_id = 'run-1' and state = 'PENDING' and competency_key <> 'c3'")
     cells = fx.item.select("competency_key", "language", "difficulty_band").distinct().withColumn("cell_key", F.concat_ws("|", "competency_key", "language", "difficulty_band"))
     n = items.groupBy(F.concat_ws("|", "competency_key", "language", "difficulty_band").alias("cell_key")).agg(F.count(F.lit(1)).alias("n"))

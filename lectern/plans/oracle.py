@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from ..fixtures import ctes
 from ..functions import text as t
+from ..operators.export import FAN
 from ..operators.quality import BANNED, DANGLING
 from ..operators.reports import BUCKETS
 from ..schemas import FAILURE_MODES, thresholds
@@ -80,7 +81,7 @@ SELECT cell_key, coalesce(n, 0) AS existing, CAST(coalesce(n, 0) + more AS BIGIN
  dd AS (SELECT doc_id, source || '/doc' || doc_id AS document, sha256(text) AS h FROM documents),
  was AS (SELECT document, CASE WHEN doc_id % 97 = 1 THEN 'x' ELSE h END AS h FROM dd WHERE doc_id % 97 <> 0),
  changed AS (SELECT dd.document FROM dd LEFT JOIN was USING (document) WHERE was.h IS DISTINCT FROM dd.h),
- hit AS (SELECT DISTINCT 'c' || (doc_id % 16) AS competency_key FROM dd JOIN changed c ON starts_with(dd.document || '.pdf#p1-2', c.document) WHERE doc_id % 7 = 0)""")
+ hit AS (SELECT DISTINCT 'c' || (doc_id % 97 % 16) AS competency_key FROM dd JOIN changed c ON starts_with(dd.document || '.pdf#p1-2', c.document))""")
 sql("pool_grid", """
 SELECT row_number() OVER (ORDER BY o1, o2, o3, o4) AS position, concat_ws('|', course_key, competency_key, l, q, d) AS cell_key, q AS question_type FROM
  (SELECT *, CAST(substr(competency_key, 2) AS INTEGER) AS o1 FROM fx_request) r, (VALUES (0, 'de'), (1, 'en')) a(o2, l), (VALUES (0, 'single-choice'), (1, 'multiple-choice'), (2, 'true-false')) b(o3, q),
@@ -251,8 +252,11 @@ SELECT item_id, CASE state WHEN 'GENERATING' THEN 'PENDING' WHEN 'FILTERING' THE
  CASE WHEN item_id % 3 = 0 THEN CASE WHEN item_id % 2 = 0 THEN 'PENDING' ELSE 'GENERATED' END ELSE CASE WHEN item_id % 2 = 0 THEN 'FAILED_GENERATION' ELSE 'FAILED_FILTER' END END AS after_failure,
  coalesce(failure NOT IN ('AUTH', 'BAD_REQUEST'), true) AS retry, CASE WHEN {_lost} THEN CASE state WHEN 'FAILED_GENERATION' THEN 'PENDING' ELSE 'GENERATED' END END AS revived_state,
  CAST(CASE WHEN {_lost} THEN CASE state WHEN 'FAILED_GENERATION' THEN 0 ELSE 2 END END AS BIGINT) AS revived_generation, CAST(CASE WHEN {_lost} THEN CASE state WHEN 'FAILED_GENERATION' THEN 1 ELSE 0 END END AS BIGINT) AS revived_filter FROM fx_item""", "fx_item")
-sql("corpus_fingerprint", """
-SELECT sha256(string_agg(h, chr(10) ORDER BY path)) AS fingerprint, count(*) AS rows FROM (SELECT path, sha256(path || chr(0) || sha256(text)) AS h FROM (SELECT source || '/doc' || doc_id AS path, text FROM documents))""")
+_fold = lambda below, n: f"""{n} AS (SELECT k // {FAN} AS k, CASE WHEN (SELECT count(*) FROM {below}) = 1 AND '{below}' <> 'l0' THEN any_value(h)
+  ELSE sha256(string_agg(h, chr(10) ORDER BY k)) END AS h FROM {below} GROUP BY k // {FAN})"""
+sql("corpus_fingerprint", "SELECT h AS fingerprint, (SELECT count(*) FROM l0) AS rows FROM l3", more=f"""
+ l0 AS (SELECT row_number() OVER (ORDER BY path) - 1 AS k, sha256(path || chr(0) || sha256(text)) AS h FROM (SELECT source || '/doc' || doc_id AS path, text FROM documents)),
+ {_fold("l0", "l1")}, {_fold("l1", "l2")}, {_fold("l2", "l3")}""")
 sql("manifest_diff", """
 SELECT path, status FROM (SELECT coalesce(d.path, f.path) AS path, CASE WHEN f.path IS NULL THEN 'missing' WHEN d.path IS NULL THEN 'extra' WHEN d.h <> f.h THEN 'differs' END AS status
  FROM (SELECT 'doc' || doc_id AS path, sha256(text) AS h FROM documents) d FULL JOIN (SELECT CASE WHEN doc_id % 13 = 0 THEN 'doc' || doc_id || 'b' ELSE 'doc' || doc_id END AS path, CASE WHEN doc_id % 17 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 11 <> 0) f ON d.path = f.path)
