@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..scratch import written
 from .ranks import ranked
 
 # Fixed values.
@@ -26,7 +27,7 @@ def public_questions(questions: DataFrame, quizzes: DataFrame, requests: DataFra
 
     The objective is that of the question's competency, or the request's joined ones where it names none.
     """
-    known = quizzes.join(F.broadcast(requests.select("request_key", "course_key", "language", F.col("objectives").alias("request_objectives"), "bloom")), "request_key")
+    known = quizzes.join(requests.select("request_key", "course_key", "language", F.col("objectives").alias("request_objectives"), "bloom"), "request_key")
     c = competencies.select("course_key", F.col("competency_key"), F.col("title").alias("competency"), t.objective("title", "description").alias("own_objective"), F.col("taxonomy"))
     out = question_ids(questions).join(known, "quiz_id").join(c, ["course_key", "competency_key"], "left")
     return out.select(
@@ -186,6 +187,39 @@ def sweep_export(quizzes: DataFrame, questions: DataFrame, requests: DataFrame,
     write_quiz_files(asked.select("quiz_id", t.language_name("language").alias("language"), "course_key", F.col("objectives").alias("learning_objectives")), f"{path}/instructions")
 
 
+def sweep_files(quizzes: DataFrame, questions: DataFrame, requests: DataFrame, competencies: DataFrame) -> DataFrame:
+    """``file, content`` of an experiment's whole evaluator input, to be written as one export: ``quizzes/<id>.json`` (public),
+    ``sidecars/<id>.json`` (hidden, by the same ids) and ``instructions/<id>.json``. Quizzes of unknown requests and quizzes
+    without a question are in none of them."""
+    public = public_questions(questions, quizzes, requests, competencies)
+    each = F.array_sort(F.collect_list(F.struct("question_id", "question", "domain", "language", "competency", "learning_objective", "bloom_intended")))
+    shown = written(public.groupBy("quiz_id").agg(each.alias("questions")))
+    hidden = hidden_questions(questions, quizzes)
+    aside = F.array_sort(F.collect_list(F.struct(*[c for c in hidden.columns if c != "quiz_id"])))
+    hidden = hidden.join(shown.select("quiz_id"), "quiz_id", "left_semi").groupBy("quiz_id").agg(aside.alias("questions"))
+    asked = quizzes.join(requests, "request_key").join(shown.select("quiz_id"), "quiz_id", "left_semi")
+    asked = asked.select("quiz_id", t.language_name("language").alias("language"), "course_key", F.col("objectives").alias("learning_objectives"))
+
+    def put(folder: str, rows: DataFrame) -> DataFrame:
+        file = F.concat(F.lit(f"{folder}/"), F.col("quiz_id").cast("string"), F.lit(".json"))
+        return rows.select(file.alias("file"), F.to_json(F.struct(*rows.columns)).alias("content"))
+
+    return put("quizzes", shown).union(put("sidecars", hidden)).union(put("instructions", asked))
+
+
+def item_lines(items: DataFrame) -> DataFrame:
+    """``file, topic_key, item_index, line`` of the Markdown view of a run, a block an item: for an export of lines ordered by
+    topic and index."""
+    body = F.concat(F.lit("## "), F.col("title"), F.lit("\n\n"), F.col("question_text"), F.lit("\n\n"), render_options("options"), F.lit("\n"))
+    return items.select(F.concat(F.lit("runs/"), "run_id", F.lit("/items.md")).alias("file"), "topic_key", "item_index", body.alias("line"))
+
+
+def csv_line(*cells) -> Column:
+    """Cells quoted, quotes doubled, a null empty."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(t.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.concat_ws(",", *map(quoted, cells))
+
+
 def evaluator_config(name: str, metrics: dict[str, str], disabled: tuple[str, ...] = (), runs: int = 3) -> str:
     """An evaluator's configuration in YAML: one independent judge, the metrics with their versions, the folders of an export."""
     import yaml

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import Fixtures, ctes
-from ..operators import cell_index
+from ..operators import cell_index, corpus, export, retrieval
 from ..scratch import new_folder
 from ..sources import course_files, exports, pdf, sqlite_store
 from ..streaming import machine
-from . import oracle
+from . import catalogue, oracle
 from .catalogue import TOP_K, rounded
 
 QUERIES: dict = {}
@@ -185,3 +185,40 @@ def cosine_topk_by_cells(fx):
     queries = index.where("chunk_ord % 50 = 0").select(F.col("chunk_ord").alias("query_id"), F.col("embedding").alias("query_vector"))
     found, _ = cell_index.top_k(queries, cell_index.build(index), TOP_K)
     return rounded(found.select("query_id", "chunk_id", "rank", "score"), "score")
+
+
+def _csv_back(fx: Fixtures, rows: DataFrame, columns: list[str], order: list[str], schema: str) -> DataFrame:
+    """Rows written as a CSV export and read back with Spark's reader."""
+    path = new_folder(fx.spark)
+    lines = rows.select(F.lit("report.csv").alias("file"), export.csv_line(*columns).alias("line"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    exports.write_lines(lines, path, [f"o{i}" for i in range(len(order))], header=",".join(f'"{c}"' for c in columns))
+    return fx.spark.read.schema(schema).option("header", True).option("escape", '"').csv(f"{exports.current(path)}/report.csv")
+
+
+@job(f"{ctes('fx_chunk')},\n {oracle.TOP}\nSELECT query_id AS topic, rank, printf('%.4f', score) AS score, split_part(chunk_id, '#', 1) AS document, chunk_id AS \"chunkId\" FROM top")
+def retrieval_probe_export(fx):
+    """The retrieval probe as a CSV export, read back."""
+    index = fx.chunk
+    queries = index.where("chunk_ord % 50 = 0").select(F.col("chunk_ord").alias("query_id"), F.col("embedding").alias("query_vector"))
+    rows = export.retrieval_csv(retrieval.top_k(queries, index, TOP_K))
+    return _csv_back(fx, rows, ["topic", "rank", "score", "document", "chunkId"], ["topic", "rank"], "topic long, rank long, score string, document string, chunkId string")
+
+
+@job(oracle.ORACLES["doc_extraction_report"])
+def extraction_csv_export(fx):
+    """The extraction report as a CSV export, read back with its types."""
+    rows = corpus.document_report(fx.page.select("document_id", "lecture", "unit", "page_number", "text"))
+    return _csv_back(fx, rows, rows.columns, ["document_id"], ", ".join(f"{n} {k}" for n, k in rows.dtypes))
+
+
+@job(oracle.ORACLES["public_questions"])
+def sweep_export_questions(fx):
+    """An experiment's quizzes, sidecars and instructions written as one transaction; the public questions read back from their files."""
+    path = new_folder(fx.spark)
+    q = fx.question.withColumn("competency_key", F.concat(F.lit("c"), (F.col("quiz_id") % 5).cast("string")))
+    made = export.sweep_files(catalogue._quiz_requests(fx), q, fx.spark.sql(catalogue.REQUESTS), fx.spark.sql(catalogue.COMPETENCIES))
+    exports.write_files(made, path)
+    question = "question_id string, question string, domain string, language string, competency string, learning_objective string, bloom_intended string"
+    quiz = F.from_json(F.col("content").cast("string"), f"quiz_id long, questions array<struct<{question.replace(' string', ':string')}>>")
+    files = exports.read(fx.spark, path).where("file like 'quizzes/%'").select(quiz.alias("q"))
+    return files.select("q.quiz_id", F.inline("q.questions"))
