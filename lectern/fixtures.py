@@ -22,7 +22,7 @@ SELECT l_orderkey AS item_id, l_linenumber AS mode_ord,
    WHEN 6 THEN 'COMPETENCY_MISMATCH' ELSE 'DIFFICULTY_MISMATCH' END AS mode,
  max(l_discount * 10) AS severity FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "fx_call": """
-SELECT event_id AS call_id, event_id % 1500 AS item_id,
+SELECT event_id AS call_id, CAST(floor(event_id / 2e0) AS BIGINT) AS item_id,
  CASE event_type WHEN 'view' THEN 'selection' WHEN 'click' THEN 'filter' WHEN 'signup' THEN 'embedding' ELSE 'generation' END AS stage,
  CASE user_id % 4 WHEN 0 THEN 'openai/gpt-oss-120b' WHEN 1 THEN 'gpt-5-mini' WHEN 2 THEN 'gpt-5.4' ELSE 'mystery' END AS model,
  CASE WHEN event_type = 'error' THEN NULL ELSE CAST(floor(value * 100) AS BIGINT) END AS prompt_tokens,

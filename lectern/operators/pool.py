@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -14,13 +14,13 @@ CELL = ["course_key", "competency_key", "language", "question_type", "difficulty
 
 def grid(competencies: DataFrame, languages: DataFrame, types: DataFrame, difficulties: DataFrame) -> DataFrame:
     """Every cell, in order of competency, language, type and difficulty (each input has an ``ord``); adds ``cell_key`` and
-    ``position``. All four are small dimensions."""
+    ``position``. All but the competencies are small dimensions."""
     sides = [competencies.withColumnRenamed("ord", "o1"), languages.withColumnRenamed("ord", "o2"), types.withColumnRenamed("ord", "o3"), difficulties.withColumnRenamed("ord", "o4")]
     out = sides[0]
     for s in sides[1:]:
-        out = out.crossJoin(s)
-    place = F.row_number().over(Window.orderBy("o1", "o2", "o3", "o4")).cast("long")
-    return out.withColumn("cell_key", t.cell_key(*CELL)).withColumn("position", place).drop("o1", "o2", "o3", "o4")
+        out = out.crossJoin(F.broadcast(s))  # a few languages, types or difficulties
+    out = ranked(out, [], ["o1", "o2", "o3", "o4"]).withColumnRenamed("__n", "position")
+    return out.withColumn("cell_key", t.cell_key(*CELL)).drop("o1", "o2", "o3", "o4", "__total", "__sum")
 
 
 def changed_documents(current: DataFrame, previous: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """The store: append-only Parquet tables with latest-wins views.
 
-A change is a new version of a row. ``version`` orders them; ties are broken by ``batch``, the name of the write, so a view
-is the same on every read. Keys are compared null-safely by grouping.
+A change is a new version of a row. ``version`` orders them; ties are broken by ``batch``, the name of the write, and inside
+one by ``row``, a number given when it was written, so a view is the same on every read. Keys are compared null-safely by
+grouping.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +21,7 @@ from ..schemas import ITEM_KEY, TABLES, TRANSIENT_FAILURES
 def latest(versions: DataFrame, key: list[str], order: str = "version") -> DataFrame:
     """The newest version of each key: one aggregation, partial on the map side."""
     rest = [c for c in versions.columns if c not in key]
-    tie = [F.col(c) for c in ("batch",) if c in versions.columns]
-    pick = versions.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), *tie)).alias("__r"))
+    pick = versions.groupBy(*key).agg(F.max_by(F.struct(*rest), _when(versions, order)).alias("__r"))
     return pick.select(*[F.col(c) if c in key else F.col(f"__r.{c}").alias(c) for c in versions.columns])
 
 
@@ -28,8 +30,17 @@ def latest_by_either(versions: DataFrame, first: list[str], second: list[str], o
 
     A row survives if it is the newest of both its keys. (A row that was itself replaced still replaced older ones.)
     """
-    last1, last2 = (versions.groupBy(*k).agg(F.max(order).alias("__v")) for k in (first, second))
-    return versions.join(last1.withColumnRenamed("__v", order), [*first, order], "left_semi").join(last2.withColumnRenamed("__v", order), [*second, order], "left_semi")
+    put = versions.withColumn("__when", _when(versions, order))
+    for key in (first, second):
+        last = versions.withColumn("__when", _when(versions, order)).groupBy(*key).agg(F.max("__when").alias("__when"))
+        both = zip([*key, "__when"], last.columns)
+        put = put.join(last.toDF(*[f"__{c}" for c in last.columns]), reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{x}")) for c, x in both]), "left_semi")
+    return put.drop("__when")
+
+
+def _when(versions: DataFrame, order: str) -> Column:
+    """When a row was written, as far as the columns tell."""
+    return F.struct(F.col(order), *[F.coalesce(c, F.lit(d)) for c, d in (("batch", ""), ("row", 0)) if c in versions.columns])
 
 
 def enqueue(existing: DataFrame, new: DataFrame, key: list[str] | tuple[str, ...] = ITEM_KEY) -> DataFrame:
@@ -128,7 +139,7 @@ def next_claim(items: DataFrame, n: int = 1) -> DataFrame:
 
 
 class Store:
-    """Tables of :data:`lectern.schemas.TABLES` as Parquet folders under ``root``, plus ``version`` and ``batch``."""
+    """Tables of :data:`lectern.schemas.TABLES` as Parquet folders under ``root``, plus ``version``, ``batch`` and ``row``."""
 
     KEYS = {"run": ["run_id"], "item": list(ITEM_KEY), "verdict": ["item_id", "judge_model", "scope"], "document": ["course_key", "document"]}
 
@@ -136,7 +147,7 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _schema(self, table: str) -> T.StructType:
-        return T.StructType([*TABLES[table].fields, T.StructField("version", T.LongType()), T.StructField("batch", T.StringType())])
+        return T.StructType([*TABLES[table].fields, T.StructField("version", T.LongType()), T.StructField("batch", T.StringType()), T.StructField("row", T.LongType())])
 
     def _there(self, table: str) -> bool:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
@@ -154,13 +165,14 @@ class Store:
             v = latest_by_either(v, ["quiz_id"], ["run_id", "configuration_id", "request_key", "repetition"])
         elif table in self.KEYS:
             v = latest(v, self.KEYS[table])
-        return v.drop("version", "batch")
+        return v.drop("version", "batch", "row")
 
     def append(self, table: str, rows: DataFrame) -> None:
         """New versions of rows; columns that ``rows`` lacks are null."""
         version = int(self.versions(table).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]) + 1
         cols = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table].fields]
-        rows.select(*cols, F.lit(version).cast("long").alias("version"), F.lit(uuid.uuid4().hex).alias("batch")).write.mode("append").parquet(f"{self.root}/{table}")
+        mark = [F.lit(version).cast("long").alias("version"), F.lit(uuid.uuid4().hex).alias("batch"), F.monotonically_increasing_id().alias("row")]
+        rows.select(*cols, *mark).write.mode("append").parquet(f"{self.root}/{table}")
 
     def enqueue(self, items: DataFrame) -> int:
         """Create items that aren't there; how many were."""

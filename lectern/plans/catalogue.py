@@ -117,7 +117,7 @@ def incremental_enqueue(fx):
 @query
 def pool_grid(fx):
     s = fx.spark
-    comps = fx.request.select("course_key", "competency_key").withColumn("ord", F.regexp_extract("competency_key", "[0-9]+", 0).cast("int"))
+    comps = fx.table("supplier").selectExpr("concat('n', s_nationkey) as course_key", "concat('c', s_suppkey) as competency_key", "s_suppkey as ord")
     side = lambda name, xs: s.createDataFrame(list(enumerate(xs)), f"ord int, {name} string")
     g = pool.grid(comps, side("language", ["de", "en"]), side("question_type", QUESTION_TYPES), side("difficulty_band", list(DIFFICULTIES)))
     return g.select("position", "cell_key", t.cell_of("cell_key")["question_type"].alias("question_type"))
@@ -224,8 +224,8 @@ def call_failure_classes(fx):
 
 @query
 def http_classes(fx):
-    s = fx.spark.range(12).select((F.col("id") + 1).alias("attempt"), F.element_at(F.array(*[F.lit(x) for x in (200, 400, 401, 403, 404, 408, 422, 429, 499, 500, 502, 503)]), (F.col("id") + 1).cast("int")).cast("long").alias("status"))
-    return s.select("attempt", "status", t.http_kind("status").alias("kind"), t.retryable(t.http_kind("status")).alias("retryable"), t.backoff_ms("attempt").alias("backoff_ms"))
+    s = fx.table("events").select(F.col("event_id").alias("call_id"), (F.col("event_id") % 7 + 1).alias("attempt"), (F.lit(395) + F.col("user_id") * 7 % 130).alias("status"))
+    return s.withColumns({"kind": t.http_kind("status"), "retryable": t.retryable(t.http_kind("status")), "backoff_ms": t.backoff_ms("attempt")})
 
 
 @query
@@ -374,8 +374,8 @@ def batch_plan(fx):
 
 @query
 def enqueue_ladder(fx):
-    topics = fx.spark.range(7).select(F.col("id").alias("position"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("topic"))
-    e = pool.enqueue_round_robin(topics, 100)
+    topics = fx.table("supplier").select(F.col("s_suppkey").alias("position"), F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("topic"))
+    e = pool.enqueue_round_robin(topics, fx.table("orders").count())
     return rounded(e.select("i", "topic", "item_index", pool.ladder("item_index", [20, 40, 60, 80]).alias("level")))
 
 
@@ -419,7 +419,11 @@ UNITS = "01 Intro__to  X/2 Basics.pdf|03_Graphs/CE 1 Exercises.PDF|loose.pdf|04
 
 @query
 def unit_roles(fx):
-    d = fx.spark.sql(f"select explode(split('{UNITS}', '[|]')) as document_id")
+    e = F.element_at(F.split(F.lit(UNITS), "[|]"), (F.col("p_partkey") % 8 + 1).cast("int"))
+    of = F.col("p_partkey").cast("string")
+    lecture = F.substring_index("e", "/", 1)
+    named = F.when(F.instr("e", "/") > 0, F.concat(lecture, F.lit(" "), of, F.expr("substr(e, length(substring_index(e, '/', 1)) + 1)"))).otherwise(F.concat(of, F.lit(" "), "e"))
+    d = fx.table("part").withColumn("e", e).select(named.alias("document_id"))
     return d.select("document_id", t.lecture_name("document_id").alias("lecture"), t.unit_name("document_id").alias("unit"), t.role_of(t.unit_name("document_id")).alias("role"), t.to_query(t.lecture_name("document_id")).alias("query"))
 
 
@@ -504,13 +508,23 @@ def pool_summary(fx):
 
 
 JUDGES = """
-SELECT 0 AS ord, 'two-phase' AS approach, 'local' AS generator, 'cloud' AS judge UNION ALL SELECT 1, 'agentic', 'local', 'other' UNION ALL SELECT 2, 'two-phase', 'local', 'local'
-UNION ALL SELECT 3, 'two-phase', 'local', 'cloud' UNION ALL SELECT 4, 'two-phase', 'cloud', 'local'"""
+SELECT o_orderkey AS ord, CASE o_orderkey % 3 WHEN 0 THEN 'agentic' ELSE 'two-phase' END AS approach, concat('g', CAST(o_custkey AS VARCHAR(20))) AS generator,
+ concat('j', CAST(o_orderkey * 7 % 5 AS VARCHAR(20))) AS judge, concat('s', CAST(o_orderkey % 2 AS VARCHAR(20))) AS selector FROM orders"""
+
+
+def _configurations(fx):
+    return fx.spark.sql(JUDGES.replace("FROM orders", "FROM {orders}"), orders=fx.table("orders"))
 
 
 @query
 def judges_of_generators(fx):
-    return reports.judges_of_generators(fx.spark.sql(JUDGES)).withColumn("judges", F.concat_ws(",", "judges"))
+    return reports.judges_of_generators(_configurations(fx)).withColumn("judges", F.concat_ws(",", "judges"))
+
+
+@query
+def configuration_counts(fx):
+    c = _configurations(fx).withColumn("configuration_id", t.configuration_id("approach", "generator", "judge", "selector"))
+    return c.groupBy("configuration_id").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
 
 
 RESULTS = """
@@ -528,3 +542,21 @@ def results_by_generator(fx):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["cost_per_configuration"](spark, sf_dir)
+
+
+TEXTS = """
+SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN ' ' ELSE NULL END AS query, p_type AS title,
+ CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('- ', p_name, chr(10), '- ', p_brand) END AS description,
+ CASE p_partkey % 3 WHEN 0 THEN 'single-choice' WHEN 1 THEN 'true-false' ELSE 'multiple-choice' END AS type, CASE p_partkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'DE' ELSE p_brand END AS code,
+ p_brand AS model, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN concat(p_brand, ':q4') WHEN 2 THEN concat(p_brand, 'x') ELSE p_type END AS other,
+ concat('a=1', chr(10), 'b=', p_name, '=', p_brand, chr(10), 'none', chr(10), 'a=', p_type) AS manifest FROM part"""
+
+
+@query
+def text_functions(fx):
+    p = fx.spark.sql(TEXTS.replace("FROM part", "FROM {part}"), part=fx.table("part"))
+    m = t.manifest_lines("manifest")
+    return p.select(
+        "id", t.retrieval_query("query", "title", "description").alias("retrieval_query"), t.type_name("type").alias("type_name"), t.language_name("code").alias("language"),
+        t.same_model("model", "other").alias("same_model"), m["a"].alias("a"), m["b"].alias("b"),
+    )

@@ -16,7 +16,7 @@ def _session() -> SparkSession:
 
 
 def _log_frames(spark, path):
-    log = files.run_log(spark, path).withColumn("item_id", F.monotonically_increasing_id())
+    log = files.numbered(files.run_log(spark, path))
     s = log.where("filter_decision is not null").select("item_id", F.explode("filter_decision.mode_verdicts").alias("mode", "v")).select("item_id", "mode", F.col("v.severity").alias("severity"))
     items = log.select("item_id", F.col("filter_decision.accepted").alias("accepted"), F.col("provenance.requested_difficulty").alias("requested_difficulty"), F.col("provenance.grounding_composition.solution_fraction").alias("f"))
     return items, s

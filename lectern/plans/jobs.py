@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import sqlite3
 from contextlib import closing
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import Fixtures, ctes
-from ..operators import cell_index, corpus, export, retrieval
-from ..scratch import new_folder
-from ..sources import course_files, exports, pdf, sqlite_store
+from ..operators import cell_index, corpus, export, retrieval, store
+from ..scratch import new_folder, written
+from ..sources import course_files, exports, files, pdf, sqlite_store
 from ..streaming import machine
 from . import catalogue, oracle
 from .catalogue import TOP_K, rounded
@@ -222,3 +223,89 @@ def sweep_export_questions(fx):
     quiz = F.from_json(F.col("content").cast("string"), f"quiz_id long, questions array<struct<{question.replace(' string', ':string')}>>")
     files = exports.read(fx.spark, path).where("file like 'quizzes/%'").select(quiz.alias("q"))
     return files.select("q.quiz_id", F.inline("q.questions"))
+
+
+def _keyed(fx: Fixtures) -> DataFrame:
+    """The items of the view with the store's key."""
+    return fx.item.select(
+        "item_id", "run_id", "configuration_id", F.col("competency_key").alias("topic_key"), F.col("item_id").cast("int").alias("item_index"), "language", "difficulty_band", "state", "failure"
+    )
+
+
+@job(f"""{ctes('fx_item')}, one AS (SELECT run_id, configuration_id, competency_key, CASE
+  WHEN state = 'PENDING' OR state LIKE 'GENERAT%' THEN 'GENERATED' WHEN failure = 'AUTH' THEN 'FAILED_GENERATION' WHEN failure IS NOT NULL THEN 'PENDING' ELSE 'FILTERED' END AS now FROM fx_item)
+SELECT run_id, now AS state, count(*) AS items, CAST(count(*) FILTER (now <> 'FILTERED') AS BIGINT) AS generation_attempts,
+ CAST(count(*) FILTER (now = 'FILTERED') AS BIGINT) AS filter_attempts, (SELECT count(*) FROM fx_item) AS created FROM one GROUP BY 1, 2""")
+def store_item_versions(fx):
+    """Items enqueued in two writes that overlap, then moved on by success and failure: each a new version, the newest counts."""
+    s, items = store.Store(fx.spark, new_folder(fx.spark)), _keyed(fx)
+    new = items.drop("state", "failure")
+    created = s.enqueue(new.where("item_index % 3 <> 0")) + s.enqueue(new) + s.enqueue(new.where("item_index % 2 = 0"))
+    had = items.select("item_id", F.col("failure").alias("why"), "state")
+    claimed = s.read("item").drop("state").join(had, "item_id")
+    to_filter = F.expr("not (state = 'PENDING' or state like 'GENERAT%') and why is null")
+    claimed = claimed.withColumn("state", F.when(to_filter, "FILTERING").otherwise("GENERATING"))
+    s.append("item", claimed.drop("why"))
+    before = s.read("item").join(had.select("item_id", "why", F.col("state").alias("had")), "item_id")
+    fine = F.expr("had = 'PENDING' or had like 'GENERAT%'")
+    done = before.where((F.col("state") == "GENERATING") & fine).withColumns(store.after_success("GENERATING"))
+    judged = before.where("state = 'FILTERING'").withColumns(store.after_success("FILTERING"))
+    category = F.col("why")
+    lost = before.where((F.col("state") == "GENERATING") & ~fine).withColumns(store.after_failure(category, store.may_retry(F.col("generation_attempts"), 3, category)))
+    for rows in (done, judged, lost):
+        s.append("item", written(rows.drop("why", "had")))
+    out = s.read("item").groupBy("run_id", "state").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("generation_attempts").alias("generation_attempts"), F.sum("filter_attempts").alias("filter_attempts")
+    )
+    return out.withColumn("created", F.lit(created).cast("long"))
+
+
+@job(f"""{ctes('fx_verdict', 'fx_question')}
+SELECT 'verdict' AS kind, judge_model AS name, count(*) AS rows, CAST(count(*) FILTER (CASE WHEN item_id % 5 = 0 THEN NOT accepted ELSE accepted END) AS BIGINT) AS told FROM fx_verdict GROUP BY 1, 2
+UNION ALL SELECT 'quiz', 'request' || (q % 3), count(*), CAST(count(*) FILTER (q % 4 = 0) AS BIGINT) FROM (SELECT DISTINCT quiz_id AS q FROM fx_question) GROUP BY 1, 2
+UNION ALL SELECT 'document', source, count(*), CAST(count(*) FILTER (doc_id % 7 = 0) AS BIGINT) FROM documents GROUP BY 1, 2
+UNION ALL SELECT 'attempt', event_type, count(*), CAST(count(*) FILTER (value > 10) AS BIGINT) FROM events GROUP BY 1, 2""")
+def store_replacements(fx):
+    """Verdicts, quizzes and document hashes written again for some of their keys, and attempts appended: what the store holds then."""
+    s = store.Store(fx.spark, new_folder(fx.spark))
+    v = fx.verdict.select("item_id", "judge_model", "scope", "accepted")
+    s.append("verdict", v)
+    s.append("verdict", v.where("item_id % 5 = 0").withColumn("accepted", ~F.col("accepted")))
+    quiz = fx.question.select(F.col("quiz_id").alias("q")).distinct().select(
+        F.concat(F.lit("quiz"), "q").alias("quiz_id"), F.lit("run").alias("run_id"), F.lit("c").alias("configuration_id"), F.concat(F.lit("request"), F.col("q") % 3).alias("request_key"),
+        F.col("q").cast("int").alias("repetition"), F.lit(False).alias("complete"),
+    )
+    s.append("quiz", quiz)
+    # another quiz id for the same place replaces it as well
+    s.append("quiz", quiz.where("repetition % 4 = 0").withColumns({"quiz_id": F.concat("quiz_id", F.lit("b")), "complete": F.lit(True)}))
+    d = fx.table("documents").select(F.col("source").alias("course_key"), F.col("doc_id").cast("string").alias("document"), F.sha2("text", 256).alias("content_hash"), "doc_id")
+    s.append("document", d)
+    s.append("document", d.where("doc_id % 7 = 0").withColumn("content_hash", F.lit("new")))
+    e = fx.table("events").select(F.col("event_id").alias("item_id"), F.col("event_type").alias("chosen_option"), (F.col("value") > 10).alias("correct"))
+    s.append("attempt", e)
+    count = lambda rows, kind, name, told: rows.groupBy(F.lit(kind).alias("kind"), F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("rows"), F.sum(told.cast("long")).alias("told"))
+    found = [
+        count(s.read("verdict"), "verdict", "judge_model", F.col("accepted")), count(s.read("quiz"), "quiz", "request_key", F.col("complete")),
+        count(s.read("document"), "document", "course_key", F.col("content_hash") == "new"), count(s.read("attempt"), "attempt", "chosen_option", F.col("correct")),
+    ]
+    return reduce(DataFrame.union, found)
+
+
+@job("""
+SELECT 'p' || p_partkey AS topic, p_name AS query, CAST(0 AS BIGINT) AS chunks FROM part WHERE p_partkey % 4 <> 0
+UNION ALL SELECT chunk_id, sha256(chunk_id), count(*) FROM (SELECT 'lec' || label AS chunk_id FROM embeddings) GROUP BY 1, 2""")
+def kept_files(fx):
+    """Topic files and the kept index, written, read back and checked against what they were made of."""
+    folder = new_folder(fx.spark)
+    # every fourth line is a comment or blank
+    line = F.expr("case when p_partkey % 8 = 0 then concat('# ', p_name) when p_partkey % 4 = 0 then '  ' else concat('  p', p_partkey, ' ') end")
+    fx.table("part").select(line.alias("value")).write.text(f"{folder}/topics")
+    names = fx.table("part").select(F.concat(F.lit("p"), "p_partkey").alias("topic"), F.col("p_name").alias("query"))
+    topics = files.topics(fx.spark, f"{folder}/topics").drop("query").join(names, "topic").select("topic", "query", "chunks")
+    index = retrieval.with_norm(fx.chunk.select("chunk_id", "embedding"))
+    files.write_index(index, "f1", f"{folder}/index")
+    if files.read_index(fx.spark, f"{folder}/index", "f2", index) is not None:
+        raise AssertionError("an index of another fingerprint was taken")
+    kept = files.read_index(fx.spark, f"{folder}/index", "f1", index)
+    lecture = F.substring_index("chunk_id", "/", 1)
+    return topics.union(kept.groupBy(lecture.alias("l")).agg(F.count(F.lit(1)).alias("n")).select("l", F.sha2(F.col("l").cast("binary"), 256), "n"))

@@ -9,7 +9,7 @@ from ..operators.export import FAN
 from ..operators.quality import BANNED, DANGLING
 from ..operators.reports import BUCKETS
 from ..schemas import FAILURE_MODES, thresholds
-from .catalogue import CHOICES, CHUNK_MOST, CHUNK_TARGET, COMPETENCIES, GATE, GPU_HIGH, GPU_LOW, JUDGES, RAW_SCORES, REQUESTS, RESULTS, STORED_QUIZZES, TITLES, TOP_K, UNITS
+from .catalogue import CHOICES, CHUNK_MOST, CHUNK_TARGET, COMPETENCIES, GATE, GPU_HIGH, GPU_LOW, JUDGES, RAW_SCORES, REQUESTS, RESULTS, STORED_QUIZZES, TEXTS, TITLES, TOP_K, UNITS
 
 ORACLES: dict[str, str] = {}
 
@@ -84,8 +84,8 @@ SELECT cell_key, coalesce(n, 0) AS existing, CAST(coalesce(n, 0) + more AS BIGIN
  hit AS (SELECT DISTINCT 'c' || (doc_id % 97 % 16) AS competency_key FROM dd JOIN changed c ON starts_with(dd.document || '.pdf#p1-2', c.document))""")
 sql("pool_grid", """
 SELECT row_number() OVER (ORDER BY o1, o2, o3, o4) AS position, concat_ws('|', course_key, competency_key, l, q, d) AS cell_key, q AS question_type FROM
- (SELECT *, CAST(substr(competency_key, 2) AS INTEGER) AS o1 FROM fx_request) r, (VALUES (0, 'de'), (1, 'en')) a(o2, l), (VALUES (0, 'single-choice'), (1, 'multiple-choice'), (2, 'true-false')) b(o3, q),
- (VALUES (0, 'easy'), (1, 'medium'), (2, 'hard')) c(o4, d)""", "fx_request")
+ (SELECT s_suppkey AS o1, 'n' || s_nationkey AS course_key, 'c' || s_suppkey AS competency_key FROM supplier) r, (VALUES (0, 'de'), (1, 'en')) a(o2, l),
+ (VALUES (0, 'single-choice'), (1, 'multiple-choice'), (2, 'true-false')) b(o3, q), (VALUES (0, 'easy'), (1, 'medium'), (2, 'hard')) c(o4, d)""")
 sql("items_missing_verdict", """
 SELECT item_id, competency_key, state FROM fx_item i WHERE configuration_id = 'pool|local' AND state IN ('GENERATED', 'FILTERING', 'FILTERED')
  AND NOT EXISTS (SELECT 1 FROM fx_verdict v WHERE v.item_id = i.item_id AND judge_model = 'judge-cloud' AND scope = 'GENERAL')""", "fx_item", "fx_verdict")
@@ -129,9 +129,10 @@ sql("defect_histogram", f"SELECT type, defect, count(*) AS n FROM (SELECT type,
 sql("item_length_stats", "SELECT item_id, length(title) AS title, length(question_text) AS question_text, CAST(0 AS BIGINT) AS explanation, list_max(list_transform(texts, lambda x: length(x))) AS longest_option FROM m", "fx_mcq", more=MCQ)
 sql("call_failure_classes", "SELECT coalesce(failure_category, 'none') AS category, coalesce(failure_category NOT IN ('AUTH', 'BAD_REQUEST'), true) AS retryable, count(*) AS calls FROM fx_call GROUP BY 1, 2", "fx_call")
 sql("http_classes", """
-SELECT CAST(a AS BIGINT) AS attempt, CAST(s AS BIGINT) AS status, k AS kind, k NOT IN ('AUTH', 'BAD_REQUEST') AS retryable, CAST(least(30000, 1000 * pow(2, a - 1)) AS BIGINT) AS backoff_ms FROM (
+SELECT call_id, attempt, s AS status, k AS kind, k NOT IN ('AUTH', 'BAD_REQUEST') AS retryable, CAST(least(30000, 1000 * pow(2, attempt - 1)) AS BIGINT) AS backoff_ms FROM (
  SELECT *, CASE WHEN s IN (401, 403) THEN 'AUTH' WHEN s = 429 THEN 'RATE_LIMIT' WHEN s = 408 THEN 'TIMEOUT' WHEN s >= 500 THEN 'TRANSPORT' WHEN s >= 400 THEN 'BAD_REQUEST' ELSE 'TRANSPORT' END AS k
- FROM (VALUES (1, 200), (2, 400), (3, 401), (4, 403), (5, 404), (6, 408), (7, 422), (8, 429), (9, 499), (10, 500), (11, 502), (12, 503)) x(a, s))""")
+ FROM (SELECT event_id AS call_id, event_id % 7 + 1 AS attempt, 395 + user_id * 7 % 130 AS s FROM events))""")
+
 
 
 def _cost(source: str, by: str) -> str:
@@ -224,7 +225,9 @@ sql("batch_plan", """
 SELECT item_id, competency_key, language, CAST(batch AS BIGINT) AS batch, row_number() OVER (PARTITION BY competency_key, language, batch ORDER BY item_id) - 1 AS batch_pos FROM (
  SELECT *, CASE WHEN i < x * (b + 1) THEN i // (b + 1) ELSE x + (i - x * (b + 1)) // b END AS batch FROM (SELECT *, n // calls AS b, n % calls AS x FROM (SELECT *, (n + 11) // 12 AS calls FROM (
   SELECT item_id, competency_key, language, row_number() OVER (PARTITION BY competency_key, language ORDER BY item_id) - 1 AS i, count(*) OVER (PARTITION BY competency_key, language) AS n FROM fx_item WHERE state = 'PENDING'))))""", "fx_item")
-sql("enqueue_ladder", "SELECT i, 't' || (i % 7) AS topic, i // 7 AS item_index, CAST([20, 40, 60, 80][CAST(i // 7 % 4 + 1 AS INTEGER)] AS BIGINT) AS level FROM range(100) r(i)")
+sql("enqueue_ladder", """
+SELECT i, 't' || (i % n) AS topic, i // n AS item_index, CAST([20, 40, 60, 80][CAST(i // n % 4 + 1 AS INTEGER)] AS BIGINT) AS level
+FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS i, (SELECT count(*) FROM supplier) AS n)""")
 sql("selection_cleanup", f"""
 SELECT request, id, rank FROM (SELECT request, id, row_number() OVER (PARTITION BY request ORDER BY pos) AS rank FROM (SELECT request, id, min(pos) AS pos FROM ({CHOICES}) WHERE id < 50 AND (id + request) % 3 <> 0 GROUP BY 1, 2)) WHERE rank <= 10""")
 sql("shortlist_batches", "SELECT competency_key, item_id AS id, (row_number() OVER (PARTITION BY competency_key ORDER BY item_id) - 1) // 40 AS batch FROM fx_item WHERE state = 'FILTERED'", "fx_item")
@@ -242,7 +245,8 @@ sql("unit_roles", rf"""
 SELECT document_id, lecture, unit, CASE WHEN contains(n, 'solution') OR contains(n, 'loesung') OR contains(n, 'lösung') THEN 'SOLUTION' WHEN starts_with(n, 'ce ') OR contains(n, 'central exercise') OR contains(n, 'demoaufgaben') THEN 'CENTRAL_EXERCISE'
  WHEN contains(n, 'tutorial') OR contains(n, 'uebungsaufgaben') OR contains(n, 'übungsaufgaben') THEN 'TUTORIAL' WHEN regexp_matches(n, '^[0-9]+[ _]') THEN 'LECTURE_DECK' ELSE 'OTHER' END AS role, {QUERY.format("lecture")} AS query
 FROM (SELECT *, lower(unit) AS n FROM (SELECT document_id, CASE WHEN contains(document_id, '/') THEN split_part(document_id, '/', 1) ELSE '(root)' END AS lecture, regexp_replace(regexp_replace(document_id, '^.*/', ''), '(?i)\.pdf$', '') AS unit
- FROM (SELECT unnest(string_split('{UNITS}', '|')) AS document_id)))""")
+ FROM (SELECT CASE WHEN contains(e, '/') THEN split_part(e, '/', 1) || ' ' || k || substr(e, length(split_part(e, '/', 1)) + 1) ELSE k || ' ' || e END AS document_id
+  FROM (SELECT p_partkey AS k, string_split('{UNITS}', '|')[p_partkey % 8 + 1] AS e FROM part))))""")
 sql("chunk_id_parts", f"""
 SELECT chunk_id, split_part(chunk_id, '#', 1) AS document, CAST(regexp_extract(chunk_id, '#p([0-9]+)-', 1) AS BIGINT) AS first_page, {LECTURE} AS lecture,
  CASE WHEN chunk_ord % 2 = 0 THEN 'Page ' || chunk_ord ELSE 'Pages ' || chunk_ord || '–' || (chunk_ord + 1) END AS pages FROM fx_chunk""", "fx_chunk")
@@ -281,6 +285,12 @@ SELECT *, (SELECT array_to_string(list_sort(list(DISTINCT judge_model)), ',') FR
   count(DISTINCT competency_key) AS competencies FROM fx_item WHERE configuration_id = 'pool|local')""", "fx_item", "fx_verdict")
 sql("judges_of_generators", """
 SELECT generator, string_agg(judge, ',' ORDER BY ord) AS judges, arg_min(judge, ord) AS primary_judge FROM (SELECT generator, judge, min(ord) AS ord FROM j WHERE approach = 'two-phase' GROUP BY 1, 2) GROUP BY 1""", more=f"j AS ({JUDGES})")
+sql("configuration_counts", "SELECT concat_ws('|', approach, generator, judge, selector) AS configuration_id, count(*) AS n, min(ord) AS first FROM j GROUP BY 1", more=f"j AS ({JUDGES})")
+sql("text_functions", r"""
+SELECT id, CASE WHEN trim(coalesce(query, '')) <> '' THEN query WHEN trim(description) = '' THEN title ELSE title || '. ' || replace(replace(description, chr(10), ' '), '- ', '') END AS retrieval_query,
+ replace(type, '-', '_') AS type_name, CASE lower(code) WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' ELSE code END AS language,
+ model = other OR starts_with(model, other || ':') OR starts_with(other, model || ':') AS same_model,
+ split_part(string_split(manifest, chr(10))[4], '=', 2) AS a, substr(string_split(manifest, chr(10))[2], 3) AS b FROM x""", more=f"x AS ({TEXTS})")
 sql("results_by_generator", f"""
 SELECT generator_id, metric_name, count(*) AS results, round(avg(score), 6) AS mean_score, 'question' AS scope FROM res JOIN (SELECT quiz_id, {NUMBERED} AS question_id, 'g' || (quiz_id % 3) AS generator_id FROM fx_question) s USING (quiz_id, question_id)
 WHERE applicable GROUP BY 1, 2 UNION ALL
