@@ -64,13 +64,14 @@ def item_groups(items: DataFrame, granularity: str = "topic", condition: str = "
     put = items.withColumn("group_key", group_key(granularity)).withColumn("condition", label).where("condition is not null")
     band = t.difficulty_band("requested_difficulty")
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    lectures = F.array_distinct(F.flatten(F.collect_set(F.filter("lectures", lambda x: x != ""))))
+    # all share one where the first and the last are the same
+    first, last = (f(F.filter("lectures", lambda x: x != "")) for f in (F.array_min, F.array_max))
     out = put.groupBy("group_key", "condition").agg(
         F.count(F.lit(1)).alias("item_count"), names("configuration_id").alias("configuration_ids"), names("run_id").alias("run_ids"), names("topic_key").alias("topics"),
-        F.when(F.count_distinct(band) == 1, F.min(band)).alias("difficulty"), lectures.alias("ls"),
+        F.when(F.min(band) == F.max(band), F.min(band)).alias("difficulty"), F.min(first).alias("l0"), F.max(last).alias("l1"),
     )
-    source = F.when(F.size("ls") == 1, F.element_at("ls", 1)).otherwise(".")
-    return out.withColumn("source_material", source).withColumn("quiz_id", F.concat(t.slug_file("group_key"), F.lit("__"), F.col("condition"))).drop("ls")
+    source = F.when(F.col("l0") == F.col("l1"), F.col("l0")).otherwise(".")
+    return out.withColumn("source_material", source).withColumn("quiz_id", F.concat(t.slug_file("group_key"), F.lit("__"), F.col("condition"))).drop("l0", "l1")
 
 
 def item_ids(items: DataFrame, group: list[str], order: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ BUCKETS = (("0%", 0.0, 0.0), ("1-25%", 0.0, 0.25), ("26-50%", 0.25, 0.5), (">50%
 def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Calls with ``priced, token_eur, billed_ms`` and the tokens that are billed. ``prices(model, billing, input_eur,
     output_eur)`` is a catalogue: one row a model."""
-    out = calls.join(F.broadcast(prices), "model", "left")
+    out = calls.join(prices, "model", "left")
     by_token = F.col("billing") == "tokens"
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     eur = n("prompt_tokens") / F.lit(1_000_000.0) * F.col("input_eur") + n("completion_tokens") / F.lit(1_000_000.0) * F.col("output_eur")
@@ -36,12 +36,21 @@ def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
 def cost(calls: DataFrame, prices: DataFrame, by: list[str], gpu_low: float, gpu_high: float) -> DataFrame:
     """Cost of each group: low and high (GPU hours at two rates), tokens, GPU time, exactness, models without a price.
     Failed calls cost too."""
-    agg = priced(calls, prices).groupBy(*by).agg(
-        F.sum("token_eur").alias("token_eur"), F.sum("billed_prompt").alias("prompt_tokens"), F.sum("billed_completion").alias("completion_tokens"), F.sum("billed_ms").alias("billed_ms"),
-        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("priced"), F.coalesce("model", F.lit("null"))))), ",").alias("unpriced_models"),
+    return _total(_sums(priced(calls, prices), by).withColumn("models", F.array_join("models", ",")), gpu_low, gpu_high)
+
+
+def _sums(calls: DataFrame, by: list[str]) -> DataFrame:
+    """What priced calls of a group add up to, and the models without a price."""
+    return calls.groupBy(*by).agg(
+        F.sum("token_eur").alias("token_eur"), F.sum("billed_prompt").alias("prompt_tokens"), F.sum("billed_completion").alias("completion_tokens"),
+        F.sum("billed_ms").alias("billed_ms"), F.array_sort(F.collect_set(F.when(~F.col("priced"), F.coalesce("model", F.lit("null"))))).alias("models"),
     )
+
+
+def _total(sums: DataFrame, gpu_low: float, gpu_high: float) -> DataFrame:
     hours = F.col("billed_ms") / F.lit(3_600_000.0)
-    return agg.withColumns({"low_eur": F.col("token_eur") + hours * gpu_low, "high_eur": F.col("token_eur") + hours * gpu_high, "exact": F.col("billed_ms") == 0}).drop("token_eur")
+    out = sums.withColumns({"low_eur": F.col("token_eur") + hours * gpu_low, "high_eur": F.col("token_eur") + hours * gpu_high, "exact": F.col("billed_ms") == 0})
+    return out.drop("token_eur").withColumnRenamed("models", "unpriced_models")
 
 
 def mid(low="low_eur", high="high_eur") -> Column:
@@ -51,15 +60,17 @@ def mid(low="low_eur", high="high_eur") -> Column:
 def cost_per_configuration(items: DataFrame, runs: DataFrame, calls: DataFrame, prices: DataFrame, gpu_low: float, gpu_high: float) -> DataFrame:
     """Items, accepted, failed and cost of each configuration over the registered runs: completed and failed items count,
     those of runs that were never registered (pools) don't. Per accepted item: null without one."""
-    seen = items.where(F.col("state").isin("FILTERED", "FAILED_GENERATION", "FAILED_FILTER")).join(F.broadcast(runs.select("run_id")), "run_id", "left_semi")
+    ended = items.where(F.col("state").isin("FILTERED", "FAILED_GENERATION", "FAILED_FILTER"))
+    seen = ended.join(runs.select("run_id").distinct(), "run_id", "left_semi")
+    # calls are summed up by item first, so that items are read and met once
+    one = seen.join(_sums(priced(calls, prices), ["item_id"]), "item_id", "left")
     done = F.col("state") == "FILTERED"
-    counts = seen.groupBy("configuration_id").agg(
-        F.sum(done.cast("long")).alias("items"), F.sum((done & F.coalesce(F.col("accepted"), F.lit(False))).cast("long")).alias("accepted"), F.sum((~done).cast("long")).alias("failed")
-    )
-    of = cost(calls.join(seen.select("item_id", "configuration_id"), "item_id"), prices, ["configuration_id"], gpu_low, gpu_high)
-    out = counts.join(of, "configuration_id", "left")
-    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("prompt_tokens", "completion_tokens", "billed_ms")} | {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("low_eur", "high_eur")}
-    out = out.withColumns(zero).withColumn("exact", F.coalesce("exact", F.lit(True))).withColumn("unpriced_models", F.coalesce("unpriced_models", F.lit("")))
+    n = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c)
+    agg = one.groupBy("configuration_id").agg(
+        F.sum(done.cast("long")).alias("items"), F.sum((done & F.coalesce(F.col("accepted"), F.lit(False))).cast("long")).alias("accepted"), F.sum((~done).cast("long")).alias("failed"),
+        n("token_eur"), n("prompt_tokens"), n("completion_tokens"), n("billed_ms"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("models")))), ",").alias("models"),
+    )
+    out = _total(agg, gpu_low, gpu_high)
     per = lambda c, n, none: F.when(F.col(n) == 0, none).otherwise(F.col(c) / F.col(n))
     none = F.lit(None).cast("double")
     return out.withColumns({"per_item_low": per("low_eur", "items", F.lit(0.0)), "per_item_high": per("high_eur", "items", F.lit(0.0)), "per_accepted_low": per("low_eur", "accepted", none), "per_accepted_high": per("high_eur", "accepted", none)})
@@ -78,7 +89,7 @@ def pool_cost(pool_calls: DataFrame, verdict_calls: DataFrame, generators: DataF
     apart by pool; ``scoped=True`` charges those whose ``generator`` is known to their own pool only."""
     own = pool_calls.select("generator", "model", "prompt_tokens", "completion_tokens", "wall_clock_ms")
     if scoped:
-        every = verdict_calls.select("generator", "model", "prompt_tokens", "completion_tokens", "wall_clock_ms").join(F.broadcast(generators), "generator", "left_semi")
+        every = verdict_calls.select("generator", "model", "prompt_tokens", "completion_tokens", "wall_clock_ms").join(generators, "generator", "left_semi")
     else:
         # summed by model first: what is repeated for each generator is a few rows
         every = priced(verdict_calls, prices).groupBy("model").agg(F.sum(F.coalesce("prompt_tokens", F.lit(0))).alias("prompt_tokens"), F.sum(F.coalesce("completion_tokens", F.lit(0))).alias("completion_tokens"), F.sum(F.coalesce("wall_clock_ms", F.lit(0))).alias("wall_clock_ms"))

@@ -94,7 +94,7 @@ def verdict_normalise(fx):
 
 @query
 def redecide_changes(fx):
-    items = fx.item.where("state = 'FILTERED'").join(F.broadcast(fx.run), "run_id", "left_semi").select("item_id")
+    items = fx.item.where("state = 'FILTERED'").join(fx.run, "run_id", "left_semi").select("item_id")
     s = fx.severity.join(items, "item_id", "left_semi")
     r = quality.redecide(s, quality.decide(s, 0.8), 0.6, GATE)
     return r.agg(F.count(F.lit(1)).alias("total"), F.sum(F.col("changed").cast("long")).alias("changed"), F.sum(F.col("accepted").cast("long")).alias("accepted"))
@@ -305,7 +305,7 @@ def hidden_questions(fx):
 
 @query
 def item_export_groups(fx):
-    items = _decided(fx).where("state = 'FILTERED'").join(F.broadcast(fx.run), "run_id", "left_semi").withColumn("topic_key", F.col("competency_key"))
+    items = _decided(fx).where("state = 'FILTERED'").join(fx.run, "run_id", "left_semi").withColumn("topic_key", F.col("competency_key"))
     lecture = F.when(F.col("requested_difficulty") > 20, F.concat(F.lit("lec"), F.substring("competency_key", 2, 2))).otherwise("")
     items = items.withColumn("lectures", F.array(lecture))
     out = export.item_groups(items, "configuration_topic", "split").withColumn("granularity", F.lit("configuration_topic"))
@@ -320,7 +320,7 @@ def threshold_sweep(fx):
 def _composed(fx):
     c = retrieval.composition(fx.chunk.withColumn("slot", F.col("chunk_ord") % 50), ["slot"])
     items = _decided(fx).where("state = 'FILTERED'").withColumn("slot", F.col("item_id") % 60)
-    return items.join(F.broadcast(c.select("slot", "solution_fraction")), "slot", "left").withColumn("bucket", reports.bucket_of(F.col("solution_fraction")))
+    return items.join(c.select("slot", "solution_fraction"), "slot", "left").withColumn("bucket", reports.bucket_of(F.col("solution_fraction")))
 
 
 MEANS = [f"mean_{m}" for m in ("factual_error", "ambiguous_correct_answer", "off_topic", "near_duplicate", "ill_formed_distractors", "competency_mismatch", "difficulty_mismatch", "instruction_violation")]

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus, export, quality, reports, retrieval, store
-from ..sources import config, files
+from ..operators.ranks import ranked
+from ..sources import config, course_files, exports, files
+from . import experiment
 
 
 def _session() -> SparkSession:
@@ -82,7 +86,7 @@ def export_benchmark(spark, a):
 
 
 def corpus_report(spark, a):
-    corpus.document_report(files.scan(spark, a.corpus).where("error is null").drop("error")).orderBy("document_id").show(1000, False)
+    corpus.document_report(course_files.pages(spark, a.corpus).where("error is null").drop("error")).orderBy("document_id").show(1000, False)
 
 
 def retrieval_only(spark, a):
@@ -115,9 +119,54 @@ def doctor(spark, a):
     return 1 if any(s == "BLOCKED" for _, s, _ in out) else 0
 
 
+def _roles(a, spark) -> dict:
+    """The roles that ``module:function`` makes of the model catalogue."""
+    module, _, name = a.clients.partition(":")
+    return getattr(importlib.import_module(module), name)(config.models(config.read_text(spark, a.models)))
+
+
+def _experiment(spark, a, roles=None) -> experiment.Experiment:
+    plan = config.sweep_plan(config.read_text(spark, a.plan))
+    if a.run_as:
+        plan = replace(plan, sweep=a.run_as)
+    asked = config.requests(config.read_text(spark, a.requests))
+    table = lambda name: spark.read.parquet(getattr(a, name))
+    tables = [table(x) for x in ("grounding", "material", "documents", "retrieved")]
+    return experiment.Experiment(spark, store.Store(spark, a.store), plan, asked, roles if roles is not None else _roles(a, spark), *tables)
+
+
+def run_experiment(spark, a):
+    """Start an experiment, or take it up where it stands; the same command does both."""
+    made = _experiment(spark, a).run()
+    print(f"{made['items']} pool items and {made['quizzes']} quizzes made, {_experiment(spark, a).work().count()} quizzes left")
+
+
+def run_plan(spark, a):
+    """Work off a run plan; ``--topic`` takes one of its topics alone."""
+    plan = config.run_plan(config.read_text(spark, a.plan))
+    if a.run_as:
+        plan = replace(plan, plan=a.run_as)
+    topics = spark.read.parquet(a.topics)
+    if chosen := [a.topic] if a.topic else list(plan.topics):
+        topics = topics.where(F.col("topic").isin(chosen))
+    topics = ranked(topics, [], ["position"]).select((F.col("__n") - 1).alias("position"), "topic", "grounding")
+    print(f"{experiment.run_plan(store.Store(spark, a.store), plan, topics, _roles(a, spark))} new items")
+
+
+def export_experiment(spark, a):
+    """Write a stored experiment as evaluator input, replacing the export there as a whole."""
+    quizzes = store.Store(spark, a.store).read("quiz")
+    asked = config.requests(config.read_text(spark, a.requests))
+    comps = spark.read.parquet(a.competencies)
+    exports.write_files(experiment.evaluator_files(spark, quizzes.where(F.col("run_id") == a.run), asked, comps), a.out)
+    print(exports.current(a.out))
+
+
 TASKS = {
     "count": (count, ["store"]), "experiment-status": (status, ["store"]), "cost": (cost, ["store", "pricing"]), "experiment-cost": (experiment_cost, ["store", "pricing", "?run"]), "sweep": (sweep, ["log"]), "report": (report, ["log"]),
     "redecide": (redecide, ["store"]), "failures": (failures, ["store"]), "export-benchmark": (export_benchmark, ["store", "out"]), "corpus-report": (corpus_report, ["corpus"]), "retrieval-only": (retrieval_only, ["index", "queries", "out"]),
+    **{name: (run_experiment, ["store", "plan", "requests", "models", "clients", "grounding", "material", "documents", "retrieved"]) for name in ("experiment", "resume")},
+    "run-plan": (run_plan, ["store", "plan", "topics", "models", "clients"]), "export-experiment": (export_experiment, ["store", "run", "requests", "competencies", "out"]),
     "plan": (plan, ["file"]), "doctor": (doctor, ["?requests", "?manifest", "?pricing", "?models", "?sweep"]),
 }
 
@@ -136,6 +185,10 @@ def parser() -> argparse.ArgumentParser:
         if name == "export-benchmark":
             t.add_argument("--export-granularity", choices=export.GRANULARITIES, default="configuration_topic")
             t.add_argument("--export-condition", choices=export.CONDITIONS, default="all")
+        if name in ("experiment", "resume", "run-plan"):
+            t.add_argument("--as", dest="run_as", help="another name to store it under")
+        if name == "run-plan":
+            t.add_argument("--topic")
         if name == "retrieval-only":
             t.add_argument("--top-k", type=int, default=12)
     return p

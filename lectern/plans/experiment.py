@@ -258,10 +258,16 @@ class Experiment:
     def export_files(self, competencies: DataFrame) -> DataFrame:
         """``file, content`` of the experiment's evaluator input, for :func:`lectern.sources.exports.write_files`."""
         quizzes = self.store.read("quiz").where(F.col("run_id") == self.plan.sweep)
-        questions = quizzes.select("quiz_id", F.posexplode("questions").alias("q_index", "q")).select("quiz_id", "q_index", F.col("q.item.question_text").alias("text"), F.col("q.competency_key").alias("competency_key"))
-        rows = [(r.key, r.course_key, r.language, r.topic or ", ".join(r.competency_keys), "UNDERSTAND") for r in self.requests]
-        asked = self.spark.createDataFrame(rows, "request_key string, course_key string, language string, objectives string, bloom string")
-        return export.sweep_files(quizzes.select("quiz_id", "request_key", "configuration_id"), questions, asked, competencies)
+        return evaluator_files(self.spark, quizzes, self.requests, competencies)
+
+
+def evaluator_files(spark: SparkSession, quizzes: DataFrame, requests: list[Request], competencies: DataFrame) -> DataFrame:
+    """``file, content`` of stored quizzes: see :func:`lectern.operators.export.sweep_files`."""
+    each = quizzes.select("quiz_id", F.posexplode("questions").alias("q_index", "q"))
+    questions = each.select("quiz_id", "q_index", F.col("q.item.question_text").alias("text"), F.col("q.competency_key").alias("competency_key"))
+    rows = [(r.key, r.course_key, r.language, r.topic or ", ".join(r.competency_keys), "UNDERSTAND") for r in requests]
+    asked = spark.createDataFrame(rows, "request_key string, course_key string, language string, objectives string, bloom string")
+    return export.sweep_files(quizzes.select("quiz_id", "request_key", "configuration_id"), questions, asked, competencies)
 
 
 def run_plan(s: store.Store, plan: RunPlan, topics: DataFrame, roles: dict[str, w.Role], levels: tuple[int, ...] = tuple(DIFFICULTIES.values()), keep=written, **how) -> int:

@@ -23,7 +23,7 @@ class ConfigError(ValueError):
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file through Spark's file systems."""
-    rows = spark.read.option("wholetext", True).text(path).collect()
+    rows = spark.read.text(path, wholetext=True).collect()
     if len(rows) != 1:
         raise ConfigError(f"{path}: expected one file")
     return rows[0].value

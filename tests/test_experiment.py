@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lectern.operators.store import Store
-from lectern.plans import experiment, model, workflow
+from lectern.plans import cli, experiment, model, workflow
 from lectern.sources import config, exports
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -142,3 +142,36 @@ def test_a_run_plan_is_worked_off_once(spark, tmp_path):
     assert {r.state for r in rows} == {"FILTERED"} and all(len(r.calls) == 2 for r in rows)
     before = calls(tmp_path)
     assert experiment.run_plan(s, plan, topics, roles) == 0 and calls(tmp_path) == before == {"g": 12, "j": 12}
+
+
+def client_roles(models):
+    """What the command line's ``--clients`` names."""
+    return {k: workflow.Role(m["model"], Scripted(os.environ["SCRIPTED_FOLDER"], k), max_attempts=1) for k, m in models.items()}
+
+
+def test_the_command_line_runs_resumes_and_exports(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setenv("SCRIPTED_FOLDER", str(tmp_path))
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    small = PLAN.replace("repetitions: 2", "repetitions: 1").split("  - {id: tp2")[0]
+    texts = {"plan.yml": small, "requests.yml": REQUESTS.split("- {key: b")[0], "models.yml": "{backends: {x: {}}, models: {g: {backend: x}, j: {backend: x, model: judge}}}"}
+    texts["run.yml"] = "{plan: p, items-per-topic: 2, configurations: [{id: c1, generator: g, filter: j}]}"
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    frames = {
+        "grounding": ([("a", "G")], "request_key string, grounding string"), "material": ([("PSE", "k1", "M")], "course_key string, competency_key string, grounding string"),
+        "documents": ([("PSE", "d1", "h1")], "course_key string, document string, content_hash string"), "retrieved": ([("k1", "d1#p1-2")], "competency_key string, chunk_id string"),
+        "topics": ([(3, "Trees", "G0"), (8, "Graphs", "G1")], "position long, topic string, grounding string"),
+        "competencies": ([("PSE", "k1", "Trees", "About trees", "APPLY")], "course_key string, competency_key string, title string, description string, taxonomy string"),
+    }
+    for name, (rows, kinds) in frames.items():
+        spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}")
+    at = lambda *names: [x for n in names for x in (f"--{n}", f"{tmp_path}/{n if n in frames or n == 'store' else n + '.yml'}")]
+    base = [*at("store", "plan", "requests", "models", "grounding", "material", "documents", "retrieved"), "--clients", f"{__name__}:client_roles", "--as", "again"]
+    assert cli.main(["experiment", *base]) == 0 and "2 quizzes made, 0 quizzes left" in capsys.readouterr().out
+    assert cli.main(["resume", *base]) == 0 and "0 pool items and 0 quizzes made" in capsys.readouterr().out
+    out = f"{tmp_path}/out"
+    assert cli.main(["export-experiment", *at("store", "requests", "competencies"), "--run", "again", "--out", out]) == 0
+    assert {r.file for r in exports.read(spark, out).select("file").collect()} == {f"{d}/again-{c}-a-r1.json" for d in ("quizzes", "sidecars", "instructions") for c in ("ag", "tp")}
+    run = ["run-plan", *at("store", "topics", "models"), "--plan", f"{tmp_path}/run.yml", "--clients", f"{__name__}:client_roles"]
+    assert cli.main([*run, "--topic", "Graphs"]) == 0 and cli.main(run) == 0
+    assert capsys.readouterr().out.split("\n")[-3:-1] == ["2 new items", "2 new items"]
