@@ -240,3 +240,24 @@ def http_kind(status) -> Column:
 def retryable(category) -> Column:
     """All but the two that fail alike on every attempt; unknown and null ones too."""
     return ~F.coalesce(col(category).isin("AUTH", "BAD_REQUEST"), F.lit(False))
+
+
+def percent(share, digits: int = 0) -> Column:
+    """A share as ``12%``; ``-`` where there is none."""
+    return F.coalesce(F.format_string(f"%.{digits}f%%", col(share).cast("double") * 100), F.lit("-"))
+
+
+def band(low, high) -> Column:
+    """Two amounts as ``low-high``, one if they are equal, ``n/a`` without them."""
+    low, high = col(low), col(high)
+    none = low.isNull() | high.isNull() | F.isnan(low.cast("double")) | F.isnan(high.cast("double"))
+    both = F.when(low == high, F.format_string("%.4f", low)).otherwise(F.format_string("%.4f-%.4f", low, high))
+    return F.when(none, "n/a").otherwise(both)
+
+
+def composition_text(counts, fraction, unknown) -> Column:
+    """``2 lecture deck, 1 solution, 1 unknown (25% solution)`` of a map from role to number, roles by name."""
+    named = F.transform(F.array_sort(F.map_entries(col(counts))), lambda e: F.concat(e["value"].cast("string"), F.lit(" "), F.replace(F.lower(e["key"]), F.lit("_"), F.lit(" "))))
+    rest = F.when(col(unknown) > 0, F.array(F.concat(col(unknown).cast("string"), F.lit(" unknown")))).otherwise(F.array().cast("array<string>"))
+    parts = F.concat(F.coalesce(named, F.array().cast("array<string>")), rest)
+    return F.concat(F.array_join(parts, ", "), F.lit(" ("), percent(fraction), F.lit(" solution)"))

@@ -221,14 +221,23 @@ def csv_line(*cells) -> Column:
     return F.concat_ws(",", *map(quoted, cells))
 
 
-def evaluator_config(name: str, metrics: dict[str, str], disabled: tuple[str, ...] = (), runs: int = 3) -> str:
+#: The evaluator's metrics with their versions, and those that need more than single quizzes or the material.
+METRICS = {
+    "accuracy": "1.2", "answer_key_correctness": "1.0", "objective_alignment": "1.0", "cognitive_level": "1.0", "clarity": "2.0", "distractor_quality": "2.0",
+    "absence_of_cueing": "1.0", "grammatical_correctness": "2.1", "difficulty": "1.2", "coverage": "1.6", "homogeneous_options": "2.0",
+    "cross_item_redundancy": "1.0", "difficulty_spread": "1.0", "objective_balance": "1.0",
+}
+OFF = ("coverage", "cross_item_redundancy", "difficulty_spread", "objective_balance")
+
+
+def evaluator_config(name: str, metrics: dict[str, str] | None = None, disabled: tuple[str, ...] = OFF, runs: int = 3) -> str:
     """An evaluator's configuration in YAML: one independent judge, the metrics with their versions, the folders of an export."""
     import yaml
 
     root = {
         "benchmark": {"name": name, "version": "1.0.0", "runs": runs},
         "evaluators": {"independent_judge": {"provider": "openai_compatible", "model": "<a model that made or judged none of these questions>", "temperature": 1.0, "max_tokens": 8000}},
-        "metrics": [{"name": m, "version": v, "evaluators": ["independent_judge"], "enabled": m not in disabled} for m, v in metrics.items()],
+        "metrics": [{"name": m, "version": v, "evaluators": ["independent_judge"], "enabled": m not in disabled} for m, v in (metrics or METRICS).items()],
         "inputs": {"quiz_directory": "quizzes", "source_directory": "<path to the course material>", "instructions_directory": "instructions"},
         "outputs": {"results_directory": "results", "aggregate": True},
     }

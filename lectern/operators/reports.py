@@ -12,6 +12,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..schemas import FAILURE_MODES, OPEN_STATES, thresholds
 from .quality import worst_modes
 
@@ -226,3 +227,26 @@ def judges_of_generators(configurations: DataFrame) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("ord", "judge")))["judge"]
     out = first.groupBy("generator").agg(listed.alias("judges"))
     return out.withColumn("primary_judge", F.element_at("judges", 1))
+
+
+def cost_table(costs: DataFrame) -> DataFrame:
+    """The cells of the cost report of :func:`cost_per_configuration`, as they are printed."""
+    rate = F.when(F.col("items") > 0, F.col("accepted") / F.col("items"))
+    of = lambda name: t.band(f"{name}low{'_eur' if not name else ''}", f"{name}high{'_eur' if not name else ''}")
+    return costs.select(
+        "configuration_id", "items", "accepted", "failed", t.percent(rate).alias("accept_rate"), of("").alias("total_eur"), of("per_item_").alias("eur_per_item"),
+        of("per_accepted_").alias("eur_per_accepted"),
+    )
+
+
+def export_totals(items: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row: completed items of the registered runs, accepted ones, and their configurations."""
+    done = items.where("state = 'FILTERED'").join(runs.select("run_id").distinct(), "run_id", "left_semi")
+    each = done.groupBy("configuration_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("accepted"), F.lit(False)).cast("long")).alias("ok"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return each.agg(zero("n").alias("items"), zero("ok").alias("accepted"), F.count(F.lit(1)).alias("configurations"))
+
+
+def generation_totals(questions: DataFrame) -> DataFrame:
+    """``configuration_id, generated, accepted`` of ``questions(configuration_id, accepted)`` made at request time."""
+    return questions.groupBy("configuration_id").agg(F.count(F.lit(1)).alias("generated"), F.sum(F.coalesce(F.col("accepted"), F.lit(False)).cast("long")).alias("accepted"))

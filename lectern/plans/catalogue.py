@@ -560,3 +560,25 @@ def text_functions(fx):
         "id", t.retrieval_query("query", "title", "description").alias("retrieval_query"), t.type_name("type").alias("type_name"), t.language_name("code").alias("language"),
         t.same_model("model", "other").alias("same_model"), m["a"].alias("a"), m["b"].alias("b"),
     )
+
+
+@query
+def cost_report(fx):
+    c = reports.cost_per_configuration(_decided(fx), fx.run, fx.call, fx.price, GPU_LOW, GPU_HIGH)
+    money = ("low_eur", "high_eur", "per_item_low", "per_item_high", "per_accepted_low", "per_accepted_high")
+    return reports.cost_table(c.withColumns({m: F.round(m, 6) for m in money}))
+
+
+@query
+def grounding_descriptions(fx):
+    s = _top(fx)
+    told = retrieval.composition(s, ["query_id"]).join(retrieval.role_counts(s, ["query_id"]), "query_id", "left")
+    return told.select("query_id", t.composition_text("counts_by_role", "solution_fraction", "unknown_roles").alias("composition"))
+
+
+@query
+def page_totals(fx):
+    items = _decided(fx)
+    made = items.where("configuration_id like 'agentic|%' and state = 'FILTERED'")
+    whole = reports.export_totals(items, fx.run).select(F.lit("export").alias("page"), "items", "accepted", "configurations")
+    return whole.union(reports.generation_totals(made).select(F.col("configuration_id"), "generated", "accepted", F.lit(1).cast("long")))

@@ -295,3 +295,21 @@ sql("results_by_generator", f"""
 SELECT generator_id, metric_name, count(*) AS results, round(avg(score), 6) AS mean_score, 'question' AS scope FROM res JOIN (SELECT quiz_id, {NUMBERED} AS question_id, 'g' || (quiz_id % 3) AS generator_id FROM fx_question) s USING (quiz_id, question_id)
 WHERE applicable GROUP BY 1, 2 UNION ALL
 SELECT 'g' || (quiz_id % 3), metric_name, count(*), round(avg(score), 6), 'quiz' FROM res WHERE applicable AND question_id IS NULL AND quiz_id IN (SELECT quiz_id FROM fx_question) GROUP BY 1, 2""", "fx_question", more=f"res AS ({RESULTS})")
+
+_pct = lambda x: f"CAST(floor(({x}) * 100 + 0.5e0) AS BIGINT) || '%'"
+# amounts of six digits are rounded half up in decimals, as Java prints them
+_four = lambda x: f"CAST(round(CAST({x} AS DECIMAL(18, 6)), 4) AS DECIMAL(18, 4))::VARCHAR"
+_band = lambda a, b: f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN 'n/a' WHEN {a} = {b} THEN {_four(a)} ELSE {_four(a)} || '-' || {_four(b)} END"
+ORACLES["cost_report"] = f"""SELECT configuration_id, items, accepted, failed, CASE WHEN items = 0 THEN '-' ELSE {_pct("accepted / items")} END AS accept_rate,
+ {_band("low_eur", "high_eur")} AS total_eur, {_band("per_item_low", "per_item_high")} AS eur_per_item, {_band("per_accepted_low", "per_accepted_high")} AS eur_per_accepted
+FROM ({ORACLES["cost_per_configuration"]})"""
+sql("grounding_descriptions", f"""
+SELECT query_id, array_to_string(list_filter([CASE WHEN decks > 0 THEN decks || ' lecture deck' END, CASE WHEN solutions > 0 THEN solutions || ' solution' END, CASE WHEN tutorials > 0 THEN tutorials || ' tutorial' END,
+  CASE WHEN unknown > 0 THEN unknown || ' unknown' END], lambda x: x IS NOT NULL), ', ') || ' (' || {_pct("solutions / n")} || ' solution)' AS composition
+FROM (SELECT query_id, count(*) AS n, count(*) FILTER (role = 'LECTURE_DECK') AS decks, count(*) FILTER (role = 'SOLUTION') AS solutions, count(*) FILTER (role = 'TUTORIAL') AS tutorials,
+  count(*) FILTER (role IS NULL) AS unknown FROM top GROUP BY 1)""", "fx_chunk", more=TOP)
+sql("page_totals", """
+SELECT 'export' AS page, count(*) AS items, CAST(count(*) FILTER (accepted) AS BIGINT) AS accepted, count(DISTINCT configuration_id) AS configurations
+FROM items WHERE state = 'FILTERED' AND run_id IN (SELECT run_id FROM fx_run)
+UNION ALL SELECT configuration_id, count(*), CAST(count(*) FILTER (accepted) AS BIGINT), 1 FROM items WHERE configuration_id LIKE 'agentic|%' AND state = 'FILTERED' GROUP BY 1""",
+    "fx_item", "fx_severity", "fx_run", more=DECIDED)

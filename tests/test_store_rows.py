@@ -36,3 +36,18 @@ def test_records_of_a_log_keep_their_numbers(spark, tmp_path):
     s = files.severities_of(files.run_log(spark, f"file://{tmp_path}/log.jsonl"))
     assert s.count() == 6 and s.select("item_id").distinct().count() == 3
     assert s.alias("a").join(s.alias("b"), ["item_id", "mode"]).count() == 6
+
+
+def test_printed_forms(spark):
+    import yaml
+
+    from lectern.functions import text as t
+    from lectern.operators import export
+
+    none = float("nan")
+    rows = [(0.125, 1.0, 2.0, {"SOLUTION": 1, "LECTURE_DECK": 3}, 0.25, 0), (None, 1.5, 1.5, {}, 0.0, 2), (1.0, none, 1.0, None, 0.0, 0)]
+    df = spark.createDataFrame(rows, "share double, low double, high double, counts map<string, int>, fraction double, unknown int").coalesce(1)
+    found = df.select(t.percent("share").alias("p"), t.band("low", "high").alias("b"), t.composition_text("counts", "fraction", "unknown").alias("c")).collect()
+    assert [tuple(r) for r in found] == [("13%", "1.0000-2.0000", "3 lecture deck, 1 solution (25% solution)"), ("-", "1.5000", "2 unknown (0% solution)"), ("100%", "n/a", " (0% solution)")]
+    metrics = {m["name"]: m["enabled"] for m in yaml.safe_load(export.evaluator_config("x"))["metrics"]}
+    assert len(metrics) == 14 and not metrics["coverage"] and metrics["clarity"]
