@@ -244,7 +244,7 @@ def retryable(category) -> Column:
 
 def percent(share, digits: int = 0) -> Column:
     """A share as ``12%``; ``-`` where there is none."""
-    return F.coalesce(F.format_string(f"%.{digits}f%%", col(share).cast("double") * 100), F.lit("-"))
+    return F.when(col(share).isNull(), "-").otherwise(F.format_string(f"%.{digits}f%%", col(share).cast("double") * 100))
 
 
 def band(low, high) -> Column:
