@@ -1,4 +1,4 @@
-"""Hand-labelled layouts that train nothing: main text stands between [[ and ]]."""
+"""Hand-labelled layouts: main text stands between [[ and ]]. Most words of the first six stand in `labelled_pages` as well."""
 
 LABELLED = (
     """<html><head><title>Tide tables</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/c>Contact us</a></li></ul></nav><article>[[<h1>Tide tables for the north shore</h1><p>The spring tide reaches the quay shortly after noon and turns within the hour.</p><p>Small boats should leave the harbour <b>before ten</b>, when the bar is still covered, and not come back until evening.</p><p>Fishing from the pier is allowed<br>at all hours,<br>also<br>at night.</p>]]</article><footer>&copy; Harbour office. All rights reserved.</footer></body></html>""",

@@ -472,7 +472,7 @@ def test_html_pages():
     w = html_extract.learn()
     text = lambda p: html_extract.main_text(p, w)
     equal, right, wrong, missed = 0, 0, 0, 0
-    for page in LABELLED:  # none of them was trained on
+    for page in LABELLED:
         inside = re.sub(r"<[^>]*>", " ", " ".join(re.findall(r"\[\[(.*?)\]\]", page, re.S))).split()
         found = text(page.replace("[[", "").replace("]]", "")).split()
         equal += "".join(found) == "".join(inside)
