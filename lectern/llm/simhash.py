@@ -204,13 +204,13 @@ def _described(docs: DataFrame, late, words: int, similarity) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(found.tobytes(), SEED))
                 sizes.append(len(found))
                 bits.append(near_copies.parities(found))
-                heads.append(near_copies.prefix(found, known, at, similarity).tobytes() if len(found) else b"")
-            made = [pa.array(x, t) for x, t in ((fps, pa.int64()), (digests, pa.binary()), (sizes, pa.int64()), (heads, pa.binary()))]
+                heads.append(near_copies.prefix(found, known, at, similarity) if len(found) else found)
+            made = [pa.array(x, t) for x, t in ((fps, pa.int64()), (digests, pa.binary()), (sizes, pa.int64()), (heads, pa.list_(pa.int64())))]
             made += [pa.array(x) for x in np.array(bits, np.int64).reshape(-1, 8).T]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names)
 
     names = ["id", "sha", "fp", "digest", "size", "heads", *near_copies.BITS]
-    kinds = "id long, sha binary, fp long, digest binary, size long, heads binary, " + ", ".join(f"{x} long" for x in near_copies.BITS)
+    kinds = "id long, sha binary, fp long, digest binary, size long, heads array<long>, " + ", ".join(f"{x} long" for x in near_copies.BITS)
     made = docs.select("id", "sha", "text").mapInArrow(freeing(run), kinds)
     return materialize(made.withColumn("node", F.monotonically_increasing_id()))  # written, so a row's number stays
 
