@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import corpus, export, quality, reports, retrieval, store
 from ..operators.ranks import ranked
 from ..sources import config, course_files, exports, files
-from . import experiment
+from . import experiment, readiness
 
 
 def _session() -> SparkSession:
@@ -104,19 +104,19 @@ def plan(spark, a):
 
 def doctor(spark, a):
     """Checks that need no network: each is OK, WARN or BLOCKED; ready without a BLOCKED one."""
-    out = []
-    for name, f in (("requests", config.requests), ("manifest", config.manifest), ("pricing", config.pricing), ("models", config.models), ("sweep", config.sweep_plan)):
-        path = getattr(a, name)
-        if not path:
-            out.append((name, "WARN", "not given"))
-            continue
-        try:
-            f(config.read_text(spark, path))
-            out.append((name, "OK", path))
-        except Exception as e:
-            out.append((name, "BLOCKED", str(e)))
-    spark.createDataFrame(out, "check string, status string, detail string").show(100, False)
-    return 1 if any(s == "BLOCKED" for _, s, _ in out) else 0
+    out, held = readiness.parsed(spark, {n: getattr(a, n) for n in ("requests", "manifest", "pricing", "models", "sweep")})
+    if a.store:
+        out.append(readiness.store(a.store))
+    if a.corpus:
+        out += readiness.corpus(spark, a.corpus)
+    if a.index:
+        out.append(readiness.index(spark, a.index))
+    if {"sweep", "models", "requests"} <= set(held):
+        out += readiness.plan(held["sweep"], held["models"], held.get("pricing", config.Pricing()), held["requests"])
+    if {"manifest", "requests"} <= set(held) and a.corpus and readiness.ready(out):
+        out += readiness.courses(held["requests"], {held["manifest"].course_key: held["manifest"]}, course_files.files(spark, a.corpus))
+    spark.createDataFrame([(c.name, c.status, c.detail) for c in out], "check string, status string, detail string").show(100, False)
+    return 0 if readiness.ready(out) else 1
 
 
 def _roles(a, spark) -> dict:
@@ -167,7 +167,7 @@ TASKS = {
     "redecide": (redecide, ["store"]), "failures": (failures, ["store"]), "export-benchmark": (export_benchmark, ["store", "out"]), "corpus-report": (corpus_report, ["corpus"]), "retrieval-only": (retrieval_only, ["index", "queries", "out"]),
     **{name: (run_experiment, ["store", "plan", "requests", "models", "clients", "grounding", "material", "documents", "retrieved"]) for name in ("experiment", "resume")},
     "run-plan": (run_plan, ["store", "plan", "topics", "models", "clients"]), "export-experiment": (export_experiment, ["store", "run", "requests", "competencies", "out"]),
-    "plan": (plan, ["file"]), "doctor": (doctor, ["?requests", "?manifest", "?pricing", "?models", "?sweep"]),
+    "plan": (plan, ["file"]), "doctor": (doctor, ["?requests", "?manifest", "?pricing", "?models", "?sweep", "?store", "?corpus", "?index"]),
 }
 
 

@@ -207,11 +207,14 @@ class Experiment:
         })
 
     def _agentic(self, put: DataFrame, c) -> DataFrame:
-        asked = put.select("request_key", "topic", "types", "difficulty", "instructions", "n", "grounding")
+        asked = put.select("request_key", "topic", "types", "difficulty", "instructions", "n", "grounding", (F.size("competency_keys") > 0).alias("by_competency"))
         questions, calls = w.agentic(asked, self.roles[c.generator], self.roles[c.judge], self.keep, self.threshold, self.gating, self.plan.max_rounds)
-        q = questions.select(
+        # a request for one competency needs no match; of several it is the one whose key the question names
+        told = F.lower(t.strip(F.regexp_replace(F.coalesce("competency", F.lit("")), r"\s*\([^()]*\)$", "")))
+        named = F.get(F.filter("competency_keys", lambda k: (F.size("competency_keys") == 1) | (F.lower(k) == told)), F.lit(0))
+        q = questions.join(put.select("request_key", "competency_keys"), "request_key").select(
             "request_key", F.struct("round", "pos").alias("place"), (F.col("status") == "accepted").alias("accepted"),
-            F.struct("item", "decision", F.lit(None).cast("string").alias("competency_key")).alias("question"),
+            F.struct("item", "decision", named.alias("competency_key")).alias("question"),
         )
         return self._quizzes(put, q, calls.select("request_key", "call"), None)
 

@@ -16,13 +16,7 @@ from ..operators import pool, quality, store
 from ..operators.export import render_options
 from ..schemas import SCOPES
 from . import model as m
-
-GENERATE_SYSTEM = "You write quiz questions from lecture material. Answer with JSON only."
-GENERATE_USER = "Write {{count}} question(s) of the types {{types}} at difficulty {{difficulty}}.\nTopic or competencies:\n{{topic}}\nInstructions: {{instructions}}\n{{grounding}}"
-FILTER_SYSTEM = "You judge quiz questions. For each failure mode give a severity from 0 to 1. Answer with JSON only."
-FILTER_USER = "Judge the modes {{modes}}.\nTitle: {{title}}\nQuestion: {{question}}\n{{options}}\n{{grounding}}"
-SELECT_SYSTEM = "You select quiz questions. Answer with JSON only."
-SELECT_USER = "Select {{count}} of these candidates by id.\n{{candidates}}"
+from .prompts import FILTER_SYSTEM, GENERATE, GENERATE_SYSTEM, SELECT, SELECT_SYSTEM, judging
 
 
 @dataclass(frozen=True)
@@ -44,7 +38,12 @@ def fill(template: str, **columns) -> object:
 
 
 def _judge(items: DataFrame, key: list[str], role: Role, scope: str, threshold: float, gating: tuple[str, ...] | None, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    prompts = items.select(*key, F.lit(FILTER_SYSTEM).alias("system"), fill(FILTER_USER, modes=F.lit(", ".join(SCOPES[scope])), title="item.title", question="item.question_text", options=render_options("item.options"), grounding="grounding").alias("user"))
+    asked = F.col("request") if "request" in items.columns else F.lit("(none)")
+    prompt = fill(
+        judging(scope), modes=F.lit(", ".join(SCOPES[scope])), request=asked, title="item.title", question="item.question_text",
+        options=render_options("item.options"), grounding="grounding",
+    )
+    prompts = items.select(*key, F.lit(FILTER_SYSTEM).alias("system"), prompt.alias("user"))
     return keep(m.decisions(keep(m.call_models(prompts, role.client, "filter", role.model, role.temperature, role.max_attempts, key)), key, scope, threshold, gating, role.model))
 
 
@@ -55,7 +54,9 @@ def agentic(requests: DataFrame, generator: Role, judge: Role, keep: Callable[[D
     missing; texts seen before are skipped, judged or not; the first judged round that adds nothing ends a request, a round
     whose generation failed doesn't. ``keep`` writes a DataFrame and reads it back.
 
-    Returns ``request_key, round, pos, item, decision, status`` and ``request_key, round, call``.
+    A ``by_competency`` column, where there is one, says which requests name competencies: each question tells its own then.
+
+    Returns ``request_key, round, pos, item, competency, decision, status`` and ``request_key, round, call``.
     """
     gate = tuple(dict.fromkeys([*(gating or ()), *SCOPES["REQUEST_FIT"]])) if gating else None
     open_ = keep(requests.select("request_key", F.col("n").alias("missing")))
@@ -64,7 +65,7 @@ def agentic(requests: DataFrame, generator: Role, judge: Role, keep: Callable[[D
         if open_.isEmpty():
             break
         now = requests.join(open_, "request_key")
-        prompts = now.select("request_key", F.lit(GENERATE_SYSTEM).alias("system"), fill(GENERATE_USER, count="missing", types=F.array_join("types", ", "), difficulty="difficulty", topic="topic", instructions=F.coalesce("instructions", F.lit("(none)")), grounding="grounding").alias("user"))
+        prompts = now.select("request_key", F.lit(GENERATE_SYSTEM).alias("system"), _asking(now).alias("user"))
         replies = keep(m.call_models(prompts, generator.client, "generation", generator.model, generator.temperature, generator.max_attempts, ["request_key"]))
         found = keep(m.generated_questions(replies.join(requests.select("request_key", "types"), "request_key"), ["request_key"], F.col("types")).withColumn("round", F.lit(round_)))
         made = m.generation_failure(replies, found, ["request_key"]).select("request_key", F.lit(round_).alias("round"), "call")
@@ -72,14 +73,15 @@ def agentic(requests: DataFrame, generator: Role, judge: Role, keep: Callable[[D
         seen = usable.groupBy("request_key", "__t").agg(F.min("pos").alias("pos"))
         if questions is not None:
             seen = seen.join(questions.select("request_key", t.normalise("item.question_text").alias("__t")), ["request_key", "__t"], "left_anti")
-        new = usable.join(seen, ["request_key", "__t", "pos"], "left_semi").drop("__t").join(requests.select("request_key", "grounding"), "request_key")
+        of = F.concat_ws("; ", F.array_join("types", ", "), "difficulty", "topic", "instructions")
+        new = usable.join(seen, ["request_key", "__t", "pos"], "left_semi").drop("__t").join(requests.select("request_key", "grounding", of.alias("request")), "request_key")
         judged = _judge(keep(new), ["request_key", "round", "pos"], judge, "COMBINED", threshold, gate, keep)
-        put = new.drop("grounding", "defect").join(judged, ["request_key", "round", "pos"]).join(open_, "request_key")
+        put = new.drop("grounding", "defect", "request").join(judged, ["request_key", "round", "pos"]).join(open_, "request_key")
         counted = put.where("decision is not null").withColumn("ok", F.col("decision.accepted"))
         before = F.coalesce(F.sum(F.col("ok").cast("int")).over(_order("request_key", "pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         # once a request has enough, the rest of its batch doesn't count
         status = counted.withColumn("before", before).where("before < missing").withColumn("status", F.when(F.col("ok"), "accepted").otherwise("rejected"))
-        batch = keep(status.select("request_key", "round", "pos", "item", "decision", "status"))
+        batch = keep(status.select("request_key", "round", "pos", "item", "competency", "decision", "status"))
         questions = batch if questions is None else keep(questions.unionByName(batch))
         spent = keep(made.unionByName(judged.select("request_key", "round", "call")))
         calls = spent if calls is None else calls.unionByName(spent)
@@ -90,6 +92,16 @@ def agentic(requests: DataFrame, generator: Role, judge: Role, keep: Callable[[D
     return questions, calls
 
 
+def _asking(requests: DataFrame):
+    """The prompt that asks for what a request is still missing."""
+    put = {
+        "count": "missing", "types": F.array_join("types", ", "), "difficulty": "difficulty", "topic": "topic",
+        "instructions": F.coalesce("instructions", F.lit("(none)")), "grounding": "grounding",
+    }
+    plain = fill(GENERATE["topic"], **put)
+    return F.when(F.col("by_competency"), fill(GENERATE["competencies"], **put)).otherwise(plain) if "by_competency" in requests.columns else plain
+
+
 def _order(key: str, pos: str) -> WindowSpec:
     return Window.partitionBy(key).orderBy(pos)
 
@@ -102,7 +114,7 @@ def two_phase(requests: DataFrame, candidates: DataFrame, selector: Role, keep:
         line = F.concat(F.lit("["), F.col("id").cast("string"), F.lit("] "), F.col("item.title"), F.lit("\n"), F.col("item.question_text"), F.lit("\n"), render_options("item.options"))
         listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("x")))), lambda x: x["x"]), "\n\n")
         prompts = some.groupBy(*key).agg(listed.alias("candidates")).join(n, "request_key")
-        prompts = prompts.select(*key, F.lit(SELECT_SYSTEM).alias("system"), fill(SELECT_USER, count="n", candidates="candidates").alias("user"))
+        prompts = prompts.select(*key, F.lit(SELECT_SYSTEM).alias("system"), fill(SELECT, count="n", candidates="candidates").alias("user"))
         replies = keep(m.call_models(prompts, selector.client, "selection", selector.model, selector.temperature, selector.max_attempts, key))
         chosen, spent = m.selections(replies, some.select(*key, "id"), key, 1 << 30)
         return keep(chosen.join(n, "request_key").where("rank <= n").drop("n")), keep(spent.select("request_key", "call"))
@@ -124,7 +136,7 @@ def build_pool(items: DataFrame, generator: Role, judge: Role, keep: Callable[[D
     """
     put = keep(pool.batches(items, batch_size, ["cell_key"], ["item_id"]))
     each = put.groupBy("cell_key", "batch").agg(F.count(F.lit(1)).alias("n"), F.first("question_type").alias("kind"), F.first("difficulty_band").alias("difficulty"), F.first("grounding").alias("grounding"))
-    prompts = each.select("cell_key", "batch", F.lit(GENERATE_SYSTEM).alias("system"), fill(GENERATE_USER, count="n", types="kind", difficulty="difficulty", topic="cell_key", instructions=F.lit("(none)"), grounding="grounding").alias("user"))
+    prompts = each.select("cell_key", "batch", F.lit(GENERATE_SYSTEM).alias("system"), fill(GENERATE["cell"], count="n", types="kind", difficulty="difficulty", topic="cell_key", instructions=F.lit("(none)"), grounding="grounding").alias("user"))
     key = ["cell_key", "batch"]
     replies = keep(m.call_models(prompts, generator.client, "generation", generator.model, generator.temperature, generator.max_attempts, key))
     found = m.generated_questions(replies.join(each.select(*key, "kind"), key), key, F.array("kind"))

@@ -276,3 +276,17 @@ def test_mappings():
     assert man.by_key("alpha").documents == ["01 A/a.pdf"] and man.by_key("beta").documents == []
     r = config.requests(REQUEST.replace("[x]", "[a, b]"))
     assert [(x.key, x.competency_keys) for x in config.split_requests(r)] == [("a-a", ("a",)), ("a-b", ("b",))]
+
+
+def test_prompts_of_each_kind(spark):
+    from lectern.plans import prompts
+
+    rows = [("a", "Trees", False), ("b", "k1, k2", True)]
+    df = spark.createDataFrame(rows, "request_key string, topic string, by_competency boolean").selectExpr(
+        "*", "2 as missing", "array('single-choice') as types", "'easy' as difficulty", "cast(null as string) as instructions", "'G' as grounding"
+    )
+    a, b = (r.u for r in df.select("request_key", w._asking(df).alias("u")).orderBy("request_key").collect())
+    assert a.startswith("Write 2 question(s) of the types single-choice at difficulty easy.\nTopic: Trees\n") and a.endswith("Instructions: (none)\nG") and "competency" not in a
+    assert "k1, k2" in b and '"competency"' in b and "{{" not in a + b
+    assert all(f"- {x}: " in prompts.judging(s) for s, modes in SCOPES.items() for x in modes)
+    assert "{{request}}" in prompts.judging("COMBINED") and "{{request}}" not in prompts.judging("GENERAL") and set(prompts.MODES) == set(FAILURE_MODES)
