@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from .retrieval import _best, with_norm
+from .retrieval import _best, matrix, with_norm
 
 #: Bounds: vectors that the centres are made from, centres, and rows of a cell (or queries of one) that a task holds.
 SAMPLE, CELLS, SLICE = 20_000, 2048, 4096
@@ -46,18 +46,6 @@ class CellIndex:
         return sum(self.size.values())
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Lists of numbers as rows of doubles, from their flat buffer; shorter ones end in zeros."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    length = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    out = np.zeros((len(length), max(1, int(length.max(initial=1)))))
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
-    out[np.repeat(np.arange(len(length)), length), at] = flat
-    return out
-
-
 def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Which lists have the length and a direction, and their unit vectors."""
     length = pc.list_value_length(column).to_numpy(zero_copy_only=False)

@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, vector: str = "embedding
             b = b.filter(b.column(len(kept)).is_valid())
             if not b.num_rows or not len(q):
                 continue
-            x, xn = _matrix(b.column(len(kept)).to_pylist()), b.column(len(kept) + 1).to_numpy()
+            x, xn = matrix(b.column(len(kept))), b.column(len(kept) + 1).to_numpy()
             for lo in range(0, len(q), 256):
                 i, j = _best(q[lo : lo + 256], qn[lo : lo + 256], x, xn, k)
                 i += lo
@@ -70,6 +71,18 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, vector: str = "embedding
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Lists of numbers as rows of doubles, from their flat buffer; shorter ones end in zeros."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    length = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    out = np.zeros((len(length), max(1, int(length.max(initial=1)))))
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+    out[np.repeat(np.arange(len(length)), length), at] = flat
+    return out
+
+
 def _matrix(vectors: list) -> np.ndarray:
     """Rows of doubles; shorter ones end in zeros, so that a product is over the shorter length of two."""
     out = np.zeros((len(vectors), max([1, *map(len, vectors)])))

@@ -372,6 +372,33 @@ def safe_path(name: str) -> str:
     return "/".join(parts)
 
 
+# What an upload may hold.
+UPLOAD_KINDS, UPLOAD_FILE, UPLOAD_TOTAL, UPLOAD_ENTRIES = (".pdf", ".zip"), 200 << 20, 2 << 30, 5000
+
+
+def staged(files: list[tuple[str, int]], inside: str | None = None) -> list[str]:
+    """The places below the corpus that uploaded files ``(name, bytes)``, or those of the archive ``inside``, are put to. An error if
+    a name leaves its folder, a file is of another kind or too large, or together they are too many or too large. Of an
+    archive's entries only PDF files are taken."""
+    if inside is not None and len(files) > UPLOAD_ENTRIES:
+        raise ConfigError(f"{inside}: {len(files)} entries are more than {UPLOAD_ENTRIES}")
+    out, total = [], 0
+    for name, size in files:
+        place = safe_path(name)
+        kind = "." + place.rsplit(".", 1)[-1].lower()
+        if inside is not None and kind != ".pdf":
+            continue
+        if kind not in UPLOAD_KINDS:
+            raise ConfigError(f"{name}: only {' and '.join(UPLOAD_KINDS)} files are taken")
+        total += size
+        if size > UPLOAD_FILE:
+            raise ConfigError(f"{name}: {size} bytes are more than {UPLOAD_FILE}")
+        if total > UPLOAD_TOTAL:
+            raise ConfigError(f"together the files are larger than {UPLOAD_TOTAL} bytes")
+        out.append(place)
+    return out
+
+
 def mapping_problems(course: str, manifest_: Manifest, decks: dict[str, str], links: dict[str, list[str]], present: set[str]) -> list[str]:
     """What is wrong with a hand-made mapping: unknown competencies, links to decks that aren't declared, decks without a file,
     files without a deck, and folders of several decks."""

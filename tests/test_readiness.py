@@ -2,9 +2,9 @@
 
 import pytest
 
+from lectern.operators.store import Store
 from lectern.plans import cli, readiness
 from lectern.sources import config, files, pdf
-from lectern.operators.store import Store
 
 SWEEP = "{sweep: s, requests-file: r, configurations: [{id: a, approach: two-phase, generator: g, judge: j}]}"
 REQUESTS = "- {key: a, course: PSE, competencies: [k1], language: en, question-types: [single-choice], number-of-questions: 2, difficulty: easy}\n"
@@ -66,3 +66,13 @@ def test_a_file_that_cant_be_used_is_told(spark, tmp_path, text):
     (tmp_path / "s.yml").write_text(text)
     checks, held = readiness.parsed(spark, {"sweep": f"file://{tmp_path}/s.yml"})
     assert told(checks)["sweep"] == "BLOCKED" and told(checks)["models"] == "WARN" and not held
+
+
+def test_what_an_upload_may_hold():
+    assert config.staged([("a/b.PDF", 5), ("x.zip", 7)]) == ["a/b.PDF", "x.zip"]
+    assert config.staged([("a/b.pdf", 5), ("a/notes.txt", 1 << 40), ("y.zip", 3)], "x.zip") == ["a/b.pdf"]
+    for files_, why in (([("../a.pdf", 1)], "leaves"), ([("a.txt", 1)], "only"), ([("a.pdf", 201 << 20)], "more than"), ([(f"{i}.pdf", 200 << 20) for i in range(11)], "together")):
+        with pytest.raises(config.ConfigError, match=why):
+            config.staged(files_)
+    with pytest.raises(config.ConfigError, match="entries"):
+        config.staged([("a.pdf", 1)] * 5001, "x.zip")
