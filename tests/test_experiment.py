@@ -67,12 +67,12 @@ def small(spark):
 
 @pytest.fixture
 def made(spark, tmp_path):
-    def build(requests=REQUESTS, documents=(("PSE", "d1", "h1"),), **roles):
+    def build(requests=REQUESTS, documents=(("PSE", "d1", "h1"),), plan=PLAN, **roles):
         every = {k: workflow.Role(f"model-{k}", Scripted(tmp_path, k, roles.get(k)), max_attempts=1) for k in ("g", "j", "j2", "s")}
         frame = lambda rows, names: spark.createDataFrame(rows, names)
         asked = config.requests(requests)
         return experiment.Experiment(
-            spark, Store(spark, f"file://{tmp_path}/store"), config.sweep_plan(PLAN), asked, every, frame([(r.key, "G") for r in asked], "request_key string, grounding string"),
+            spark, Store(spark, f"file://{tmp_path}/store"), config.sweep_plan(plan), asked, every, frame([(r.key, "G") for r in asked], "request_key string, grounding string"),
             frame([("PSE", k, f"M{k}") for k in ("k1", "k2")], "course_key string, competency_key string, grounding string"),
             frame(list(documents), "course_key string, document string, content_hash string"), frame([("k1", "d1#p1-2"), ("k2", "d2#p1-2")], "competency_key string, chunk_id string"),
         )
@@ -122,11 +122,12 @@ def test_an_experiment_from_start_to_export(spark, made, tmp_path):
 
 def test_quizzes_behind_a_dead_call_are_made_again(spark, made, tmp_path):
     (tmp_path / "outage").write_text("")
-    e = made(s="outage")
-    assert e.run()["quizzes"] == 4  # all but those of the selector that doesn't answer
-    assert {r.configuration_id for r in e.work().collect()} == {"two-phase|g|j2|s"}
+    of = {"requests": REQUESTS.split("- {key: b")[0], "plan": PLAN.split("  - {id: ag")[0] + PLAN[PLAN.index("  - {id: tp2") :], "s": "outage"}
+    e = made(**of)
+    assert e.run() == {"items": 3, "quizzes": 0}  # the selector doesn't answer: the pool stays, the quiz isn't stored
+    assert [(r.configuration_id, r.request_key) for r in e.work().collect()] == [("two-phase|g|j2|s", "a")]
     os.remove(tmp_path / "outage")
-    assert made(s="outage").run()["quizzes"] == 2 and e.work().count() == 0
+    assert made(**of).run() == {"items": 0, "quizzes": 1} and e.work().count() == 0
 
 
 def test_what_an_experiment_refuses(made):
