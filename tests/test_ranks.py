@@ -41,6 +41,21 @@ def test_places_and_sums_in_a_hot_group(spark, apart):
     assert sorted(r["__n"] for r in ranks.ranked(df, [], ["o"]).collect()) == list(range(1, 6001))
 
 
+def test_places_where_a_group_of_several_batches_ends_inside_a_batch(spark):
+    # 2,500 rows of one group fill two batches of 1,000; the third is shorter than what came before and begins another group
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        df = spark.range(2700).selectExpr("if(id < 2500, 'a', 'b') as g", "id as o", "id % 7 as v").coalesce(1)
+        found = {r.o: (r["__n"], r["__total"], r["__sum"]) for r in ranks.ranked(df, ["g"], ["o"], "v").collect()}
+        expected, s = {}, 0
+        for i in range(2700):
+            s = (0 if i == 2500 else s) + i % 7
+            expected[i] = (i + 1, 2500, s) if i < 2500 else (i - 2499, 200, s)
+        assert found == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("n,parts", [(1, 1), (5, 4), (7, 3), (3, 5), (100, 7)])
 def test_even_parts(spark, n, parts):
     of, at = ranks.evenly(F.col("id") + 1, F.lit(n), F.lit(parts))
