@@ -52,6 +52,8 @@ def test_places_where_a_group_of_several_batches_ends_inside_a_batch(spark):
             s = (0 if i == 2500 else s) + i % 7
             expected[i] = (i + 1, 2500, s) if i < 2500 else (i - 2499, 200, s)
         assert found == expected
+        sizes = pool.batches(df, 12, ["g"], ["o"]).groupBy("g", "batch").count().collect()
+        assert sum(r["count"] for r in sizes) == 2700 and len(sizes) == -(-2500 // 12) + -(-200 // 12)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
