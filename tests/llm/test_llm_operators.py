@@ -621,6 +621,25 @@ def test_character_model_equals_a_recursive_one():
         assert m.rate(t) == pytest.approx(expected)
 
 
+def test_url_models_count_every_url_of_the_table(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    urls = [f"h{rng.randrange(40)}.example.info/{rng.choice('abcdef')}{i}" for i in range(2800)] + [f"h{rng.randrange(40)}.example.info/casino/{i}" for i in range(2500)]
+    pages = spark.createDataFrame([(i, f"http://{u}") for i, u in enumerate(urls)], "page_id long, url string").repartition(5)
+    accepted, rejected = ["plain.example.org/garden/a", "www.river.net/b", "c.org/d", "e.org/f"], ["casino.example.biz/slots", "casino.org/bet", "my-casino.net/x", "casino.com/held"]
+    model = url_filter.train(pages, accepted=accepted, rejected=rejected)
+    held = {r.url for r in spark.createDataFrame([(u,) for u in urls], "url string").where(F.pmod(F.xxhash64("url"), F.lit(4)) == 3).collect()}
+    good, bad = ([*given[:3], *(u for u in urls if u not in held and ("casino" in u) == label)] for given, label in ((accepted, False), (rejected, True)))
+    most, chars = max(len(good), len(bad)), set("".join(good + bad))
+    a, r = (url_filter.Markov().fit(x, max(1.0, most / len(x)), chars) for x in (good, bad))  # all of them, by plain dictionaries
+    tried = [urls[0], urls[-1], "new.host/ä-never-seen?x=casino", "z", ""]
+    found = {x.url: x.score for x in model.scores(spark.createDataFrame([(u,) for u in tried], "url string")).collect()}
+    assert found == {u: pytest.approx(r.rate(u) - a.rate(u), abs=1e-8) for u in tried}
+    scores = sorted(r.rate(u) - a.rate(u) for u in [accepted[3], *(u for u in held if "casino" not in u)])
+    assert model.threshold == pytest.approx(max(0.0, scores[min(len(scores) - 1, int(np.ceil(len(scores) * 0.995)))]), abs=1e-8)
+
+
 def test_url_rows_of_odd_kinds(spark):
     long = "https://plain.example.info/" + "garden/" * 30_000
     rows = [(1, long, "x", "y"), (1, long, "x", "y"), (None, None, None, None), (2, "https://casino-slots.example.info/?" + "bonus&" * 30_000, "h", "v")]
